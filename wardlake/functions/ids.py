@@ -52,11 +52,14 @@ def stable_id(*parts: Column) -> Column:
     return F.sha1(F.concat_ws("|", *texts).cast("binary"))
 
 
+def filled_id(value: Column, normal: Column) -> Column:
+    """Normalised id of a value, the hash of the value where that is empty, null where there is no value."""
+    return F.when(value.isNotNull(), F.when(normal == "", stable_id(value)).otherwise(normal))
+
+
 def fallback_id(value: Column, *row: Column) -> Column:
     """Normalised id; hash of the value if that is empty; hash of the row parts if there is no value."""
-    own = F.when(
-        value.isNotNull(), F.coalesce(F.nullif(normalize_fhir_id(value), F.lit("")), stable_id(value))
-    )
+    own = filled_id(value, normalize_fhir_id(value))
     return F.coalesce(own, stable_id(*row)) if row else own
 
 

@@ -39,19 +39,24 @@ MAX_ENTRIES = 10_000
 RECORD_COLUMNS = ["patient_id", "stay_id", "ord", "type", "id", "location_id", "resource"]
 
 
-def resource_defaults(record_type: str) -> dict[str, Column]:
+def resource_defaults(record_type: str) -> dict[str, str]:
     """Literal fields of a record type."""
-    fields = {"resourceType": F.lit(record_type)}
+    fields = {"resourceType": record_type}
     if record_type in STATUS:
-        fields["status"] = F.lit(STATUS[record_type])
+        fields["status"] = STATUS[record_type]
     if record_type in INTENT:
-        fields["intent"] = F.lit(INTENT[record_type])
+        fields["intent"] = INTENT[record_type]
     return fields
 
 
+def reference_type(column: str, path: str) -> str | None:
+    """Record type that a reference path points at: it follows the column, or a Location in the path."""
+    return REFERENCE_TYPES.get(column) or ("Location" if "Location" in path else None)
+
+
 def build_reference(value: Column, column: str, path: str) -> Column:
-    """``Type/id`` for a reference path; the type follows the column, or a Location in the path."""
-    target = REFERENCE_TYPES.get(column) or ("Location" if "Location" in path else None)
+    """``Type/id`` for a reference path."""
+    target = reference_type(column, path)
     if target is None:
         return value
     return F.concat(F.lit(f"{target}/"), ids.fallback_id(value))
@@ -71,11 +76,11 @@ def coerce_value(record_type: str, path: str, column: str, dtype: T.DataType = T
     return value
 
 
-def set_paths(leaves: list[tuple[str, Column]], fields: dict[str, Column] | None = None) -> Column:
-    """One struct with a value at each path. Null values create nothing, not even empty containers.
+def set_paths(leaves: list[tuple[str, str]], fields: dict[str, str] | None = None) -> str:
+    """SQL of one struct with a value (SQL) at each path. Null values create nothing, not even empty containers.
 
     Where two paths are the same, the later non-null value wins. Items before the last filled index of an
-    array are empty objects.
+    array are empty objects. ``fields`` are literal texts that come first.
     """
     tree: dict = {}
     for path, value in leaves:
@@ -83,94 +88,131 @@ def set_paths(leaves: list[tuple[str, Column]], fields: dict[str, Column] | None
         steps = records.path_steps(path)
         for step in steps[:-1]:
             node = node.setdefault(step, {})
-        held = node.setdefault(steps[-1], [])
-        held.append(value)
-    literal = [c.alias(k) for k, c in (fields or {}).items()]
-    return F.struct(*literal, *[_compose(node).alias(k) for k, node in tree.items()])
+        node.setdefault(steps[-1], []).append(value)
+    literal = [f"{_quoted(k)}, {_quoted(v)}" for k, v in (fields or {}).items()]
+    return f"named_struct({', '.join([*literal, *_fields(tree, tree)])})"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _leaves(node) -> list[Column]:
-    return node if isinstance(node, list) else [leaf for child in node.values() for leaf in _leaves(child)]
+def _fields(node: dict, shape: dict) -> list[str]:
+    """Names and values of a struct; fields of the shape that the node does not have are null."""
+    return [f"{_quoted(k)}, {_compose(node[k], inner) if k in node else 'null'}" for k, inner in shape.items()]
 
 
-def _filled(node) -> Column:
-    return F.coalesce(*[leaf.cast("string") for leaf in _leaves(node)]).isNotNull()
+def _is_array(node) -> bool:
+    return isinstance(node, dict) and any(isinstance(k, int) for k in node)
+
+
+def _filled(node) -> str:
+    """Condition that any value below is there."""
+    if isinstance(node, list):
+        return " OR ".join(f"{leaf} IS NOT NULL" for leaf in node)
+    return " OR ".join(_filled(child) for child in node.values())
 
 
 def _merged(nodes: list):
     """Shape of all items of an array, so that they have one element type."""
     if any(isinstance(n, list) for n in nodes):
         return []
-    names = dict.fromkeys(k for n in nodes for k in n)
-    return {k: _merged([n[k] for n in nodes if k in n]) for k in names}
+    return {k: _merged([n[k] for n in nodes if k in n]) for k in dict.fromkeys(k for n in nodes for k in n)}
 
 
-def _compose(node, shape=None) -> Column:
+def _compose(node, shape) -> str:
     if isinstance(node, list):
-        return F.coalesce(*reversed(node)) if node else F.lit(None)
-    shape = node if shape is None else shape
-    if any(isinstance(k, int) for k in node):
-        items = range(max(node) + 1)
-        element = _merged(list(node.values()))
-        array = F.array(*[_element(node.get(i), element) for i in items])
-        size = reduce(lambda n, i: F.when(_filled(node[i]), i + 1).otherwise(n), sorted(node), F.lit(0))
-        return F.when(size > 0, F.slice(array, F.lit(1), size))
-    fields = []
-    for name, inner in shape.items():
-        child = node.get(name)
-        fields.append((F.lit(None) if child is None else _compose(child, inner)).alias(name))
-    return F.when(_filled(node), F.struct(*fields))
-
-
-def _element(node, shape) -> Column:
-    """Item of an array: never null as a whole where items are objects."""
+        return node[0] if len(node) == 1 else f"coalesce({', '.join(reversed(node))})"
+    if not _is_array(node):
+        return f"CASE WHEN {_filled(node)} THEN named_struct({', '.join(_fields(node, shape))}) END"
+    element = _merged(list(node.values()))
+    array = f"array({', '.join(_item(node.get(i), element) for i in range(max(node) + 1))})"
+    if max(node) == 0:
+        return f"CASE WHEN {_filled(node)} THEN {array} END"
+    sizes = " ".join(f"WHEN {_filled(node[i])} THEN slice({array}, 1, {i + 1})" for i in sorted(node, reverse=True))
+    return f"CASE {sizes} END"
+
+
+def _item(node, shape) -> str:
+    """Item of an array: never null as a whole where items are containers."""
     if not isinstance(shape, dict):
-        return F.lit(None) if node is None else _compose(node)
-    if any(isinstance(k, int) for k in shape):
-        return F.array() if node is None else _compose(node, shape)
-    fields = []
-    for name, inner in shape.items():
-        child = (node or {}).get(name)
-        fields.append((F.lit(None) if child is None else _compose(child, inner)).alias(name))
-    return F.struct(*fields)
-
-
-def record_struct(record_type: str, table: DataFrame, mapping: dict = model.MAPPING) -> Column:
-    """The nested record that a table row stands for."""
-    leaves = []
-    for column, path in mapping[record_type]["columns"].items():
-        if path and column in table.columns:
-            leaves.append((path, coerce_value(record_type, path, column, table.schema[column].dataType)))
-    own = [value for path, value in leaves if path == "id"]
-    leaves = [leaf for leaf in leaves if leaf[0] != "id"]
-    row = ids.stable_id(F.lit(record_type), *[F.col(c) for c in table.columns])
-    leaves.insert(0, ("id", F.coalesce(*own, row)))
-    return set_paths(leaves, resource_defaults(record_type))
-
-
-def _record_columns(record_type: str, df: DataFrame, mapping: dict) -> dict[str, Column]:
-    """The columns of ``RECORD_COLUMNS`` for rows of one record type."""
-    have = {p for c, p in mapping[record_type]["columns"].items() if p and c in df.columns}
-    record = record_struct(record_type, df, mapping)
-
-    def field(path: str) -> Column:
-        return records.at_path(record, path) if path in have else F.lit(None).cast("string")
-
-    patient = ids.patient_of_reference(field("subject.reference"), field("patient.reference"))
-    stay = ids.patient_of_reference(field("encounter.reference"), field("context.encounter.reference"))
-    location = field("location[0].location.reference")
-    return {
-        "patient_id": record["id"] if record_type == "Patient" else patient,
-        "stay_id": record["id"] if record_type == "Encounter" else stay,
-        "ord": F.lit(list(mapping).index(record_type)),
-        "type": F.lit(record_type),
-        "id": record["id"],
-        "location_id": (
-            F.when(location.startswith("Location/"), F.get(F.split(location, "/"), F.lit(1)))
-            if record_type == "Encounter" else F.lit(None).cast("string")
-        ),
-        "resource": F.to_json(record),
-    }
+        return "null" if node is None else _compose(node, shape)
+    if _is_array(shape):
+        return "array()" if node is None else f"coalesce({_compose(node, shape)}, array())"
+    return f"named_struct({', '.join(_fields(node or {}, shape))})"
+
+
+def _rule(record_type: str, path: str, column: str) -> str:
+    """Name of the rule of ``coerce_value`` that applies; for references to a known type, that type."""
+    if record_type == "Patient" and path == "gender":
+        return "gender"
+    if any(mark in path for mark in DATE_MARKS):
+        return "date"
+    if path == "id":
+        return "id"
+    if path.endswith(".reference"):
+        return reference_type(column, path) or "raw"
+    return "raw"
+
+
+# Paths that lead to the patient, the stay and the location of a record.
+PATIENT_PATHS = ("subject.reference", "patient.reference")
+STAY_PATHS = ("encounter.reference", "context.encounter.reference")
+PLACE_PATHS = ("location[0].location.reference",)
+
+
+def _leaf_values(df: DataFrame, mapping: dict, types: list[str]) -> tuple[DataFrame, dict[str, list[tuple]]]:
+    """Values that the types of a table write, each computed once, and (path, column, rule) per type.
+
+    Types of a table share most values: an id column is normalised once, whether it becomes the id of a
+    record or a reference to it. ``_row`` is the text of the whole row, where a type finds no id.
+    """
+    known = {f.name: f.dataType for f in df.schema.fields}
+    places: dict[str, list[tuple]] = {t: [] for t in types}
+    normal: dict[str, Column] = {}
+    made: dict[str, Column] = {}
+    for t in types:
+        for column, path in mapping[t]["columns"].items():
+            if not path or column not in known:
+                continue
+            rule = _rule(t, path, column)
+            if rule == "id" or rule in REFERENCE_TYPES.values():
+                name = f"_id_{column}"
+                normal.setdefault(f"_normal_{column}", ids.normalize_fhir_id(F.col(column)))
+                made.setdefault(name, ids.filled_id(F.col(column), F.col(f"_normal_{column}")))
+            else:
+                name = f"_{rule}_{column}"
+                made.setdefault(name, coerce_value(t, path, column, known[column]))
+            places[t].append((path, name, rule))
+    no_id = [F.lit(True) if not (found := _sources(places[t], "id")) else _first(found).isNull() for t in types]
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in known])
+    rows = df.withColumns(normal).withColumns(made)
+    return rows.withColumn("_row", F.when(reduce(lambda x, y: x | y, no_id), row)).select(*made, "_row"), places
+
+
+def _sources(places: list[tuple], *paths: str) -> tuple:
+    """(column, rule) at the paths, in the order in which they count: later columns of a path win."""
+    return tuple((name, rule) for wanted in paths for path, name, rule in reversed(places) if path == wanted)
+
+
+def _first(sources: tuple) -> Column:
+    """The first id that is there."""
+    found = [ids.patient_of_reference(F.col(n)) if rule == "raw" else F.col(n) for n, rule in sources]
+    if not found:
+        return F.lit(None).cast("string")
+    return F.coalesce(*found) if len(found) > 1 else found[0]
+
+
+def _shared(sources: dict[str, tuple]) -> Column:
+    """The value for the type of the row; no case distinction where all types read the same columns."""
+    groups: dict[tuple, list[str]] = {}
+    for t, found in sources.items():
+        groups.setdefault(found, []).append(t)
+    if len(groups) == 1:
+        return _first(next(iter(groups)))
+    return reduce(
+        lambda out, group: out.when(F.col("type").isin(group[1]), _first(group[0])), groups.items(), F
+    )
 
 
 def rows_to_resources(
@@ -180,20 +222,44 @@ def rows_to_resources(
 
     Rows: patient_id, stay_id, ord (place of the type in the mapping), type, id, location_id, resource (JSON).
     A row of a table with several types is repeated by type name and each copy builds its own record only, so
-    a reader that wants the ids alone never builds the JSON.
+    a reader that wants the ids alone never builds the JSON. The text that stands for a whole row is put
+    together only for rows without an id.
     """
     chosen = [t for t in model.types_of_table(table, mapping) if types is None or t in types]
-    built = {t: _record_columns(t, df, mapping) for t in chosen}
-    if len(chosen) == 1:
-        return df.select(*[c.alias(n) for n, c in built[chosen[0]].items()])
-    copies = df.withColumn("_type", F.explode(F.array(*[F.lit(t) for t in chosen])))
-    columns = []
-    for name in RECORD_COLUMNS:
-        pick = F
-        for t in chosen:
-            pick = pick.when(F.col("_type") == t, built[t][name])
-        columns.append(pick.alias(name))
-    return copies.select(*columns)
+    rows, places = _leaf_values(df, mapping, chosen)
+    order = list(mapping)
+    kinds = [F.struct(F.lit(order.index(t)).alias("ord"), F.lit(t).alias("type")) for t in chosen]
+    if len(kinds) == 1:
+        rows = rows.select("*", F.lit(order.index(chosen[0])).alias("ord"), F.lit(chosen[0]).alias("type"))
+    else:
+        rows = rows.select("*", F.inline(F.array(*kinds)))
+
+    own = {t: _sources(p, "id") for t, p in places.items()}
+    patient = {t: own[t] if t == "Patient" else _sources(p, *PATIENT_PATHS) for t, p in places.items()}
+    stay = {t: own[t] if t == "Encounter" else _sources(p, *STAY_PATHS) for t, p in places.items()}
+    place = {t: _sources(p, *PLACE_PATHS) if t == "Encounter" else () for t, p in places.items()}
+    by_row = F.sha1(F.concat("type", F.lit("|"), "_row").cast("binary"))
+    linked = rows.withColumns(
+        {
+            "id": F.coalesce(_shared(own), by_row),
+            "patient_id": F.coalesce(_shared(patient), by_row) if chosen == ["Patient"] else _shared(patient),
+            "stay_id": F.coalesce(_shared(stay), by_row) if chosen == ["Encounter"] else _shared(stay),
+            "location_id": F.substring_index(_shared(place), "/", 1),
+        }
+    )
+    texts = {t: _record(t, places[t]) for t in chosen}
+    resource = reduce(lambda out, t: out.when(F.col("type") == t, texts[t]), chosen, F) if len(chosen) > 1 else texts[chosen[0]]
+    return linked.withColumn("resource", resource).select(*RECORD_COLUMNS)
+
+
+def _record(record_type: str, places: list[tuple]) -> Column:
+    """The record of a type as JSON, from the leaf values and the id."""
+    leaves = [("id", "id")]
+    for path, name, rule in places:
+        if path != "id":
+            to_type = rule in REFERENCE_TYPES.values()
+            leaves.append((path, f"concat('{rule}/', `{name}`)" if to_type else f"`{name}`"))
+    return F.expr(f"to_json({set_paths(leaves, resource_defaults(record_type))})")
 
 
 def dataset_to_resources(dataset: dict[str, DataFrame], mapping: dict = model.MAPPING) -> DataFrame:
@@ -231,15 +297,19 @@ def stub_rows(members: DataFrame) -> DataFrame:
 
 
 def dedupe_resources(members: DataFrame) -> DataFrame:
-    """One row per (bundle, type, id): the first in mapping order; rows without an id are dropped.
+    """One row per (bundle, type, id): the first in mapping order. Rows without an id: see ``with_id``.
 
     The "first row per group" form lets Spark keep one row per group in every task before the shuffle, so
     a group made of very many copies does not travel. Stubs (negative ord) give way to real records.
     """
     last_resort = F.when(F.col("ord") < 0, 1).otherwise(0)
     first = W.partitionBy("bundle_id", "type", "id").orderBy(last_resort, "ord", "resource")
-    filled = members.filter(F.col("id").isNotNull() & (F.col("id") != ""))
-    return filled.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+    return members.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+
+
+def with_id(members: DataFrame) -> DataFrame:
+    """Drop records without an id. Records made from table rows always have one, so they need no such filter."""
+    return members.filter(F.col("id").isNotNull() & (F.col("id") != ""))
 
 
 def bundle_rows(resources: DataFrame, strategy: str = "patient") -> DataFrame:
@@ -274,18 +344,21 @@ def transaction_entries(members: DataFrame) -> DataFrame:
     )
 
 
-def bundle_parts(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """Number of documents that (bundle_id, ord) needs; only bundles above ``max_entries`` have rows here.
+def bundle_parts(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame | None:
+    """Number of documents that (bundle_id, ord) needs, for bundles above ``max_entries``; None if there are none.
 
-    Reads ids only. Counts are summed before the shuffle, so a bundle that holds a third of all records is
-    no burden; the distinct ids are counted just for bundles whose plain row count is above the limit.
+    Eager: counts rows per bundle, reading ids only. Counts are summed before the shuffle, so a bundle that
+    holds a third of all records is no burden. Distinct ids are counted just for bundles whose plain row
+    count is above the limit.
     """
-    raw = rows.groupBy("bundle_id").agg(F.count("*").alias("n")).filter(F.col("n") > max_entries)
-    ids_of_large = rows.select("bundle_id", "ord", "type", "id").join(raw, "bundle_id", "left_semi").distinct()
+    large = rows.groupBy("bundle_id").agg(F.count("*").alias("n")).filter(F.col("n") > max_entries)
+    if large.isEmpty():
+        return None
+    ids_of_large = rows.select("bundle_id", "ord", "type", "id").join(large, "bundle_id", "left_semi").distinct()
     sizes = ids_of_large.groupBy("bundle_id", "ord").agg(F.count("*").alias("n"))
-    large = sizes.groupBy("bundle_id").agg(F.sum("n").alias("total")).filter(F.col("total") > max_entries)
+    above = sizes.groupBy("bundle_id").agg(F.sum("n").alias("total")).filter(F.col("total") > max_entries)
     parts = F.ceil(F.col("n") / F.lit(max_entries)).cast("int")
-    return sizes.join(large, "bundle_id", "left_semi").select(
+    return sizes.join(above, "bundle_id", "left_semi").select(
         F.col("bundle_id").alias("_bundle"), F.col("ord").alias("_ord"), parts.alias("_parts")
     )
 
@@ -295,14 +368,18 @@ def build_bundles(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
 
     A bundle of up to ``max_entries`` records is one document. A larger one becomes several, cut by record
     type and then by hash of the id, so that no task ever holds a whole group; ``part`` sorts them into the
-    order in which to send them (stubs and patients first), and together they hold every entry.
+    order in which to send them (stubs and patients first), and together they hold every entry. Whether any
+    bundle is that large is counted beforehand, see ``bundle_parts``.
     """
     entries = transaction_entries(dedupe_resources(rows))
     cuts = bundle_parts(rows, max_entries)
-    same = (F.col("bundle_id") == F.col("_bundle")) & (F.col("ord") == F.col("_ord"))
-    slot = F.pmod(F.xxhash64("id"), F.col("_parts"))
-    part = F.when(F.col("_parts").isNull(), "").otherwise(F.format_string("%02d-%06d", F.col("ord") + 1, slot))
-    placed = entries.join(cuts, same, "left").withColumn("part", part)
+    if cuts is None:
+        placed = entries.withColumn("part", F.lit(""))
+    else:
+        same = (F.col("bundle_id") == F.col("_bundle")) & (F.col("ord") == F.col("_ord"))
+        slot = F.format_string("%02d-%06d", F.col("ord") + 1, F.pmod(F.xxhash64("id"), F.col("_parts")))
+        part = F.when(F.col("_parts").isNull(), "").otherwise(slot)
+        placed = entries.join(cuts, same, "left").withColumn("part", part)
     packed = placed.groupBy("bundle_id", "part").agg(
         F.array_sort(F.collect_list(F.struct("ord", "id", "entry"))).alias("entries")
     )

@@ -17,9 +17,8 @@ def bundle_entries(bundles: DataFrame, value: str = "value", keep: tuple[str, ..
     The text leaf in the schema leaves each resource as raw JSON: the bundle is parsed once, and
     each resource once more by the extraction of its own type.
     """
-    entry = F.explode(F.from_json(value, ENTRY_SCHEMA)["entry"])
-    resources = bundles.select(*keep, entry.getField("resource").alias("resource"))
-    return resources.filter("resource is not null").select(
+    entries = bundles.select(*keep, F.inline(F.from_json(value, ENTRY_SCHEMA)["entry"]))
+    return entries.filter("resource is not null").select(
         *keep, records.json_path(F.col("resource"), "resourceType").alias("resource_type"), "resource"
     )
 
@@ -64,9 +63,9 @@ def enforce_schema(df: DataFrame, table: str, tables: dict[str, list[str]] = mod
     if table not in tables:
         return df
     have = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(c) if c in have else F.lit(None)).cast(model.column_type(table, c)).alias(c)
+            f"CAST({f'`{c}`' if c in have else 'null'} AS {model.column_type(table, c).simpleString()}) AS `{c}`"
             for c in tables[table]
         ]
     )

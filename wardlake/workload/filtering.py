@@ -148,7 +148,7 @@ def propagate_nulls(spark, sf_dir):
               b AS (SELECT "table", count(*) AS output_rows FROM kept GROUP BY 1)
             SELECT a."table", input_rows, coalesce(output_rows, 0) AS output_rows,
                    coalesce(output_rows, 0) - input_rows AS delta_rows,
-                   round((coalesce(output_rows, 0) - input_rows) / input_rows * 100, 1) AS delta_pct
+                   CAST(printf('%.1f', (coalesce(output_rows, 0) - input_rows) / input_rows * 100) AS DOUBLE) AS delta_pct
             FROM a LEFT JOIN b ON a."table" = b."table\""""
     ),
 )
