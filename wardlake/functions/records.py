@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CORRUPT = "_corrupt"
+
+
 def path_steps(path: str) -> list[str | int]:
     """``a.b[0].c`` -> ['a', 'b', 0, 'c']."""
     return [int(s) if s.isdigit() else s for s in re.findall(r"[^.\[\]]+", path)]
@@ -41,6 +44,15 @@ def at_path(parsed: Column, path: str) -> Column:
     return parsed
 
 
+def parsed(df: DataFrame, schema: str | T.StructType, name: str = "record", column: str = "resource") -> DataFrame:
+    """Add the parsed record as a struct column.
+
+    A plain ``from_json`` column is parsed again for every filter on one of its fields, because Spark moves such
+    filters below the projection. Taking the struct out of a one-item array stops that: each record is parsed once.
+    """
+    return df.select("*", F.explode(F.array(F.from_json(column, schema))).alias(name))
+
+
 def json_path(record: Column, path: str) -> Column:
     """Ad-hoc access on raw JSON text. For several paths of one record use ``pruned_schema`` and ``at_path``."""
     if not path:
@@ -49,6 +61,16 @@ def json_path(record: Column, path: str) -> Column:
     return F.get_json_object(record, "$" + steps)
 
 
+def is_readable(record: Column, schema: str = "resourceType string") -> Column:
+    """False for text that is no JSON. The strict parser runs only for what the lenient one refuses."""
+    return ~corrupt(record, F.from_json(record, f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT}))
+
+
+def corrupt(record: Column, read: Column) -> Column:
+    """True where the record could not be read; ``read`` was parsed with the ``CORRUPT`` field."""
+    return read[CORRUPT].isNotNull() & F.try_parse_json(record).isNull()
+
+
 def stringify_nested(value: Column) -> Column:
     """Compact JSON text of an array or struct column."""
     return F.to_json(value)

@@ -17,10 +17,11 @@ def bundle_entries(bundles: DataFrame, value: str = "value", keep: tuple[str, ..
     The text leaf in the schema leaves each resource as raw JSON: the bundle is parsed once, and
     each resource once more by the extraction of its own type.
     """
-    entries = bundles.select(*keep, F.inline(F.from_json(value, ENTRY_SCHEMA)["entry"]))
-    return entries.filter("resource is not null").select(
-        *keep, records.json_path(F.col("resource"), "resourceType").alias("resource_type"), "resource"
+    typed = F.transform(
+        F.from_json(value, ENTRY_SCHEMA)["entry"],
+        lambda e: F.struct(records.json_path(e["resource"], "resourceType").alias("resource_type"), e["resource"].alias("resource")),
     )
+    return bundles.select(*keep, F.inline(typed)).filter("resource is not null")
 
 
 def route_resources(resources: DataFrame, mapping: dict = model.MAPPING) -> DataFrame:
@@ -35,10 +36,8 @@ def route_resources(resources: DataFrame, mapping: dict = model.MAPPING) -> Data
 def extract_type(resources: DataFrame, record_type: str, mapping: dict = model.MAPPING) -> DataFrame:
     """Mapped columns of one record type, all text: one pruned parse per record, then field access."""
     paths = {c: p for c, p in mapping[record_type]["columns"].items() if p}
-    parsed = resources.filter(F.col("resource_type") == record_type).select(
-        F.from_json("resource", records.pruned_schema(paths.values())).alias("record")
-    )
-    return parsed.select(
+    own = resources.filter(F.col("resource_type") == record_type).select("resource")
+    return records.parsed(own, records.pruned_schema(paths.values())).select(
         *[extracted_text(records.at_path(F.col("record"), p)).alias(c) for c, p in paths.items()]
     )
 

@@ -74,17 +74,15 @@ def search_pages(df: DataFrame, key: str, size: int = PAGE_SIZE) -> DataFrame:
     return numbered.withColumn("page_no", page).drop("_rn").withColumn("total", F.lit(total.scalar().cast("bigint")))
 
 
-def subject_of(resource: Column) -> Column:
-    """Patient that a record refers to, by subject or patient."""
-    refs = F.from_json(resource, "subject struct<reference:string>, patient struct<reference:string>")
-    return ids.patient_of_reference(refs["subject"]["reference"], refs["patient"]["reference"])
+OWNER_SCHEMA = "id string, subject struct<reference:string>, patient struct<reference:string>"
 
 
 def patient_everything(resources: DataFrame, wanted: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Every record of the wanted patients (default: all), with patient_id: their own and those that refer to them."""
-    own = records.json_path(F.col("resource"), "id")
-    patient = F.when(F.col("resource_type") == "Patient", own).otherwise(subject_of(F.col("resource")))
-    owned = resources.withColumn("patient_id", patient).filter(F.col("patient_id").isNotNull())
+    subject = ids.patient_of_reference(F.col("record.subject.reference"), F.col("record.patient.reference"))
+    patient = F.when(F.col("resource_type") == "Patient", F.col("record.id")).otherwise(subject)
+    read = records.parsed(resources, OWNER_SCHEMA)
+    owned = read.select(*resources.columns, patient.alias("patient_id")).filter(F.col("patient_id").isNotNull())
     if wanted is None:
         return owned
     if isinstance(wanted, DataFrame):

@@ -27,6 +27,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/wardlake/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input to all cores.
+
+    A small file is one split, however much work follows per row. An input that has a split per core and more
+    is left as it is: large tables are never shuffled here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    per_split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if size < cores * per_split else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, stored once in the shared folder. Eager."""
     context = df.sparkSession.sparkContext

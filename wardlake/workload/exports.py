@@ -18,7 +18,7 @@ BUNDLE = "id string, type string, entry array<struct<resource:string,request:str
 
 
 def _records(spark, sf_dir, *names):
-    return export.dataset_to_resources(fx.dataset(spark, sf_dir, *names))
+    return export.dataset_to_resources(fx.dataset(spark, sf_dir, *names, wide=True))
 
 
 def _get(*paths: str):
@@ -139,11 +139,11 @@ def build_references(spark, sf_dir):
 
 @query("patient_of_resource", tables(f"SELECT type, id, patient_id FROM ({RECORDS}) WHERE patient_id IS NOT NULL"))
 def patient_of_resource(spark, sf_dir):
-    rows = _records(spark, sf_dir)
-    refs = F.from_json("resource", "id string, subject struct<reference:string>, patient struct<reference:string>")
-    owner = ids.patient_of_reference(refs["subject"]["reference"], refs["patient"]["reference"])
-    owner = F.when(F.col("type") == "Patient", refs["id"]).otherwise(owner)
-    return rows.select("type", refs["id"].alias("id"), owner.alias("patient_id")).filter("patient_id IS NOT NULL")
+    shape = "id string, subject struct<reference:string>, patient struct<reference:string>"
+    read = records.parsed(_records(spark, sf_dir), shape, "r").drop("id", "patient_id")
+    owner = ids.patient_of_reference(F.col("r.subject.reference"), F.col("r.patient.reference"))
+    owner = F.when(F.col("type") == "Patient", F.col("r.id")).otherwise(owner)
+    return read.select("type", F.col("r.id").alias("id"), owner.alias("patient_id")).filter("patient_id IS NOT NULL")
 
 
 def _flat(bundles):
@@ -254,7 +254,7 @@ def bundle_size_stats(spark, sf_dir):
 )
 def write_bundles(spark, sf_dir):
     folder = scratch(spark, "bundles-out")
-    docs.write_bundles(exporting.dataset_bundles(fx.dataset(spark, sf_dir)), folder)
+    docs.write_bundles(exporting.dataset_bundles(fx.dataset(spark, sf_dir, wide=True)), folder)
     read = docs.read_bundles(spark, folder).select(F.from_json("value", BUNDLE).alias("b"))
     return read.select(F.col("b.id").alias("bundle_id"), F.size("b.entry").cast("bigint").alias("n_entries"))
 
@@ -269,7 +269,7 @@ def write_bundles(spark, sf_dir):
 )
 def filter_then_export(spark, sf_dir):
     bundles = exporting.filter_then_export(
-        fx.dataset(spark, sf_dir),
+        fx.dataset(spark, sf_dir, wide=True),
         [Where("patient", "PATAGE", ">", 50), Where("patient", "PATSEX", "==", "F")],
         [Propagate("PATID", "patient")],
     )

@@ -16,6 +16,7 @@ from wardlake import model
 from wardlake.functions import values
 from wardlake.operators import enrich
 from wardlake.operators.extract import enforce_schema, extract_table
+from wardlake.session import spread
 
 AS_OF = "2024-06-15"
 LOINC = "http://loinc.org"
@@ -33,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def _source(spark: SparkSession, sf_dir: str, name: str, wide: bool) -> DataFrame:
+    """A given table; ``wide`` where costly work per row follows, see ``spread``."""
+    given = table(spark, sf_dir, name)
+    return spread(given) if wide else given
+
+
 def iso(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(OFFSET))
 
@@ -54,8 +61,8 @@ def record(record_type: str, *fields: Column) -> Column:
     return F.to_json(F.struct(F.lit(record_type).alias("resourceType"), *fields))
 
 
-def customers(spark, sf_dir):
-    return table(spark, sf_dir, "customer")
+def customers(spark, sf_dir, wide=False):
+    return _source(spark, sf_dir, "customer", wide)
 
 
 def gender() -> Column:
@@ -84,8 +91,8 @@ def patient_record() -> Column:
     )
 
 
-def orders(spark, sf_dir):
-    return table(spark, sf_dir, "orders")
+def orders(spark, sf_dir, wide=False):
+    return _source(spark, sf_dir, "orders", wide)
 
 
 def stay_end() -> Column:
@@ -138,11 +145,11 @@ def procedure_record() -> Column:
     )
 
 
-def lines(spark, sf_dir):
+def lines(spark, sf_dir, wide=False):
     """Line items with the customer of their order and the part they name."""
     owner = orders(spark, sf_dir).select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
-    item = table(spark, sf_dir, "lineitem")
+    item = _source(spark, sf_dir, "lineitem", wide)
     joined = item.join(owner, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return joined.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
 
@@ -191,10 +198,10 @@ def medication_record() -> Column:
     )
 
 
-def documents(spark, sf_dir):
+def documents(spark, sf_dir, wide=False):
     """Documents with the order of the same number."""
     owner = orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderdate")
-    return table(spark, sf_dir, "documents").join(owner, F.col("doc_id") == F.col("o_orderkey"), "left")
+    return _source(spark, sf_dir, "documents", wide).join(owner, F.col("doc_id") == F.col("o_orderkey"), "left")
 
 
 def document_type() -> Column:
@@ -238,7 +245,7 @@ _SOURCES = {
     "MedicationRequest": (lines, medication_record),
     "Condition": (orders, condition_record),
     "Procedure": (orders, procedure_record),
-    "Organization": (lambda spark, sf_dir: table(spark, sf_dir, "nation"), organization_record),
+    "Organization": (lambda spark, sf_dir, wide: table(spark, sf_dir, "nation"), organization_record),
 }
 DOCUMENT_TYPES = ["DiagnosticReport", "DocumentReference", "Composition"]
 ALL_TYPES = [*_SOURCES, *DOCUMENT_TYPES]
@@ -251,9 +258,9 @@ def resources(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     for t in chosen:
         if t in _SOURCES:
             load, build = _SOURCES[t]
-            parts.append(load(spark, sf_dir).select(F.lit(t).alias("resource_type"), build().alias("resource")))
+            parts.append(load(spark, sf_dir, True).select(F.lit(t).alias("resource_type"), build().alias("resource")))
     if any(t in DOCUMENT_TYPES for t in chosen):
-        docs = documents(spark, sf_dir).select(document_type().alias("resource_type"), document_record().alias("resource"))
+        docs = documents(spark, sf_dir, True).select(document_type().alias("resource_type"), document_record().alias("resource"))
         parts.append(docs.filter(F.col("resource_type").isin(list(chosen))))
     return reduce(DataFrame.unionByName, parts)
 
@@ -266,17 +273,17 @@ def bundle_of(*entries: Column) -> Column:
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name, value): one bundle per source row. Regions give bundles without entries, part types no JSON at all."""
-    line = lines(spark, sf_dir).select(
+    line = lines(spark, sf_dir, True).select(
         text("line-", line_id()).alias("name"), bundle_of(observation_record(), medication_record()).alias("value")
     )
     parts = [
-        customers(spark, sf_dir).select(text("patient-", "c_custkey").alias("name"), bundle_of(patient_record()).alias("value")),
-        orders(spark, sf_dir).select(
+        customers(spark, sf_dir, True).select(text("patient-", "c_custkey").alias("name"), bundle_of(patient_record()).alias("value")),
+        orders(spark, sf_dir, True).select(
             text("stay-", "o_orderkey").alias("name"),
             bundle_of(encounter_record(), condition_record(), procedure_record()).alias("value"),
         ),
         line,
-        documents(spark, sf_dir).select(text("document-", "doc_id").alias("name"), bundle_of(document_record()).alias("value")),
+        documents(spark, sf_dir, True).select(text("document-", "doc_id").alias("name"), bundle_of(document_record()).alias("value")),
         table(spark, sf_dir, "nation").select(
             text("nation-", "n_nationkey").alias("name"), bundle_of(organization_record()).alias("value")
         ),
@@ -305,26 +312,26 @@ def imported(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFra
     }
 
 
-def _patient(spark, sf_dir):
+def _patient(spark, sf_dir, wide):
     born = birth_date()
-    return customers(spark, sf_dir).select(
+    return customers(spark, sf_dir, wide).select(
         text("p", "c_custkey").alias("PATID"), born.alias("PATBD"), values.compute_age(born, AS_OF).alias("PATAGE"),
         values.normalize_sex(gender()).alias("PATSEX"),
     )
 
 
-def _mvt(spark, sf_dir):
+def _mvt(spark, sf_dir, wide):
     k = F.col("o_orderkey")
-    return orders(spark, sf_dir).select(
+    return orders(spark, sf_dir, wide).select(
         text("p", "o_custkey").alias("PATID"), text("e", k).alias("EVTID"), text("l", k % 50).alias("ELTID"),
         iso(F.col("o_orderdate")).alias("DATENT"), stay_end().alias("DATSORT"), text("UF", k % 50).alias("SEJUF"),
         values.default_unit(F.when(k % 7 != 0, F.col("o_orderpriority"))).alias("SEJUM"),
     )
 
 
-def _biol(spark, sf_dir):
+def _biol(spark, sf_dir, wide):
     limit = F.col("l_linenumber") != 7
-    return lines(spark, sf_dir).select(
+    return lines(spark, sf_dir, wide).select(
         F.when(F.col("l_partkey") % 11 != 0, text("p", "o_custkey")).alias("PATID"),
         text("e", "l_orderkey").alias("EVTID"), text("o", line_id()).alias("ELTID"),
         iso(F.col("l_shipdate")).alias("PRLVTDATE"), text("test-", "l_returnflag").alias("PNAME"),
@@ -334,17 +341,17 @@ def _biol(spark, sf_dir):
     )
 
 
-def _pharma(spark, sf_dir):
-    return lines(spark, sf_dir).select(
+def _pharma(spark, sf_dir, wide):
+    return lines(spark, sf_dir, wide).select(
         text("p", "o_custkey").alias("PATID"), text("e", "l_orderkey").alias("EVTID"), text("m", line_id()).alias("ELTID"),
         iso(F.col("l_shipdate")).alias("DATPRES"), F.col("p_type").alias("PRES"), F.col("p_name").alias("ALLSPELABEL"),
         F.col("l_partkey").cast("string").alias("ALLUCD13"), F.col("p_brand").alias("CAT"),
     )
 
 
-def _doceds(spark, sf_dir):
+def _doceds(spark, sf_dir, wide):
     lang = F.col("lang")
-    return documents(spark, sf_dir).select(
+    return documents(spark, sf_dir, wide).select(
         text("p", "o_custkey").alias("PATID"), text("e", "doc_id").alias("EVTID"), text("d", "doc_id").alias("ELTID"),
         F.col("text").alias("RECTXT"), F.when(~lang.isin("en", "fr"), F.col("source")).alias("RECFAMTXT"),
         iso(F.col("o_orderdate")).alias("RECDATE"), lang.alias("RECTYPE"),
@@ -352,9 +359,9 @@ def _doceds(spark, sf_dir):
     )
 
 
-def _pmsi(spark, sf_dir):
+def _pmsi(spark, sf_dir, wide):
     k = F.col("o_orderkey")
-    base = orders(spark, sf_dir)
+    base = orders(spark, sf_dir, wide)
     common = [text("p", "o_custkey").alias("PATID"), text("e", k).alias("EVTID"), iso(F.col("o_orderdate")).alias("DATENT")]
     conditions = base.select(
         *common, text("c", k).alias("ELTID"), F.col("o_orderpriority").alias("DALL"), F.col("o_orderstatus").alias("GHM"),
@@ -367,9 +374,9 @@ def _pmsi(spark, sf_dir):
 _TABLES = {"patient": _patient, "mvt": _mvt, "biol": _biol, "pharma": _pharma, "doceds": _doceds, "pmsi": _pmsi}
 
 
-def dataset(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+def dataset(spark: SparkSession, sf_dir: str, *names: str, wide: bool = False) -> dict[str, DataFrame]:
     """Tables as they are before enrichment, computed without records: the input of filters, exports and counts.
 
     Filters on them reach the Parquet scans of the given tables.
     """
-    return {n: enforce_schema(_TABLES[n](spark, sf_dir), n) for n in names or _TABLES}
+    return {n: enforce_schema(_TABLES[n](spark, sf_dir, wide), n) for n in names or _TABLES}

@@ -139,7 +139,7 @@ _OWNED = f"""
 )
 def import_status(spark, sf_dir):
     owned = search.patient_everything(fx.resources(spark, sf_dir))
-    status = browse.import_status(owned.withColumn("readable", F.try_parse_json("resource").isNotNull()))
+    status = browse.import_status(owned.withColumn("readable", records.is_readable(F.col("resource"))))
     return status.withColumn("resources_per_type", _map_text("resources_per_type"))
 
 
@@ -228,7 +228,7 @@ def patient_everything(spark, sf_dir):
 )
 def lastn(spark, sf_dir):
     shape = "id string, effectiveDateTime string, subject struct<reference:string>, code struct<text:string>"
-    read = fx.resources(spark, sf_dir, "Observation").select(F.from_json("resource", shape).alias("r"))
+    read = records.parsed(fx.resources(spark, sf_dir, "Observation"), shape, "r")
     observations = read.select(
         search.ids.patient_of_reference(F.col("r.subject.reference")).alias("subject"),
         F.col("r.code.text").alias("code"), F.col("r.id").alias("id"), F.col("r.effectiveDateTime").alias("effective"),
