@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/wardlake/{name}-{uuid.uuid4().hex}"
 
 
+def side_by_side(action: Callable[[Any], Any], items: Iterable[Any]) -> list:
+    """Run an action (one Spark job or more) per item at the same time; results in the order of the items.
+
+    Independent writes then share the cluster instead of waiting for each other's last tasks.
+    """
+    items = list(items)
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(action, items))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input to all cores.
 
