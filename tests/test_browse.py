@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from wardlake.operators import browse, numbering, search
+from wardlake.operators import browse, extract, numbering, search
 
 
 def resources(spark, *items):
@@ -37,6 +37,16 @@ def test_stats_and_totals(spark):
     assert tuple(browse.dataset_totals(data, spark).first()) == (2, 5, {"mvt": 2, "patient": 3})
 
 
+def test_empty_dataset(spark):
+    assert browse.table_stats({}, spark).collect() == [] and tuple(browse.dataset_totals({}, spark).first()) == (0, 0, {})
+
+
+def test_bundle_summary_counts_entries_without_a_resource(spark):
+    docs = spark.createDataFrame([('{"entry":[{"resource":{"resourceType":"A"}},{"request":{}}]}',)], "value string")
+    found = browse.bundle_summary(extract.bundle_entries(docs, with_empty=True))
+    assert {r.resource_type: r.n for r in found.collect()} == {"A": 1, "*": 2}
+
+
 def test_bundle_summary(spark):
     found = browse.bundle_summary(resources(spark, {"resourceType": "A"}, {"resourceType": "A"}, {"id": "x"}))
     assert {r.resource_type: r.n for r in found.collect()} == {"A": 2, "*": 3}
@@ -109,6 +119,26 @@ def test_lastn(spark):
     assert sorted(r.id for r in search.lastn(df, 2).collect()) == ["a", "n", "q", "z"]
 
 
+def test_search_lastn(spark):
+    def observation(i, subject, code, date, *categories):
+        return {
+            "resourceType": "Observation", "id": i, "subject": {"reference": f"Patient/{subject}"}, "effectiveDateTime": date,
+            "code": code, "category": [{"coding": [{"code": c}]} for c in categories],
+        }
+
+    a, b = {"coding": [{"code": "a"}], "text": "x"}, {"text": "b"}
+    store = resources(
+        spark, observation("1", "p", a, "2024-01", "lab"), observation("2", "p", a, "2024-02", "vital", "lab"),
+        observation("3", "p", b, "2024-01", "vital"), observation("4", "q", a, "2023-12"), {"resourceType": "Device", "id": "5"},
+    )
+    assert ids(search.search_lastn(store)) == ["2", "3", "4"]
+    assert ids(search.search_lastn(store, 2, category=["lab"])) == ["1", "2"]
+    assert ids(search.search_lastn(store, code=["b"])) == ["3"]
+    assert ids(search.search_lastn(store, until="2024-02")) == ["1", "3", "4"]
+    assert ids(search.search_lastn(store, since="2024-01", patients=["p"])) == ["2", "3"]
+    assert ids(search.search_lastn(store, patients=spark.createDataFrame([("q",)], "x string"))) == ["4"]
+
+
 @pytest.fixture
 def log(spark):
     """One record that holds a third of all writes, all of them at the same moment, and many small ones."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardlake import model
 from wardlake.operators.filters import Propagate, Where
-from wardlake.plans import exporting, filtering, importing
+from wardlake.plans import exporting, filtering, importing, reporting
 from wardlake.sources import bundles as docs
 from wardlake.sources import runs
 from wardlake.sources import tables as store
@@ -105,6 +105,33 @@ def test_export_folder(spark, tmp_path):
     assert sorted(written) == ["patient-1", "patient-2"]
 
 
+def test_export_summary_lists_empty_tables(spark, tmp_path):
+    source = str(tmp_path / "s")
+    store.write_table(spark.createDataFrame([("1", None, 3, "F")], model.table_schema("patient")), source, "patient")
+    store.write_table(spark.createDataFrame([], model.table_schema("mvt")), source, "mvt", keep_empty=True)
+    summary = exporting.export_folder(spark, source, str(tmp_path / "o"))
+    assert {r.item: r.n for r in summary.collect()} == {"Patient": 1, "Encounter": 0, "Bundle": 1}
+
+
+def test_delete_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    store.write_table(spark.createDataFrame([("e1",), ("e2",), (None,)], "EVTID string"), folder, "mvt")
+    assert filtering.delete_rows(spark, folder, "mvt", ["e1", "e9"]) == 2
+    assert filtering.delete_rows(spark, folder, "mvt", ["e2"]) == 1
+    with pytest.raises(ValueError):
+        filtering.delete_rows(spark, folder, "none", ["e1"])
+
+
+def test_run_logged(spark, tmp_path):
+    log = str(tmp_path / "log")
+    reporting.run_logged(spark, log, "import", lambda: spark.createDataFrame([("mvt", 3)], "table string, n int"), "r1")
+    with pytest.raises(ZeroDivisionError):
+        reporting.run_logged(spark, log, "import", lambda: 1 / 0, "r2")
+    found = {r.run_id: r for r in spark.read.parquet(log).collect()}
+    assert (found["r1"].status, json.loads(found["r1"].summary)) == ("success", [{"table": "mvt", "n": 3}])
+    assert (found["r2"].status, found["r2"].errors) == ("failed", ["division by zero"])
+
+
 def test_paged_bundles_keep_the_order(spark):
     page = lambda *names: bundle(*[{"resourceType": n} for n in names])
     pages = spark.createDataFrame([("r", 2, page("C")), ("r", 1, page("A", "B")), ("q", 1, '{"entry":[{}]}'), ("s", 1, "{}")], "request_id string, page_no int, value string")

@@ -17,7 +17,10 @@ PREVIEW_COLUMNS = 8
 
 
 def bundle_summary(resources: DataFrame) -> DataFrame:
-    """(resource_type, n): records per type, and all entries under ``*``; entries without a type count there only."""
+    """(resource_type, n): records per type, and all entries under ``*``; entries without a type count there only.
+
+    To count entries without a resource too, read the entries with ``with_empty``.
+    """
     typed = resources.filter(F.col("resource_type").isNotNull())
     per_type = typed.groupBy("resource_type").agg(F.count("*").alias("n"))
     return per_type.unionByName(resources.agg(F.count("*").alias("n")).select(F.lit("*").alias("resource_type"), "n"))
@@ -35,6 +38,8 @@ def snapshot_counts(
 ) -> DataFrame:
     """(table, n_rows) for the named tables (default: all of the dataset)."""
     names = sorted(dataset) if tables is None else tables
+    if not names:
+        return spark.createDataFrame([], "table string, n_rows bigint")
     return reduce(DataFrame.unionByName, [table_row_count(dataset.get(t), t, spark) for t in names])
 
 
@@ -74,16 +79,15 @@ def table_stats(
 ) -> DataFrame:
     """(table, n_rows, n_cols) of the visible tables, by name."""
     shown = {t: df for t, df in dataset.items() if t not in hidden}
-    widths = F.create_map(*[F.lit(x) for t, df in shown.items() for x in (t, len(df.columns))])
-    counts = snapshot_counts(shown, spark)
-    return counts.withColumn("n_cols", widths[F.col("table")].cast("bigint")).orderBy("table")
+    widths = spark.createDataFrame([(t, len(df.columns)) for t, df in shown.items()], "table string, n_cols bigint")
+    return snapshot_counts(shown, spark).join(widths, "table").orderBy("table")
 
 
 def dataset_totals(dataset: Mapping[str, DataFrame], spark: SparkSession) -> DataFrame:
     """Number of tables, rows in all, and rows per table as a map."""
     return snapshot_counts(dataset, spark).agg(
         F.count("*").alias("n_tables"),
-        F.sum("n_rows").cast("bigint").alias("total_rows"),
+        F.coalesce(F.sum("n_rows"), F.lit(0)).cast("bigint").alias("total_rows"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("table", "n_rows")))).alias("detail"),
     )
 

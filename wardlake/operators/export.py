@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -406,11 +407,19 @@ def bundle_by_encounter(resources: DataFrame, max_entries: int = MAX_ENTRIES) ->
     return build_bundles(bundle_rows(resources, "encounter"), max_entries)
 
 
-def export_summary(resources: DataFrame, strategy: str = "patient") -> DataFrame:
-    """(item, n): records per type before copies are dropped, and the number of bundles as ``Bundle``."""
-    types = resources.groupBy(F.col("type").alias("item")).agg(F.count("*").alias("n"))
+def export_summary(
+    resources: DataFrame, strategy: str = "patient", types: Sequence[str] = ()
+) -> DataFrame:
+    """(item, n): records per type before copies are dropped, and the number of bundles as ``Bundle``.
+
+    The named types are listed even if the tables hold none of them.
+    """
+    per_type = resources.groupBy(F.col("type").alias("item")).agg(F.count("*").alias("n"))
+    if types:
+        listed = resources.sparkSession.createDataFrame([(t,) for t in types], "item string")
+        per_type = listed.join(per_type, "item", "full").fillna(0, ["n"])
     groups = grouped(resources, strategy).select("bundle_id").distinct()
-    return types.unionByName(groups.agg(F.count("*").alias("n")).select(F.lit("Bundle").alias("item"), "n"))
+    return per_type.unionByName(groups.agg(F.count("*").alias("n")).select(F.lit("Bundle").alias("item"), "n"))
 
 
 def bundle_size_stats(bundles: DataFrame) -> DataFrame:

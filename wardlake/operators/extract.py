@@ -11,7 +11,9 @@ from wardlake.functions import ids, records, values
 ENTRY_SCHEMA = "entry array<struct<resource:string>>"
 
 
-def bundle_entries(bundles: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+def bundle_entries(
+    bundles: DataFrame, value: str = "value", keep: tuple[str, ...] = (), with_empty: bool = False
+) -> DataFrame:
     """One row (resource_type, resource) per entry that has a resource; ``keep`` carries bundle columns along.
 
     The text leaf in the schema leaves each resource as raw JSON: the bundle is parsed once, and
@@ -21,7 +23,8 @@ def bundle_entries(bundles: DataFrame, value: str = "value", keep: tuple[str, ..
         F.from_json(value, ENTRY_SCHEMA)["entry"],
         lambda e: F.struct(records.json_path(e["resource"], "resourceType").alias("resource_type"), e["resource"].alias("resource")),
     )
-    return bundles.select(*keep, F.inline(typed)).filter("resource is not null")
+    entries = bundles.select(*keep, F.inline(typed))
+    return entries if with_empty else entries.filter("resource is not null")
 
 
 def route_resources(resources: DataFrame, mapping: dict = model.MAPPING) -> DataFrame:

@@ -102,6 +102,54 @@ def lastn(
     return observations.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= n)
 
 
+OBSERVATION_SCHEMA = (
+    "id string, effectiveDateTime string, subject struct<reference:string>, patient struct<reference:string>, "
+    "code struct<text:string,coding:array<struct<code:string>>>, "
+    "category array<struct<text:string,coding:array<struct<code:string>>>>"
+)
+
+
+def observations(resources: DataFrame) -> DataFrame:
+    """(subject, code, categories, effective, id, resource) of the Observation records.
+
+    The code is that of the first coding, else the text; categories are all category codes.
+    """
+    read = records.parsed(_of_type(resources, "Observation"), OBSERVATION_SCHEMA, "_o")
+    o = F.col("_o")
+    return read.select(
+        ids.patient_of_reference(o["subject"]["reference"], o["patient"]["reference"]).alias("subject"),
+        F.coalesce(F.get(o["code"]["coding"], F.lit(0))["code"], o["code"]["text"]).alias("code"),
+        F.flatten(F.transform(o["category"], lambda c: F.transform(c["coding"], lambda k: k["code"]))).alias("categories"),
+        o["effectiveDateTime"].alias("effective"),
+        o["id"].alias("id"),
+        "resource",
+    )
+
+
+def search_lastn(
+    resources: DataFrame, n: int = 1, category: Sequence[str] = (), code: Sequence[str] = (),
+    since: str | None = None, until: str | None = None, patients: Sequence[str] | DataFrame | None = None,
+) -> DataFrame:
+    """Latest ``n`` Observation records per patient and code; each filter that is given must hold.
+
+    ``since`` is inclusive, ``until`` exclusive; both compare ISO text. Records without a subject count as one.
+    """
+    found = observations(resources)
+    if category:
+        found = found.filter(F.arrays_overlap("categories", F.array(*[F.lit(c) for c in category])))
+    if code:
+        found = found.filter(F.col("code").isin(list(code)))
+    if since is not None:
+        found = found.filter(F.col("effective") >= since)
+    if until is not None:
+        found = found.filter(F.col("effective") < until)
+    if isinstance(patients, DataFrame):
+        found = found.join(patients.toDF("_wanted"), F.col("subject") == F.col("_wanted"), "left_semi")
+    elif patients is not None:
+        found = found.filter(F.col("subject").isin(list(patients)))
+    return lastn(found, n)
+
+
 def latest_versions(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last write per key."""
     newest = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.operators import browse
+from wardlake.operators import browse, merge
 from wardlake.operators.filters import Propagate, Where, filter_dataset
 from wardlake.session import durable
 from wardlake.sources import tables as store
@@ -27,8 +27,24 @@ def filter_folder(
     after = kept
     if output_folder is not None:
         for table, df in kept.items():
-            store.write_table(df, output_folder, table, copy_to)
+            store.write_table(df, output_folder, table, copy_to, keep_empty=True)
         after = {t: df for t in kept if (df := store.scan_table(spark, output_folder, t)) is not None}
     return browse.filter_impact(
         browse.snapshot_counts(before, spark), browse.snapshot_counts(after, spark, list(kept))
     ).orderBy("table")
+
+
+# Column that identifies a row to delete; ELTID in all other tables.
+ID_OF_TABLE = {"patient": "PATID", "mvt": "EVTID"}
+
+
+def delete_rows(
+    spark: SparkSession, folder: str, table: str, ids: DataFrame | Sequence[str], column: str | None = None
+) -> int:
+    """Write a table anew without the listed ids; returns the number of rows left."""
+    rows = store.scan_table(spark, folder, table)
+    if rows is None:
+        raise ValueError(f"no such table: {table}")
+    kept = merge.delete_by_id(rows, ids, column or ID_OF_TABLE.get(table, "ELTID"))
+    store.write_table(kept, folder, table, keep_empty=True)
+    return store.scan_table(spark, folder, table).count()

@@ -44,8 +44,10 @@ def scan_dataset(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(table_path(folder, t)) for t in list_tables(spark, folder)}
 
 
-def write_table(df: DataFrame, folder: str, table: str, copy_to: str | None = None) -> bool:
-    """Replace a table; a table without rows is not written. Says whether it was.
+def write_table(
+    df: DataFrame, folder: str, table: str, copy_to: str | None = None, keep_empty: bool = False
+) -> bool:
+    """Replace a table; one without rows is written only if ``keep_empty``. Says whether it was.
 
     The rows go to a new folder first, which then takes the table's place: readers never see half a table,
     and the plan may read the very table that it replaces. A second copy is made from the files written.
@@ -56,7 +58,7 @@ def write_table(df: DataFrame, folder: str, table: str, copy_to: str | None = No
     df.write.parquet(fresh)
     at, fs = _path(spark, fresh)
     written = spark.read.schema(df.schema).parquet(fresh)
-    if written.isEmpty():
+    if not keep_empty and written.isEmpty():
         fs.delete(at, True)
         return False
     if copy_to:

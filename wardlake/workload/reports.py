@@ -236,6 +236,23 @@ def lastn(spark, sf_dir):
     return search.lastn(observations.filter("subject IS NOT NULL"), 3).select("subject", "code", "id", "effective")
 
 
+@query(
+    "lastn_filtered",
+    tables(
+        f"""SELECT subject, code, id, effective FROM (
+                SELECT 'p' || o_custkey AS subject, CAST(l_partkey AS VARCHAR) AS code, 'o' || {LINE_ID} AS id,
+                       {iso('l_shipdate')} AS effective FROM item WHERE l_partkey % 11 <> 0)
+            WHERE effective >= '1996' AND effective < '2000'
+              AND subject IN (SELECT 'p' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+            QUALIFY row_number() OVER (PARTITION BY subject, code ORDER BY effective DESC, id) <= 1"""
+    ),
+)
+def lastn_filtered(spark, sf_dir):
+    patients = fx.customers(spark, sf_dir).filter("c_mktsegment = 'BUILDING'").select(fx.text("p", "c_custkey"))
+    found = search.search_lastn(fx.resources(spark, sf_dir), since="1996", until="2000", patients=patients)
+    return found.select("subject", "code", "id", "effective")
+
+
 def _log(spark, sf_dir):
     """Events as a log of writes; errors are deletions."""
     return fx.table(spark, sf_dir, "events").select(
