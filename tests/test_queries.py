@@ -20,6 +20,8 @@ def db():
 def test_query(spark, db, name):
     df = entry_points.queries()[name](spark, SMALL)
     assert difference(df, db, entry_points.oracle_sql()[name]) is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("CartesianProduct|NestedLoopJoin|EvalPython|MapInPandas|FlatMapGroups", plan)
 
 
 def test_entry(spark):

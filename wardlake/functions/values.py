@@ -11,6 +11,8 @@ SEX_CODES = {"male": "M", "female": "F", "other": "I", "unknown": "I"}
 SEX_DEFAULT = "I"
 GENDERS = {"M": "male", "F": "female"}
 GENDER_DEFAULT = "unknown"
+
+# Unit of a stay without one, namespace of a text block, offset suffix of a date.
 UNKNOWN_UNIT = "Hôpital Indéterminé"
 XHTML_NAMESPACE = ' xmlns="http://www.w3.org/1999/xhtml"'
 UTC_OFFSET = r"[+-]\d{2}:\d{2}$"

@@ -30,6 +30,7 @@ DATE_MARKS = ["Date", "DateTime", "recorded", "period"]
 # Table column -> record type that its reference paths point at.
 REFERENCE_TYPES = {"PATID": "Patient", "EVTID": "Encounter", "ELTID": "Location"}
 
+# Fixed value: name of a stub, before its id.
 STUB_NAME = "Auto-generated Location "
 STUB_ORD = -1
 

@@ -49,8 +49,9 @@ def write_table(
 ) -> bool:
     """Replace a table; one without rows is written only if ``keep_empty``. Says whether it was.
 
-    The rows go to a new folder first, which then takes the table's place: readers never see half a table,
-    and the plan may read the very table that it replaces. A second copy is made from the files written.
+    The rows go to a new folder first, which then takes the table's place: readers never see half a table
+    (for a moment they may see none), and the plan may read the very table that it replaces. A second copy
+    is made from the files written.
     """
     spark = df.sparkSession
     target = table_path(folder, table)
@@ -82,6 +83,12 @@ def drop_tables(spark: SparkSession, folder: str, tables) -> None:
         fs.delete(at, True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of one's own, such as the stage of a finished import."""
+    at, fs = _path(spark, folder)
+    fs.delete(at, True)
+
+
 def read_list(spark: SparkSession, path: str) -> DataFrame:
     """Values of a text file, one per line; blanks around them and empty lines are dropped."""
     return spark.read.text(path).select(F.trim("value", F.lit(" \t\r\f\x0b")).alias("value")).filter("value <> ''")
