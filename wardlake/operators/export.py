@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from wardlake import model
 from wardlake.functions import ids, records, values
+from wardlake.session import stored
 
 # Status that a record type gets, and the intent of prescriptions.
 STATUS = {
@@ -360,9 +361,10 @@ def bundle_parts(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame |
     sizes = ids_of_large.groupBy("bundle_id", "ord").agg(F.count("*").alias("n"))
     above = sizes.groupBy("bundle_id").agg(F.sum("n").alias("total")).filter(F.col("total") > max_entries)
     parts = F.ceil(F.col("n") / F.lit(max_entries)).cast("int")
-    return sizes.join(above, "bundle_id", "left_semi").select(
+    cuts = sizes.join(above, "bundle_id", "left_semi").select(
         F.col("bundle_id").alias("_bundle"), F.col("ord").alias("_ord"), parts.alias("_parts")
     )
+    return stored(cuts, "bundle-parts")
 
 
 def build_bundles(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardlake.session import durable
+from wardlake.session import durable, stored
 
 # Largest group that one task sorts by itself.
 GROUP_ROWS = 5_000_000
@@ -30,6 +30,7 @@ def number_rows(
     plain = F.row_number().over(W.partitionBy(*within).orderBy(*order)).cast("bigint")
     if large.isEmpty():
         return df.withColumn(name, plain)
+    large = stored(large, "large-groups")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
     small_part = df.join(large, same, "left_anti").withColumn(name, plain)
     return small_part.unionByName(_number_slices(df.join(large, same, "left_semi"), order, within, name))

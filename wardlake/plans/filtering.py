@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardlake.operators import browse, merge
 from wardlake.operators.filters import Propagate, Where, filter_dataset
-from wardlake.session import durable
+from wardlake.session import stored
 from wardlake.sources import tables as store
 
 
@@ -22,7 +22,7 @@ def filter_folder(
     Key sets are stored once, since every table that is written needs them again.
     """
     source = store.scan_dataset(spark, input_folder)
-    kept = filter_dataset(source, clauses, propagate, only, exclude, keep_nulls, durable)
+    kept = filter_dataset(source, clauses, propagate, only, exclude, keep_nulls, lambda keys: stored(keys, "keys"))
     before = {t: source[t] for t in kept}
     after = kept
     if output_folder is not None:

@@ -59,3 +59,14 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once below the shared folder and read back. Eager.
+
+    Spark knows the size of what is read back, so a join broadcasts it only if it is small, and does so
+    without shuffling the other side first. Meant for small results that are used several times.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
