@@ -306,7 +306,8 @@ def dedupe_resources(members: DataFrame) -> DataFrame:
     a group made of very many copies does not travel. Stubs (negative ord) give way to real records.
     """
     last_resort = F.when(F.col("ord") < 0, 1).otherwise(0)
-    first = W.partitionBy("bundle_id", "type", "id").orderBy(last_resort, "ord", "resource")
+    # The id comes first: sorts compare the first bytes, which all bundle ids share.
+    first = W.partitionBy("id", "type", "bundle_id").orderBy(last_resort, "ord", "resource")
     return members.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
 
 
