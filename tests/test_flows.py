@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from wardlake import model
 from wardlake.operators.filters import Propagate, Where

@@ -1,7 +1,6 @@
 """What the plans of the operators must and must not contain."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from wardlake.operators import export, extract
 from wardlake.operators import filters as flt

@@ -11,7 +11,7 @@ from wardlake.plans import exporting
 from wardlake.session import scratch
 from wardlake.sources import bundles as docs
 from wardlake.workload import fixtures as fx
-from wardlake.workload.expected import RECORDS, iso, members, tables
+from wardlake.workload.expected import RECORDS, members, tables
 from wardlake.workload.registry import query
 
 BUNDLE = "id string, type string, entry array<struct<resource:string,request:struct<method:string,url:string>>>"

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlake import model
 from wardlake.functions import ids, records, values
 from wardlake.operators import browse, enrich, extract
 from wardlake.session import scratch
 from wardlake.sources import bundles as docs
 from wardlake.sources import tables as store
 from wardlake.workload import fixtures as fx
-from wardlake.workload.expected import LINE_ID, RECORDS, STAY_END, iso, strip, tables, whole
+from wardlake.workload.expected import LINE_ID, STAY_END, iso, strip, tables, whole
 from wardlake.workload.registry import query
 
 _BUNDLES = """
