@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space that separates words in every contract: space and the control characters 9 to 13.
-BLANKS = rb" \t\n\x0b\x0c\r"
+BLANKS = b" \t\n\x0b\x0c\r"
 # Rows of one long (or of a few) that every task may hold as a broadcast table: 32 MB at the most.
 BROADCAST_ROWS = 1_000_000
 
@@ -91,6 +91,11 @@ def keep_matching(df: DataFrame, keys: DataFrame, on: str, rows: int) -> DataFra
     return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, "left_semi")
 
 
+def drop_matching(df: DataFrame, keys: DataFrame, on: str, rows: int) -> DataFrame:
+    """Anti join on one column that is never null, with the same bound."""
+    return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, "left_anti")
+
+
 def batches(frames: Iterable, weight, most: int):
     """Regroup the rows of Arrow batches into lists of bounded total weight (one row may weigh more by itself)."""
     held, total = [], 0

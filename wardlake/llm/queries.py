@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import common, langid
+from wardlake.llm import bpe, common, exactdup, langid, mainhtml, mixing, tokenfiles, topk
+from wardlake.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -35,3 +37,54 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~held_out & F.col("lang").isNotNull()))
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_exact_top_k", check="""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+               WHERE embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+         s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+               FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op3_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    manifest = tokenfiles.write(
+        table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2
+    )
+    return tokenfiles.read(spark, folder, manifest)
+
+
+@query("op6_exact_dedup", check=r"""
+    WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                      regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS body FROM documents)
+    SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+           doc_id = first_value(doc_id) OVER w AS kept, sha256(body) AS text_sha256
+    FROM d WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id)""")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.mark(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+@query("op8_main_html")
+def main_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainhtml.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op9_mix_sources")
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("bigint")
+    mixed = mixing.mix(docs.select("doc_id", "source", size.alias("size")), "size")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
