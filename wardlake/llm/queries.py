@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, common, exactdup, langid, mainhtml, mixing, tokenfiles, topk
+from wardlake.llm import bpe, common, exactdup, jaccard, langid, mainhtml, mixing, tokenfiles, topk
 from wardlake.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,23 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("bigint")
     mixed = mixing.mix(docs.select("doc_id", "source", size.alias("size")), "size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op10_jaccard_join", check=r"""
+    WITH RECURSIVE w AS MATERIALIZED (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS MATERIALIZED (
+        SELECT DISTINCT doc_id, list_aggregate(words[i:i + 3], 'string_agg', ' ') AS shingle
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+               FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+    link AS MATERIALIZED (
+        SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+              UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY ALL""")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), n=4, percent=85).drop("row_key")
