@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.common import mix
+from wardlake.session import durable
 
 BUCKETS = 1 << 15
 ORDERS = 4
@@ -101,7 +102,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", smoothing: flo
     """Learn from all rows of ``train`` that have a text and a language."""
     rows = train.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     parts = rows.dropna().mapInPandas(count_grams, "lang string, bucket int, n bigint")
-    totals = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    totals = durable(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     known = totals.filter("bucket = -1").select("lang", "n").orderBy("lang").limit(MAX_CELLS // BUCKETS + 1).collect()
     if len(known) * BUCKETS > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS // BUCKETS} languages; the matrix would pass its bound")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, common, exactdup, jaccard, langid, mainhtml, mixing, tokenfiles, topk
+from wardlake.llm import bpe, common, exactdup, jaccard, langid, mainhtml, mixing, ngramlm, tokenfiles, topk
 from wardlake.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents d LEFT JOIN n USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY ALL""")
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), n=4, percent=85).drop("row_key")
+
+
+@query("op4_lm_scores")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.score(table(spark, sf_dir, "documents"), common.fold(F.col("doc_id")) == 1)
