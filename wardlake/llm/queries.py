@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import bpe, common, exactdup, jaccard, langid, mainhtml, mixing, ngramlm, tokenfiles, topk
+from wardlake.llm import bpe, common, exactdup, jaccard, langid, mainhtml, mixing, ngramlm, surrogates, tokenfiles, topk
 from wardlake.session import scratch
 
+#: The key of the surrogates in the query; a user passes a secret of their own.
+SURROGATE_KEY = "public example key"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -113,3 +116,8 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_lm_scores")
 def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramlm.score(table(spark, sf_dir, "documents"), common.fold(F.col("doc_id")) == 1)
+
+
+@query("op7_pii_surrogates")
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
