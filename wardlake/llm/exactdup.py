@@ -191,11 +191,12 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = mark(docs, text).filter("group_size > 1")
     keys = marked.groupBy("row_key").agg(F.count(F.when(F.col("kept"), 1)).alias("stay"), F.count("*").alias("rows"))
     keys = durable(keys.filter("stay < rows"))
-    gone, again = keys.filter("stay = 0").select("row_key"), keys.filter("stay > 0").select("row_key")
-    named = docs.withColumn("row_key", row_key("doc_id", text))
+    gone = keys.filter("stay = 0").select(F.col("row_key").alias("__row"))
+    again = keys.filter("stay > 0").select(F.col("row_key").alias("__row"))
+    named = docs.withColumn("__row", row_key("doc_id", text))
     sizes = {r["stay"] > 0: r["n"] for r in keys.groupBy((F.col("stay") > 0).alias("stay")).agg(F.count("*").alias("n")).collect()}
-    left = drop_matching(named, gone, "row_key", sizes.get(False, 0))
+    left = drop_matching(named, gone, "__row", sizes.get(False, 0))
     if sizes.get(True):  # repeated rows of which one stays
-        once = keep_matching(left, again, "row_key", sizes[True]).dropDuplicates(["row_key"])
-        left = drop_matching(left, again, "row_key", sizes[True]).unionByName(once)
+        once = keep_matching(left, again, "__row", sizes[True]).dropDuplicates(["__row"])
+        left = drop_matching(left, again, "__row", sizes[True]).unionByName(once)
     return left.select(docs.columns)

@@ -387,6 +387,6 @@ def one_of_each(docs: DataFrame, n: int, percent: int, text: str = "text") -> Da
     """The rows of ``docs`` without those that link, over any number of links, with a row of a smaller id."""
     linked = link(docs, n, percent, text)
     smaller = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = durable(linked.filter(smaller).select("row_key").distinct())
-    named = docs.withColumn("row_key", row_key("doc_id", text))
-    return drop_matching(named, gone, "row_key", gone.count()).select(docs.columns)
+    gone = durable(linked.filter(smaller).select(F.col("row_key").alias("__row")).distinct())
+    named = docs.withColumn("__row", row_key("doc_id", text))
+    return drop_matching(named, gone, "__row", gone.count()).select(docs.columns)

@@ -145,5 +145,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield score_texts(batch, shared.value)
 
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    named = docs.withColumn("_found", predicted(F.col(text)))
-    return named.select(*[F.col(f"`{c}`") for c in kept], "_found.lang_pred", "_found.score")
+    named = docs.withColumn("__found", predicted(F.col(text)))
+    return named.select(*[F.col(f"`{c}`") for c in kept], "__found.lang_pred", "__found.score")

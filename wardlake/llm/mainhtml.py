@@ -201,6 +201,6 @@ def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
             yield pd.Series([extract(value) for value in batch], dtype=object)
 
     kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars", html.lower())]
-    found = pages.withColumn("_text", extracted(F.col(html)))
-    return found.select(*[F.col(f"`{c}`") for c in kept], F.col("_text").alias("text"),
-                        F.length("_text").cast("bigint").alias("n_chars"))
+    found = pages.withColumn("__text", extracted(F.col(html)))
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.col("__text").alias("text"),
+                        F.length("__text").cast("bigint").alias("n_chars"))

@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardlake.llm.common import BROADCAST_ROWS
 from wardlake.session import durable
 
 #: The most times a source, and so a document, is taken.
@@ -171,26 +172,48 @@ def mix(docs: DataFrame, size: str, source: str = "source", seed: int = 17) -> D
     Existing columns of these names are replaced. ``size``: name of the column with the words of each row.
     """
     kept = docs.drop("source_size", "target", "copies")
-    named = kept.withColumn("_source", F.col(source)).withColumn("_size", F.col(size).cast("bigint"))
-    goal = targets(named.select(F.col("_source").alias("source"), F.col("_size").alias("size")))
-    goal = goal.select(F.col("source").alias("_name"), "source_size", "n_docs", "target")
+    named = kept.withColumn("__source", F.col(source)).withColumn("__size", F.col(size).cast("bigint"))
+    goal = targets(named.select(F.col("__source").alias("source"), F.col("__size").alias("size")))
+    goal = goal.select(F.col("source").alias("__name"), "source_size", F.col("n_docs").alias("__n_docs"), "target")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return _taken(named, goal.withColumn("_times", times), seed).drop("_source", "_size")
+    return _taken(named, goal.withColumn("__times", times), seed).drop("__source", "__size")
 
 
 def _taken(named: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
     columns = [c for c in named.columns]
-    told = named.select("*", F.xxhash64(F.lit(seed), "doc_id", "_source", "_size").alias("_key"))
+    told = named.select("*", F.xxhash64(F.lit(seed), "doc_id", "__source", "__size").alias("__key"))
     # Copies of one row get numbers of their own; ids are unique as a rule, so these groups have one row.
-    told = told.withColumn("_doc", F.xxhash64("_key", F.row_number().over(W.partitionBy("_key").orderBy("_size"))))
-    joined = told.join(goal, F.col("_source").eqNullSafe(F.col("_name")))
-    whole = F.floor("_times")
+    told = told.withColumn("__doc", F.xxhash64("__key", F.row_number().over(W.partitionBy("__key").orderBy("__size"))))
+    joined = told.join(goal, F.col("__source").eqNullSafe(F.col("__name")))
+    whole = F.floor("__times")
     small = joined.select(
-        F.col("_doc").alias("doc"), F.col("_source").alias("source"), F.col("_size").alias("size"),
-        F.when(F.col("_size") > 0, F.col("_times") - whole).otherwise(0.0).alias("chance"),
-        (F.pmod(F.xxhash64(F.lit(seed + 1), "_doc"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"), "n_docs",
+        F.col("__doc").alias("doc"), F.col("__source").alias("source"), F.col("__size").alias("size"),
+        F.when(F.col("__size") > 0, F.col("__times") - whole).otherwise(0.0).alias("chance"),
+        (F.pmod(F.xxhash64(F.lit(seed + 1), "__doc"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"), F.col("__n_docs").alias("n_docs"),
     )
-    decided = decide(small).select(F.col("doc").alias("_doc"), F.col("chance").cast("int").alias("_more"))
-    return joined.join(decided, "_doc").select(
-        *[F.col(f"`{c}`") for c in columns], "source_size", "target", (whole + F.col("_more")).cast("int").alias("copies")
+    decided = decide(small).select(F.col("doc").alias("__doc"), F.col("chance").cast("int").alias("__more"))
+    return joined.join(decided, "__doc").select(
+        *[F.col(f"`{c}`") for c in columns], "source_size", "target", (whole + F.col("__more")).cast("int").alias("copies")
     )
+
+
+def words_in(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def take(docs: DataFrame, text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it, with its columns.
+
+    Only ids, sources and sizes go through the sampling; the texts meet its result at the end.
+    """
+    key = F.xxhash64("doc_id", source, text)
+    slim = docs.select("doc_id", F.col(source).alias("source"), words_in(text).alias("size"), key.alias("__row"))
+    times = mix(slim, "size", "source", seed).groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    times = durable(times)
+    chosen = times.filter("__copies > 0").select("__row", "__copies")
+    named = docs.withColumn("__row", key)
+    if not times.filter("__rows > 1").isEmpty():  # repeated rows: one of them stands for what all of them take
+        named = named.dropDuplicates(["__row"])
+    few = chosen.count() <= BROADCAST_ROWS
+    joined = named.join(F.broadcast(chosen) if few else chosen, "__row")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).select(docs.columns)

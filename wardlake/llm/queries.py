@@ -88,8 +88,7 @@ def main_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("bigint")
-    mixed = mixing.mix(docs.select("doc_id", "source", size.alias("size")), "size")
+    mixed = mixing.mix(docs.select("doc_id", "source", mixing.words_in("text").alias("size")), "size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

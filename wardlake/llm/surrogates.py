@@ -204,7 +204,7 @@ def _written(kind: Column, value: Column, surrogate: Column) -> Column:
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """row_key, pos, kind, value, canon of every place that holds an entity."""
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    rows = docs.select(F.xxhash64("doc_id", text).alias("row_key"), F.posexplode(found).alias("pos", "value"))
+    rows = docs.select(F.xxhash64("doc_id", text).alias("__row"), F.posexplode(found).alias("pos", "value"))
     kind = _kind(F.col("value"))
     return rows.withColumn("kind", kind).withColumn("canon", _canonical(F.col("kind"), F.col("value")))
 
@@ -237,28 +237,28 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = durable(entities(docs, text))
     table = surrogate_table(found, key)
     placed = found.join(table, ["kind", "canon"]).select(
-        "row_key", F.struct("pos", _written(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new")).alias("place")
+        "__row", F.struct("pos", _written(F.col("kind"), F.col("value"), F.col("surrogate")).alias("__new")).alias("place")
     )
     # Repeated rows have the same places, so a set holds each once.
-    perdoc = durable(placed.groupBy("row_key").agg(F.array_sort(F.collect_set("place")).alias("places")).select(
-        "row_key", F.col("places.new").alias("new")
+    perdoc = durable(placed.groupBy("__row").agg(F.array_sort(F.collect_set("place")).alias("places")).select(
+        "__row", F.col("places.__new").alias("__new")
     ))
-    named = docs.drop("n_replaced").withColumn("row_key", F.xxhash64("doc_id", text))
+    named = docs.drop("n_replaced").withColumn("__row", F.xxhash64("doc_id", text))
     between = F.split(F.col(text), PATTERN, -1)
     built = F.concat(
         F.element_at(between, 1),
-        F.array_join(F.zip_with(F.col("new"), F.slice(between, F.lit(2), F.size("new")), lambda new, rest: F.concat(new, rest)), ""),
+        F.array_join(F.zip_with(F.col("__new"), F.slice(between, F.lit(2), F.size("__new")), lambda new, rest: F.concat(new, rest)), ""),
     )
     if perdoc.count() <= BROADCAST_DOCS:
-        joined = named.join(F.broadcast(perdoc), "row_key", "left")
+        joined = named.join(F.broadcast(perdoc), "__row", "left")
     else:  # only texts with an entity are shuffled
         held = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
-        joined = named.filter(held).join(perdoc, "row_key", "left").unionByName(
-            named.filter(~held).withColumn("new", F.lit(None).cast("array<string>"))
+        joined = named.filter(held).join(perdoc, "__row", "left").unionByName(
+            named.filter(~held).withColumn("__new", F.lit(None).cast("array<string>"))
         )
-    changed = F.when(F.col("new").isNotNull(), built).otherwise(F.col(text))
+    changed = F.when(F.col("__new").isNotNull(), built).otherwise(F.col(text))
     kept = [c for c in docs.columns if c != "n_replaced"]
     return joined.select(
         *[changed.alias(c) if c == text else F.col(f"`{c}`") for c in kept],
-        F.coalesce(F.size("new"), F.lit(0)).alias("n_replaced"),
+        F.coalesce(F.size("__new"), F.lit(0)).alias("n_replaced"),
     )
