@@ -11,11 +11,12 @@ little and are left out, as long as fewer than ``good`` parts of the set have su
 signatures all count. (Else they are all sent.) Two similar sets always share a signature.
 
 Every task sends its signatures, sorted and packed, to the owners of ranges of values. An owner returns the classes that
-share a signature as stars around the smallest class, and the members of groups of three and more. Stars are verified on
-the shingle sets themselves and give components. Then groups whose members are not all connected yet take further stars
-around members outside of the first component; what is still open after ``STARS`` rounds is compared block by block, in
-tasks of two blocks of classes, with an exact bound (the difference of the counts of shingles per range) before the
-sets. So no pair inside a group is emitted but the links found, and none is lost.
+share a signature as stars around the smallest class, and the members of groups of three and more. Stars are verified,
+by an exact bound (the difference of the numbers of shingles per range of hashes) and then on the shingle sets, and give
+components. Large groups whose members are not all connected then take up to ``STARS`` further stars around members
+outside of the first component. What is open after that is compared block by block, in tasks of two blocks of at most
+about ``MEMBERS`` classes, which return only the pairs of different components that the bound cannot exclude; those are
+verified too. So no group is expanded into its pairs, and no link is lost.
 
 Classes and shingles are 64-bit hashes.
 
@@ -40,12 +41,12 @@ from wardlake.llm.common import (
     BROADCAST_ROWS, WordHash, drop_matching, mix, pack_counts, pack_sorted, unpack_counts, unpack_sorted, words,
 )
 from wardlake.llm.components import components
-from wardlake.session import durable
+from wardlake.session import durable, stored
 
 #: Signatures that a task holds before it sends them, and that an owner is meant to hold.
 SENT, OWNED = 1 << 21, 1 << 22
-#: Rounds of further stars; classes per block in the comparison of what is then open.
-STARS, MEMBERS = 3, 256
+#: Rounds of further stars for groups above a block; classes per block in the comparison of what is then open.
+STARS, MEMBERS = 2, 512
 #: Ranges of the exact bound.
 BINS = 64
 
@@ -250,38 +251,51 @@ def shared(a: pd.Series, b: pd.Series) -> pd.Series:
     ], dtype="int64")
 
 
+def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The sum of the differences of two sketches: the sets differ in at least so many shingles."""
+    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, BINS).astype(np.int64) for s in (a, b))
+    return pd.Series(np.abs(x - y).sum(axis=1), dtype="int64")
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Numbers of shingles in ``BINS`` equal ranges of hashes."""
+    cuts = np.searchsorted(found, np.arange(1, BINS, dtype=np.uint64) << np.uint64(58))
+    return np.diff(np.concatenate([[0], cuts, [len(found)]])).astype(np.uint32)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b, na, nb) that link, as (a, b)."""
-    left = sets.select(F.col("cls").alias("a"), F.col("found").alias("fa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("found").alias("fb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("inter", F.pandas_udf(shared, "bigint")("fa", "fb"))
-    return both.filter(_linked(F.col("inter"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    """The rows (a, b, na, nb) that link, as (a, b). Sketches first; whole sets only for what they leave open."""
+
+    def sided(side: str, column: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(side), F.col(column).alias(f"f{side}"))
+
+    def both(rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(sided("a", column), "a").join(sided("b", column), "b")
+
+    na, nb = F.col("na"), F.col("nb")
+    least = F.pandas_udf(apart, "bigint")("fa", "fb")
+    near = both(pairs, "sketch").filter(least * (100 + percent) <= (100 - percent) * (na + nb))
+    near = durable(near.select("a", "b", "na", "nb"))
+    inter = both(near, "found").withColumn("inter", F.pandas_udf(shared, "bigint")("fa", "fb"))
+    return inter.filter(_linked(F.col("inter"), na, nb, percent)).select("a", "b")
 
 
 def _compare(percent: int):
-    """Links between the members of one cell: classes of different components, of two blocks or of one."""
+    """Pairs of one cell that their sketches leave open: of different components, and of two blocks or of one."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("cls", ignore_index=True)
-        found = [np.frombuffer(x, np.uint64) for x in frame["found"]]
-        size = np.array([len(x) for x in found])
-        cut = np.arange(1, BINS, dtype=np.uint64) << np.uint64(58)
-        counts = np.array([np.diff(np.concatenate([[0], np.searchsorted(x, cut), [len(x)]])) for x in found])
-        label, block, names = (frame[c].to_numpy().copy() for c in ("label", "block", "cls"))
-        apart = block.min() != block.max()
+        counts = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(-1, BINS).astype(np.int64)
+        label, block, names, size = (frame[c].to_numpy() for c in ("label", "block", "cls", "n"))
+        two = block.min() != block.max()
         out = []
         for i in range(len(frame)):
             other = np.arange(i + 1, len(frame))
-            other = other[(label[other] != label[i]) & ((block[other] != block[i]) | (not apart))]
+            other = other[(label[other] != label[i]) & ((block[other] != block[i]) | (not two))]
             least = np.abs(counts[other] - counts[i]).sum(axis=1)
             for j in other[least * (100 + percent) <= (100 - percent) * (size[other] + size[i])]:
-                if label[j] == label[i]:
-                    continue
-                inter = len(np.intersect1d(found[i], found[j], assume_unique=True))
-                if inter * 100 >= (size[i] + size[j] - inter) * percent:
-                    out.append((names[i], names[j]))
-                    label[label == label[j]] = label[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                a, b = (i, j) if names[i] < names[j] else (j, i)
+                out.append((names[a], names[b], size[a], size[b]))
+        return pd.DataFrame(out, columns=["a", "b", "na", "nb"], dtype="int64")
 
     return compare
 
@@ -301,33 +315,37 @@ def _link_classes(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent
     members = members.filter("cls <> hub")  # the first star has tested the hub with every member
     for _ in range(STARS):
         still = durable(_open_groups(members, labels))
-        if still.isEmpty():
-            return labels
+        large = still.groupBy("group").count().filter(F.col("count") > MEMBERS).select("group")
+        wide = still.join(large, "group")
         # The next hub: the smallest member outside of the component of the smallest label.
-        first = still.groupBy("group").agg(F.min("label").alias("low"))
-        hubs = still.join(first, "group").filter("label <> low").groupBy("group").agg(
+        first = wide.groupBy("group").agg(F.min("label").alias("low"))
+        hubs = durable(wide.join(first, "group").filter("label <> low").groupBy("group").agg(
             F.min(F.struct("cls", "n", "label")).alias("h")
-        )
+        ))
+        if hubs.isEmpty():
+            break
         star = still.join(hubs, "group").filter("label <> h.label")
         na, nb = F.col("h.n"), F.col("n")
         near = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
         tried = star.filter(near).select(F.col("h.cls").alias("a"), F.col("cls").alias("b"), na.alias("na"), nb.alias("nb"))
         links = durable(links.unionByName(_verified(tried.distinct(), sets, percent)))
         labels = durable(components(links))
-        members = still.drop("label").join(hubs.select("group", F.col("h.cls").alias("done")), "group").filter(
-            "cls <> done"
-        ).drop("done")
-    still = durable(_open_groups(members, labels))
+        done = hubs.select("group", F.col("h.cls").alias("cls"))
+        members = still.drop("label").join(done, ["group", "cls"], "left_anti")
+    else:
+        still = durable(_open_groups(members, labels))
     if still.isEmpty():
         return labels
     blocks = still.groupBy("group").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
     dealt = still.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    cells = dealt.select(
-        "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cls", "label"
+    cells = dealt.join(sets.select("cls", "sketch"), "cls").select(
+        "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        "block", "cls", "n", "label", "sketch",
     )
-    more = cells.join(sets, "cls").groupBy("group", "i", "j").applyInPandas(_compare(percent), "a bigint, b bigint")
-    return durable(components(links.unionByName(more.distinct())))
+    near = cells.groupBy("group", "i", "j").applyInPandas(_compare(percent), "a bigint, b bigint, na bigint, nb bigint")
+    more = _verified(near.distinct(), sets, percent)
+    return durable(components(links.unionByName(more)))
 
 
 def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
@@ -356,7 +374,7 @@ def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame
     ).distinct()
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(members.select("cls")).distinct()
     sources = digests.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("row_key").alias("key"))
-    sets = durable(_sets(rows, durable(sources), n))
+    sets = stored(_sets(rows, durable(sources), n), "shingle-sets")
     labels = _link_classes(pairs, members, sets, percent)
 
     joined = digests.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
@@ -370,17 +388,19 @@ def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame
 
 
 def _sets(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    """cls, found: the packed shingle sets of the classes that share a signature, from one document each."""
+    """cls, found, sketch: the packed sets of the classes that share a signature, from one document each."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
         for frame in frames:
             found = [shingles(text, n, hashed) for text in frame["text"]]
-            yield pd.DataFrame({"cls": frame["cls"], "found": [x.tobytes() for x in found]})
+            yield pd.DataFrame({
+                "cls": frame["cls"], "found": [x.tobytes() for x in found], "sketch": [sketch(x).tobytes() for x in found],
+            })
 
     few = sources.count() <= BROADCAST_ROWS
     texts = rows.join(F.broadcast(sources) if few else sources, "key").select("cls", "text")
-    return texts.mapInPandas(pack, "cls bigint, found binary").dropDuplicates(["cls"])
+    return texts.mapInPandas(pack, "cls bigint, found binary, sketch binary").dropDuplicates(["cls"])
 
 
 def one_of_each(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
