@@ -1,0 +1,74 @@
+import numpy as np
+import pandas as pd
+import pytest
+
+from wardlake.llm import mixing, queries
+
+
+def brute_targets(sizes: dict):
+    names = sorted((n for n in sizes if n is not None)) + [n for n in sizes if n is None]
+    weight = {n: 1 + i % 3 for i, n in enumerate(names)}
+    total, full = sum(sizes.values()), {}
+    while True:
+        free = [n for n in names if n not in full]
+        if not free:
+            return full
+        rest = total - sum(full.values())
+        share = {n: rest * weight[n] / sum(weight[m] for m in free) for n in free}
+        above = [n for n in free if share[n] > 3 * sizes[n]]
+        if not above:
+            return {**full, **share}
+        full.update({n: 3 * sizes[n] for n in above})
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_flight_keeps_both_totals(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(0, 500, 400).astype(float)
+    sizes[:100] = 7
+    chances = np.full(400, 0.37)
+    out = mixing.fly(sizes, chances, rng.random(400))
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert abs(out.sum() - chances.sum()) < 1e-6 and abs(out @ sizes - chances @ sizes) < 1e-3
+
+
+def test_chances_are_kept_on_average():
+    rng = np.random.default_rng(0)
+    sizes, chances = rng.integers(1, 50, 12).astype(float), np.linspace(0.1, 0.9, 12)
+    runs = np.mean([mixing.fly(sizes, chances, rng.random(12)) for _ in range(4000)], axis=0)
+    assert np.abs(runs - chances).max() < 0.05
+
+
+@pytest.mark.parametrize("block", [20_000, 40])
+def test_query_meets_its_contract(spark, small, monkeypatch, block):
+    monkeypatch.setattr(mixing, "BLOCK", block)
+    got = queries.QUERIES["op9_mix_sources"](spark, small).toPandas().sort_values("doc_id", ignore_index=True)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "text").toPandas()
+    docs["words"] = [len(t.encode().split()) if t else 0 for t in docs["text"]]
+    got = got.merge(docs[["doc_id", "source", "words"]], on="doc_id")
+    assert len(got) == len(docs) and (got["size"] == got["words"]).all()
+    want = brute_targets(docs.groupby("source")["words"].sum().to_dict())
+    assert np.allclose(got["target"], got["source"].map(want))
+    assert (got["taken"] <= 3 * got["size"]).all() and (got["taken"] % got["size"].clip(lower=1) == 0).all()
+    sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), most=("size", "max"))
+    assert ((sums["taken"] - sums["target"]).abs() <= sums["most"]).all()
+    again = queries.QUERIES["op9_mix_sources"](spark, small).toPandas().sort_values("doc_id", ignore_index=True)
+    pd.testing.assert_frame_equal(got[again.columns], again)
+
+
+def test_capped_targets(spark):
+    sizes = {"a": 1000, "b": 1, "c": 10, None: 5, "z": 0}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size bigint")
+    got = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
+def test_edges(edge, empty):
+    sized = edge.withColumn("size", mixing.words_in("text"))
+    mixed = mixing.mix(sized, "size")
+    assert mixed.count() == edge.count() and sorted(mixed.columns) == sorted(sized.columns)
+    assert {r["target"] for r in mixed.filter("source = 'b'").select("target").collect()} == {0.0}
+    taken = mixing.take(edge)
+    assert taken.columns == edge.columns and taken.groupBy("doc_id").count().filter("count > 6").count() == 0
+    assert mixing.take(empty).count() == 0
