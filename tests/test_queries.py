@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import connect, difference
+from wardlake.workload.registry import CHECKS, QUERIES
 
 SMALL = entry_points.SMALL
 
@@ -16,10 +17,10 @@ def db():
     return connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = entry_points.queries()[name](spark, SMALL)
-    assert difference(df, db, entry_points.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SMALL)
+    assert difference(df, db, CHECKS[name]) is None
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("CartesianProduct|NestedLoopJoin|EvalPython|MapInPandas|FlatMapGroups", plan)
 
