@@ -54,8 +54,9 @@ def test_bundle_summary(spark):
 
 def test_preview(spark):
     df = spark.createDataFrame([("b", "long text", 1), ("a", None, 2)], "PATID string, t string, n int")
-    assert [tuple(r) for r in browse.preview(df, limit=1).collect()] == [("a", None, 2)]
-    assert [tuple(r) for r in browse.preview_columns(df, ["t"], max_cell=5).collect()] == [("",), ("long…",)]
+    assert [tuple(r) for r in browse.preview(df, ["PATID"], limit=1).collect()] == [("a", None, 2)]
+    assert "Sort" not in browse.preview(df, limit=1)._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in browse.preview_columns(df, ["t"], max_cell=5, order=["PATID"]).collect()] == [("",), ("long…",)]
     assert browse.preview_columns(df, max_cols=2).columns == ["PATID", "t"]
     with pytest.raises(ValueError):
         browse.preview_columns(df, ["nope"])

@@ -146,7 +146,7 @@ def test_run_log(spark, tmp_path):
     log = spark.read.parquet(path)
     assert [r.run_id for r in runs.run_history(log).collect()] == ["r2", "r3", "r1"]
     last = {r.run_type: r for r in runs.last_runs(log).collect()}
-    assert (last["import"].run_id, last["import"].status, len(last["import"].errors)) == ("r2", "partial_success", 100)
+    assert (last["import"].run_id, last["import"].status, len(last["import"].errors), last["import"].n_errors) == ("r2", "partial_success", 150, 150)
     assert last["export"].status == "failed"
 
 

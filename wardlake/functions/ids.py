@@ -17,6 +17,7 @@ LEADING_PREFIXES = [
     "MedicationRequest/", "Location/",
 ]
 
+# Fixed value: characters of an id that a record may carry.
 ID_LENGTH = 64
 
 
@@ -37,13 +38,27 @@ def clean_id(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), f"^({'|'.join(LEADING_PREFIXES)})", "")
 
 
-def normalize_fhir_id(value: Column) -> Column:
-    """Id that a record may carry: after the last ``|``, then after the last ``=``, prefix off, 64 characters.
+def bare_id(value: Column) -> Column:
+    """Id after the last ``|``, then after the last ``=``, prefix off, of any length.
 
     ``substring_index`` returns the whole text where the mark is absent.
     """
     tail = F.substring_index(F.coalesce(value.cast("string"), F.lit("")), "|", -1)
-    return F.substring(clean_id(F.substring_index(tail, "=", -1)), 1, ID_LENGTH)
+    return clean_id(F.substring_index(tail, "=", -1))
+
+
+def normalize_fhir_id(value: Column) -> Column:
+    """Id that a record may carry: the bare id, cut after 64 characters."""
+    return F.substring(bare_id(value), 1, ID_LENGTH)
+
+
+def record_id(value: Column) -> Column:
+    """Id under which a row is exported: the bare id, and the hash of all of it where it is too long to be carried.
+
+    Ids that share their first 64 characters stay different, so no record takes another's place.
+    """
+    bare = bare_id(value)
+    return F.when(F.length(bare) > ID_LENGTH, stable_id(bare)).otherwise(bare)
 
 
 def stable_id(*parts: Column) -> Column:
@@ -58,8 +73,8 @@ def filled_id(value: Column, normal: Column) -> Column:
 
 
 def fallback_id(value: Column, *row: Column) -> Column:
-    """Normalised id; hash of the value if that is empty; hash of the row parts if there is no value."""
-    own = filled_id(value, normalize_fhir_id(value))
+    """Id for the export; hash of the value if that is empty; hash of the row parts if there is no value."""
+    own = filled_id(value, record_id(value))
     return F.coalesce(own, stable_id(*row)) if row else own
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardlake import model
 from wardlake.functions import records, values
 
+# Fixed value: tables that statistics do not show.
 INTERNAL_TABLES = ("patient",)
 PREVIEW_ROWS = 50
 PREVIEW_COLUMNS = 8
@@ -93,9 +94,8 @@ def dataset_totals(dataset: Mapping[str, DataFrame], spark: SparkSession) -> Dat
 
 
 def preview(df: DataFrame, order: Sequence[str] = (), limit: int = PREVIEW_ROWS) -> DataFrame:
-    """First rows in the order of the given columns (default: all id columns): a top-n per task, no full sort."""
-    keys = list(order) or [c for c in model.ID_COLUMNS if c in df.columns] or df.columns[:1]
-    return df.orderBy(*keys).limit(limit)
+    """First rows, in the order of the given columns (a top-n per task); without an order the head of the table as it lies."""
+    return (df.orderBy(*order) if order else df).limit(limit)
 
 
 def preview_columns(

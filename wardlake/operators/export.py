@@ -181,7 +181,7 @@ def _leaf_values(df: DataFrame, mapping: dict, types: list[str]) -> tuple[DataFr
             rule = _rule(t, path, column)
             if rule == "id" or rule in REFERENCE_TYPES.values():
                 name = f"_id_{column}"
-                normal.setdefault(f"_normal_{column}", ids.normalize_fhir_id(F.col(column)))
+                normal.setdefault(f"_normal_{column}", ids.record_id(F.col(column)))
                 made.setdefault(name, ids.filled_id(F.col(column), F.col(f"_normal_{column}")))
             else:
                 name = f"_{rule}_{column}"

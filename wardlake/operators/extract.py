@@ -46,8 +46,11 @@ def extract_type(resources: DataFrame, record_type: str, mapping: dict = model.M
 
 
 def extracted_text(value: Column) -> Column:
-    """Reference prefixes come off strings only; JSON text of nested values stays as it is."""
-    nested = value.startswith("{") | value.startswith("[")
+    """Reference prefixes come off strings only; JSON text of nested values stays as it is.
+
+    A string may start with a bracket as well, so such values count as nested only if they are JSON.
+    """
+    nested = (value.startswith("{") | value.startswith("[")) & F.try_parse_json(value).isNotNull()
     return F.when(nested, value).otherwise(ids.strip_ref_prefix(value))
 
 
@@ -61,13 +64,13 @@ def union_resource_types(resources: DataFrame, table: str, mapping: dict = model
 
 
 def enforce_schema(df: DataFrame, table: str, tables: dict[str, list[str]] = model.TABLES) -> DataFrame:
-    """Exactly the declared columns in the declared order: missing ones null, others dropped."""
+    """Exactly the declared columns in the declared order: missing ones, and values of another type, null; others dropped."""
     if table not in tables:
         return df
     have = set(df.columns)
     return df.selectExpr(
         *[
-            f"CAST({f'`{c}`' if c in have else 'null'} AS {model.column_type(table, c).simpleString()}) AS `{c}`"
+            f"TRY_CAST({f'`{c}`' if c in have else 'null'} AS {model.column_type(table, c).simpleString()}) AS `{c}`"
             for c in tables[table]
         ]
     )

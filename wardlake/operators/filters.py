@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlake.operators import merge
 from wardlake.sources.tables import read_list
 
 Dataset = Mapping[str, DataFrame]
@@ -158,8 +159,13 @@ def propagate_semi(df: DataFrame, keys: DataFrame, key: str, keep_nulls: bool =
     if key not in df.columns:
         return df
     known = keys.select(F.col(key).alias("_known"))
-    same = F.col(key).eqNullSafe(F.col("_known")) if keep_nulls else F.col(key) == F.col("_known")
-    return df.join(known, same, "left_semi")
+    if not keep_nulls:
+        return df.join(known, F.col(key) == F.col("_known"), "left_semi")
+    # Rows without a key would all meet in one task: they are spread, and the null of the set goes to every part.
+    salt, salts = merge.spread_salt(F.col(key).isNull(), df.columns), merge.all_salts(F.col("_known").isNull())
+    salted = df.withColumn("_salt", salt)
+    same = F.col(key).eqNullSafe(F.col("_known")) & (F.col("_salt") == F.col("_for"))
+    return salted.join(known.withColumn("_for", F.explode(salts)), same, "left_semi").drop("_salt")
 
 
 def filter_dataset(
@@ -173,12 +179,13 @@ def filter_dataset(
 ) -> dict[str, DataFrame]:
     """Every chosen table, filtered by its clauses and by all propagated key sets.
 
+    ``only`` and ``exclude`` choose what comes out; keys are drawn from all tables that a spec names, chosen or not.
     Key sets never leave the executors. ``prepare_keys`` may store a set that many writes will reuse.
     """
     clauses, chosen = list(clauses), select_tables(dataset, "*", only, exclude)
     key_sets = []
     for spec in propagate:
-        keys = propagate_keys(chosen, spec, clauses, keep_nulls)
+        keys = propagate_keys(dataset, spec, clauses, keep_nulls)
         if keys is not None:
             key_sets.append((spec.key, prepare_keys(keys)))
     out = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +14,37 @@ def null_safe_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+# Parts over which rows that share a missing key are spread.
+SALTS = 64
+
+
+def spread_salt(missing: Column, columns: Sequence[str]) -> Column:
+    """0 for rows with a key; rows without one are spread by all they hold."""
+    return F.when(missing, F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).otherwise(0)
+
+
+def all_salts(missing: Column) -> Column:
+    """The salts for which a key stands: a missing key for all of them."""
+    return F.when(missing, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+
+
+def key_digest(keys: Sequence[str]) -> Column:
+    """Digest of the null-safe keys. Each part has its length before it, so no two tuples run together."""
+    parts = [null_safe_key(k) for k in keys]
+    return F.sha2(F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
+
+
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct null-safe key tuples. Copies are dropped before the shuffle, so a hot key costs one row per task."""
     return df.select(*[null_safe_key(k).alias(k) for k in keys]).distinct()
 
 
 def safe_concat(first: DataFrame | None, second: DataFrame | None) -> DataFrame | None:
-    """Append by name: union of the columns in order, missing ones null, columns of unlike type as text."""
+    """Append by name: union of the columns in order, missing ones null, columns of unlike type as text.
+
+    A side that is None counts as empty. A frame is never tested for rows, which would run it: a caller that knows
+    a side to be empty passes None, and the other side keeps its types.
+    """
     if first is None or second is None:
         return second if first is None else first
     types = [{f.name: f.dataType for f in df.schema.fields} for df in (first, second)]
@@ -29,13 +54,18 @@ def safe_concat(first: DataFrame | None, second: DataFrame | None) -> DataFrame
 
 
 def new_rows(base: DataFrame | None, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming rows whose key is not in base. Copies within the batch are kept; stored keys keep their nulls."""
+    """Incoming rows whose key is not in base. Copies within the batch are kept; stored keys keep their nulls.
+
+    Both sides meet by a digest of the key, so a key that holds a whole text costs no more than any other. Rows
+    without any key are spread over the tasks.
+    """
     if base is None or not keys:
         return incoming
-    names = [f"_key{i}" for i in range(len(keys))]
-    known = distinct_keys(base, keys).toDF(*names)
-    tagged = incoming.withColumns({n: null_safe_key(k) for n, k in zip(names, keys)})
-    return tagged.join(known, names, "left_anti").drop(*names)
+    keyless = reduce(lambda a, b: a & b, [null_safe_key(k) == "" for k in keys])
+    known = base.select(key_digest(keys).alias("_digest"), keyless.alias("_keyless")).distinct()
+    known = known.select("_digest", F.explode(all_salts(F.col("_keyless"))).alias("_salt"))
+    tagged = incoming.withColumns({"_digest": key_digest(keys), "_salt": spread_salt(keyless, incoming.columns)})
+    return tagged.join(known, ["_digest", "_salt"], "left_anti").drop("_digest", "_salt")
 
 
 def merge_insert_only(base: DataFrame | None, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -54,6 +84,10 @@ def delete_by_id(df: DataFrame, ids: DataFrame | Sequence[str], column: str) ->
     """Rows whose id is not listed; rows without an id stay. A list of any size can come as a DataFrame."""
     if isinstance(ids, DataFrame):
         gone = ids.select(F.col(ids.columns[0]).cast("string").alias("_id"))
-        return df.join(gone, F.col(column).cast("string") == F.col("_id"), "left_anti")
+        own = F.col(column).cast("string")
+        # Rows without an id match nothing; a second form of the key keeps them from meeting in one task.
+        spread = F.concat(F.lit("#"), F.xxhash64(*df.columns).cast("string"))
+        keyed = df.withColumn("_key", F.coalesce(own, spread))
+        return keyed.join(gone, (F.col("_key") == F.col("_id")) & (own == F.col("_id")), "left_anti").drop("_key")
     listed = F.col(column).cast("string").isin([str(i) for i in ids])
     return df.filter(F.col(column).isNull() | ~listed)

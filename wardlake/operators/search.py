@@ -173,4 +173,4 @@ def delete_resource(
     order: Sequence[str] = ("written_at", "seq"),
 ) -> DataFrame:
     """Records still visible: those whose latest write is no tombstone."""
-    return latest_versions(log, keys, order).filter(~F.col(deleted))
+    return latest_versions(log, keys, order).filter(~F.coalesce(deleted, F.lit(False)))

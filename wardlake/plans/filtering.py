@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
 from wardlake.operators import browse, merge
 from wardlake.operators.filters import Propagate, Where, filter_dataset
-from wardlake.session import stored
+from wardlake.session import scratch, side_by_side, stored
 from wardlake.sources import tables as store
 
 
@@ -19,19 +20,28 @@ def filter_folder(
 ) -> DataFrame:
     """Write the filtered tables; returns the impact per table. Without an output folder: a dry run, nothing is kept.
 
-    Key sets are stored once, since every table that is written needs them again.
+    Key sets are stored once, since every table that is written needs them again, and deleted in the end. The tables
+    are written side by side. The report has a few rows and is complete when the flow returns.
     """
     source = store.scan_dataset(spark, input_folder)
-    kept = filter_dataset(source, clauses, propagate, only, exclude, keep_nulls, lambda keys: stored(keys, "keys"))
-    before = {t: source[t] for t in kept}
-    after = kept
-    if output_folder is not None:
-        for table, df in kept.items():
-            store.write_table(df, output_folder, table, copy_to, keep_empty=True)
-        after = {t: df for t in kept if (df := store.scan_table(spark, output_folder, t)) is not None}
-    return browse.filter_impact(
-        browse.snapshot_counts(before, spark), browse.snapshot_counts(after, spark, list(kept))
-    ).orderBy("table")
+    work = scratch(spark, "filter")
+    number = count()
+    try:
+        kept = filter_dataset(
+            source, clauses, propagate, only, exclude, keep_nulls,
+            lambda keys: stored(keys, "keys", f"{work}/keys-{next(number)}"),
+        )
+        before = {t: source[t] for t in kept}
+        after = kept
+        if output_folder is not None:
+            side_by_side(lambda t: store.write_table(kept[t], output_folder, t, copy_to, keep_empty=True), kept)
+            after = {t: df for t in kept if (df := store.scan_table(spark, output_folder, t)) is not None}
+        impact = browse.filter_impact(
+            browse.snapshot_counts(before, spark), browse.snapshot_counts(after, spark, list(kept))
+        ).orderBy("table")
+        return spark.createDataFrame(impact.collect(), impact.schema)  # one row per table
+    finally:
+        store.remove(spark, work)
 
 
 # Column that identifies a row to delete; ELTID in all other tables.

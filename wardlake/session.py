@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
-from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor reaches: the one named in ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder of its machine.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="wardlake-")
+    """Folder that every executor reaches: the one named in ``spark.checkpoint.dir``, else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -33,11 +24,27 @@ def scratch(spark: SparkSession, name: str) -> str:
 def side_by_side(action: Callable[[Any], Any], items: Iterable[Any]) -> list:
     """Run an action (one Spark job or more) per item at the same time; results in the order of the items.
 
-    Independent writes then share the cluster instead of waiting for each other's last tasks.
+    Independent writes then share the cluster instead of waiting for each other's last tasks. The threads keep the
+    job group and the pool of the caller; the first error is raised when all have ended.
     """
     items = list(items)
-    with ThreadPoolExecutor(max(1, len(items))) as pool:
-        return list(pool.map(action, items))
+    results: list = [None] * len(items)
+    errors: list[BaseException] = []
+
+    def run(place: int) -> None:
+        try:
+            results[place] = action(items[place])
+        except Exception as error:
+            errors.append(error)
+
+    threads = [InheritableThread(target=run, args=(i,)) for i in range(len(items))]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    if errors:
+        raise errors[0]
+    return results
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -61,12 +68,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once below the shared folder and read back. Eager.
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The rows, written once below the shared folder (or to ``path``) and read back. Eager.
 
     Spark knows the size of what is read back, so a join broadcasts it only if it is small, and does so
     without shuffling the other side first. Meant for small results that are used several times.
     """
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

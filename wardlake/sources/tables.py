@@ -50,8 +50,9 @@ def write_table(
     """Replace a table; one without rows is written only if ``keep_empty``. Says whether it was.
 
     The rows go to a new folder first, which then takes the table's place: readers never see half a table
-    (for a moment they may see none), and the plan may read the very table that it replaces. A second copy
-    is made from the files written.
+    (for a moment they may see none), and the plan may read the very table that it replaces. The old table is moved
+    aside and deleted only when the new one is in place; if that fails, it is put back. A second copy is made from
+    the files written.
     """
     spark = df.sparkSession
     target = table_path(folder, table)
@@ -64,10 +65,17 @@ def write_table(
         return False
     if copy_to:
         written.write.mode("overwrite").parquet(table_path(copy_to, table))
-    goal = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs.delete(goal, True)
+    goal, _ = _path(spark, target)
+    aside, _ = _path(spark, f"{folder.rstrip('/')}/_old-{table}-{uuid.uuid4().hex}")
+    had = fs.exists(goal)
+    if had and not fs.rename(goal, aside):
+        raise OSError(f"cannot move {target} aside")
     if not fs.rename(at, goal):
+        if had:
+            fs.rename(aside, goal)
         raise OSError(f"cannot move {fresh} to {target}")
+    if had:
+        fs.delete(aside, True)
     return True
 
 

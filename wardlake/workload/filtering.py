@@ -102,11 +102,18 @@ _FILTER_SQL = f"""
         AND ("table" = 'patient' OR EVTID IN (SELECT EVTID FROM e)))"""
 
 
-@query("propagate_keys", tables("SELECT DISTINCT PATID FROM (SELECT PATID FROM mvt0 WHERE DATENT < '1996' UNION ALL SELECT PATID FROM biol0 WHERE RNAME = 'AF') WHERE PATID IS NOT NULL"))
+@query("propagate_keys", tables(
+    """SELECT DISTINCT PATID FROM (
+           SELECT PATID FROM mvt0 WHERE DATENT < '1996' UNION ALL SELECT PATID FROM biol0 WHERE RNAME = 'AF'
+           UNION ALL SELECT PATID FROM patient WHERE PATAGE > 80 UNION ALL SELECT PATID FROM pmsi0 WHERE DATENT < '1993'
+           UNION ALL SELECT PATID FROM pharma0 WHERE PATID = 'p7' UNION ALL SELECT PATID FROM doceds0 WHERE PATID = 'p8')
+       WHERE PATID IS NOT NULL"""))
 def propagate_keys(spark, sf_dir):
-    data = fx.dataset(spark, sf_dir, "mvt", "biol")
-    clauses = [Where("mvt", "DATENT", "<", "1996"), Where("biol", "RNAME", "==", "AF")]
-    return flt.propagate_keys(data, Propagate("PATID", "*"), clauses)
+    clauses = [
+        Where("mvt", "DATENT", "<", "1996"), Where("biol", "RNAME", "==", "AF"), Where("patient", "PATAGE", ">", 80),
+        Where("pmsi", "DATENT", "<", "1993"), Where("pharma", "PATID", "==", "p7"), Where("doceds", "PATID", "==", "p8"),
+    ]
+    return flt.propagate_keys(fx.dataset(spark, sf_dir), Propagate("PATID", "*"), clauses)
 
 
 @query("filter_dataset", tables(_FILTER_SQL + ' SELECT "table", PATID, EVTID, ELTID FROM kept'))

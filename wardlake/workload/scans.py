@@ -90,12 +90,11 @@ def paged_bundles(spark, sf_dir):
 
 @query(
     "scan_table",
-    "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderstatus = 'F'",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority FROM orders",
 )
 def scan_table(spark, sf_dir):
-    found = store.scan_table(spark, sf_dir, "orders")
-    recent = found.filter("o_orderdate >= timestamp_ntz '1998-01-01' AND o_orderstatus = 'F'")
-    return recent.select("o_orderkey", "o_orderpriority")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+    return store.scan_table(spark, sf_dir, "orders").select(columns)
 
 
 _GIVEN = [
@@ -162,10 +161,11 @@ def strip_ref_prefix(spark, sf_dir):
        FROM orders""",
 )
 def stringify_nested(spark, sf_dir):
-    conditions = fx.resources(spark, sf_dir, "Condition")
-    parsed = F.from_json("resource", "id string, code string")
-    read = conditions.select(parsed.alias("r"))
-    return read.select(F.substring("r.id", 2, 20).cast("bigint").alias("o_orderkey"), F.col("r.code").alias("code"))
+    schema = "id string, code struct<text:string, coding:array<struct<code:string>>>"
+    read = fx.resources(spark, sf_dir, "Condition").select(F.from_json("resource", schema).alias("r"))
+    return read.select(
+        F.substring("r.id", 2, 20).cast("bigint").alias("o_orderkey"), records.stringify_nested(F.col("r.code")).alias("code")
+    )
 
 
 @query(
