@@ -13,10 +13,9 @@ signatures all count. (Else they are all sent.) Two similar sets always share a
 Every task sends its signatures, sorted and packed, to the owners of ranges of values. An owner returns the classes that
 share a signature as stars around the smallest class, and the members of groups of three and more. Stars are verified,
 by an exact bound (the difference of the numbers of shingles per range of hashes) and then on the shingle sets, and give
-components. Large groups whose members are not all connected then take up to ``STARS`` further stars around members
-outside of the first component. What is open after that is compared block by block, in tasks of two blocks of at most
-about ``MEMBERS`` classes, which return only the pairs of different components that the bound cannot exclude; those are
-verified too. So no group is expanded into its pairs, and no link is lost.
+components. Groups whose members are not all connected then are compared block by block, in tasks of two blocks of about
+``MEMBERS`` classes, which hold the sketches only and return the pairs of different components that the bound cannot
+exclude; those are verified too. So no group is expanded into its pairs, and no link is lost.
 
 Classes and shingles are 64-bit hashes.
 
@@ -45,10 +44,10 @@ from wardlake.session import durable, stored
 
 #: Signatures that a task holds before it sends them, and that an owner is meant to hold.
 SENT, OWNED = 1 << 21, 1 << 22
-#: Rounds of further stars for groups above a block; classes per block in the comparison of what is then open.
-STARS, MEMBERS = 2, 512
-#: Ranges of the exact bound.
-BINS = 64
+#: Classes per block in the comparison of groups that the stars leave open.
+MEMBERS = 1024
+#: Ranges of the exact bound, and how many of them a first look takes together.
+BINS, COARSE = 256, 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OUT = "kind int, k1 bigint, k2 bigint, k3 bigint, n1 bigint, n2 bigint"
@@ -253,14 +252,14 @@ def shared(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def apart(a: pd.Series, b: pd.Series) -> pd.Series:
     """The sum of the differences of two sketches: the sets differ in at least so many shingles."""
-    x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(-1, BINS).astype(np.int64) for s in (a, b))
-    return pd.Series(np.abs(x - y).sum(axis=1), dtype="int64")
+    x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BINS).astype(np.int16) for s in (a, b))
+    return pd.Series(np.abs(x - y).sum(axis=1, dtype=np.int64), dtype="int64")
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Numbers of shingles in ``BINS`` equal ranges of hashes."""
-    cuts = np.searchsorted(found, np.arange(1, BINS, dtype=np.uint64) << np.uint64(58))
-    return np.diff(np.concatenate([[0], cuts, [len(found)]])).astype(np.uint32)
+    """Numbers of shingles in ``BINS`` equal ranges of hashes; 255 stands for more, which only lowers differences."""
+    cuts = np.searchsorted(found, np.arange(1, BINS, dtype=np.uint64) << np.uint64(56))
+    return np.minimum(np.diff(np.concatenate([[0], cuts, [len(found)]])), 255).astype(np.uint8)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -284,15 +283,21 @@ def _compare(percent: int):
     """Pairs of one cell that their sketches leave open: of different components, and of two blocks or of one."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(b"".join(frame["sketch"]), np.uint32).reshape(-1, BINS).astype(np.int64)
+        frame = frame.sort_values("n", ignore_index=True)
+        counts = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+        coarse = counts.reshape(len(frame), -1, COARSE).sum(axis=2, dtype=np.int16)
         label, block, names, size = (frame[c].to_numpy() for c in ("label", "block", "cls", "n"))
         two = block.min() != block.max()
+        # Sizes ascend: partners of a set end where sets become too large for it.
+        ends = np.searchsorted(size * percent, size * 100, side="right")
         out = []
-        for i in range(len(frame)):
-            other = np.arange(i + 1, len(frame))
+        for i, end in enumerate(ends):
+            other = np.arange(i + 1, end)
             other = other[(label[other] != label[i]) & ((block[other] != block[i]) | (not two))]
-            least = np.abs(counts[other] - counts[i]).sum(axis=1)
-            for j in other[least * (100 + percent) <= (100 - percent) * (size[other] + size[i])]:
+            for ranges in (coarse, counts):
+                least = np.abs(ranges[other] - ranges[i]).sum(axis=1, dtype=np.int64)
+                other = other[least * (100 + percent) <= (100 - percent) * (size[other] + size[i])]
+            for j in other:
                 a, b = (i, j) if names[i] < names[j] else (j, i)
                 out.append((names[a], names[b], size[a], size[b]))
         return pd.DataFrame(out, columns=["a", "b", "na", "nb"], dtype="int64")
@@ -301,7 +306,7 @@ def _compare(percent: int):
 
 
 def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """group, cls, n, hub, label: the members (hubs of earlier stars excepted) of groups that are not connected yet."""
+    """group, cls, n, hub, label: the members of groups that are not connected yet."""
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("label", F.coalesce("label", "cls"))
     mixed = named.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -311,29 +316,9 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _link_classes(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node, label of all classes that link with another."""
     links = durable(_verified(pairs, sets, percent))
-    labels = durable(components(links))
-    members = members.filter("cls <> hub")  # the first star has tested the hub with every member
-    for _ in range(STARS):
-        still = durable(_open_groups(members, labels))
-        large = still.groupBy("group").count().filter(F.col("count") > MEMBERS).select("group")
-        wide = still.join(large, "group")
-        # The next hub: the smallest member outside of the component of the smallest label.
-        first = wide.groupBy("group").agg(F.min("label").alias("low"))
-        hubs = durable(wide.join(first, "group").filter("label <> low").groupBy("group").agg(
-            F.min(F.struct("cls", "n", "label")).alias("h")
-        ))
-        if hubs.isEmpty():
-            break
-        star = still.join(hubs, "group").filter("label <> h.label")
-        na, nb = F.col("h.n"), F.col("n")
-        near = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-        tried = star.filter(near).select(F.col("h.cls").alias("a"), F.col("cls").alias("b"), na.alias("na"), nb.alias("nb"))
-        links = durable(links.unionByName(_verified(tried.distinct(), sets, percent)))
-        labels = durable(components(links))
-        done = hubs.select("group", F.col("h.cls").alias("cls"))
-        members = still.drop("label").join(done, ["group", "cls"], "left_anti")
-    else:
-        still = durable(_open_groups(members, labels))
+    labels = components(links)
+    # The star has tested the hub with every member, so only the others may be open.
+    still = durable(_open_groups(members.filter("cls <> hub"), labels))
     if still.isEmpty():
         return labels
     blocks = still.groupBy("group").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
@@ -345,7 +330,7 @@ def _link_classes(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent
     )
     near = cells.groupBy("group", "i", "j").applyInPandas(_compare(percent), "a bigint, b bigint, na bigint, nb bigint")
     more = _verified(near.distinct(), sets, percent)
-    return durable(components(links.unionByName(more)))
+    return components(links.unionByName(more))
 
 
 def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
