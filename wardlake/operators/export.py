@@ -373,7 +373,8 @@ def build_bundles(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
 
     A bundle of up to ``max_entries`` records is one document. A larger one becomes several, cut by record
     type and then by hash of the id, so that no task ever holds a whole group; ``part`` sorts them into the
-    order in which to send them (stubs and patients first), and together they hold every entry. Whether any
+    order in which to send them (stubs and patients first), and together they hold every entry. The document
+    of a part has the part in its id, so ids stay unique and written documents keep their order. Whether any
     bundle is that large is counted beforehand, see ``bundle_parts``.
     """
     entries = transaction_entries(dedupe_resources(rows))
@@ -390,7 +391,8 @@ def build_bundles(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     )
     head = F.to_json(
         F.struct(
-            F.lit("Bundle").alias("resourceType"), F.lit("transaction").alias("type"), F.col("bundle_id").alias("id")
+            F.lit("Bundle").alias("resourceType"), F.lit("transaction").alias("type"),
+            F.concat_ws("-", "bundle_id", F.nullif("part", F.lit(""))).alias("id"),
         )
     )
     body = F.array_join(F.col("entries.entry"), ",")
@@ -427,8 +429,10 @@ def export_summary(
 
 
 def bundle_size_stats(bundles: DataFrame) -> DataFrame:
-    """Number of bundle documents and their total, mean (truncated), smallest and largest size in bytes."""
+    """Number of bundles and their total, mean (truncated), smallest and largest size in bytes, all parts together."""
     size = F.octet_length("value").cast("bigint")
+    if "bundle_id" in bundles.columns:
+        bundles, size = bundles.groupBy("bundle_id").agg(F.sum(size).alias("_size")), F.col("_size")
     return bundles.agg(
         F.count("*").alias("n_bundles"),
         F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"),
