@@ -139,3 +139,14 @@ def test_stored_rows_fill_in_where_the_batch_has_none(spark, tmp_path):
     got = importing.with_stored(batch, str(tmp_path), "patient", "PATID").collect()
     assert sorted(tuple(r) for r in got) == [("a", 9), ("b", 2)]
     assert importing.with_stored(batch, str(tmp_path), "absent", "PATID") is batch
+
+
+def test_a_first_load_writes_no_second_copy(spark, tmp_path, monkeypatch):
+    entry = spark.createDataFrame([("Patient", '{"resourceType":"Patient","id":"p1"}')], "resource_type string, resource string")
+    real = store.append_table
+    monkeypatch.setattr(store, "append_table", lambda *_: (_ for _ in ()).throw(AssertionError("a copy")))
+    first = importing.import_resources(entry, str(tmp_path / "data"), as_of="2024-06-15")
+    assert [tuple(r) for r in first.filter("table = 'patient'").collect()] == [("patient", 0, 1, 1, 1)]
+    monkeypatch.setattr(store, "append_table", real)
+    again = importing.import_resources(entry, str(tmp_path / "data"), as_of="2024-06-15")
+    assert [tuple(r) for r in again.filter("table = 'patient'").collect()] == [("patient", 1, 1, 1, 0)]

@@ -84,6 +84,16 @@ def append_table(df: DataFrame, folder: str, table: str) -> None:
     df.write.mode("append").parquet(table_path(folder, table))
 
 
+def move_table(spark: SparkSession, source: str, target: str, table: str) -> bool:
+    """Give a table to a dataset that lacks it, without a copy; False if the two lie in different stores."""
+    at, fs = _path(spark, table_path(source, table))
+    goal, other = _path(spark, table_path(target, table))
+    if str(fs.getUri().toString()) != str(other.getUri().toString()):
+        return False
+    other.mkdirs(goal.getParent())
+    return bool(fs.rename(at, goal))
+
+
 def drop_tables(spark: SparkSession, folder: str, tables) -> None:
     """Start from empty tables."""
     for table in tables:
