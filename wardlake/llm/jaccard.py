@@ -28,7 +28,7 @@ by ``link`` and kept by ``one_of_each``.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -262,20 +262,48 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.minimum(np.diff(np.concatenate([[0], cuts, [len(found)]])), 255).astype(np.uint8)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b, na, nb) that link, as (a, b). Sketches first; whole sets only for what they leave open."""
+class Texts:
+    """The texts behind classes: sketches of all that share a signature, whole sets of those that are asked for."""
+
+    def __init__(self, rows: DataFrame, sources: DataFrame, n: int) -> None:
+        self.rows, self.sources, self.n = rows, sources, n
+        self.sketches = stored(self._made(sources, lambda found: sketch(found).tobytes()), "shingle-sketches")
+
+    def _made(self, sources: DataFrame, shape: Callable[[np.ndarray], bytes]) -> DataFrame:
+        """cls, shape: from one document of each class."""
+        n = self.n
+
+        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashed = WordHash()
+            for frame in frames:
+                shapes = [shape(shingles(text, n, hashed)) for text in frame["text"]]
+                yield pd.DataFrame({"cls": frame["cls"], "shape": shapes})
+
+        few = sources.count() <= BROADCAST_ROWS
+        texts = self.rows.join(F.broadcast(sources) if few else sources, "key").select("cls", "text")
+        return texts.mapInPandas(make, "cls bigint, shape binary").dropDuplicates(["cls"])
+
+    def sets(self, classes: DataFrame) -> DataFrame:
+        wanted = durable(self.sources.join(classes.distinct(), "cls", "left_semi"))
+        return stored(self._made(wanted, lambda found: found.tobytes()), "shingle-sets")
 
-    def sided(side: str, column: str) -> DataFrame:
-        return sets.select(F.col("cls").alias(side), F.col(column).alias(f"f{side}"))
 
-    def both(rows: DataFrame, column: str) -> DataFrame:
-        return rows.join(sided("a", column), "a").join(sided("b", column), "b")
+def _with_shapes(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(shapes.select(F.col("cls").alias(side), F.col("shape").alias(f"f{side}")), side)
+    return pairs
 
+
+def _verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
+    """The rows (a, b, na, nb) that link, as (a, b). Sketches first; whole sets only for what they leave open."""
     na, nb = F.col("na"), F.col("nb")
     least = F.pandas_udf(apart, "bigint")("fa", "fb")
-    near = both(pairs, "sketch").filter(least * (100 + percent) <= (100 - percent) * (na + nb))
+    near = _with_shapes(pairs, texts.sketches).filter(least * (100 + percent) <= (100 - percent) * (na + nb))
     near = durable(near.select("a", "b", "na", "nb"))
-    inter = both(near, "found").withColumn("inter", F.pandas_udf(shared, "bigint")("fa", "fb"))
+    if near.isEmpty():
+        return near.select("a", "b")
+    sets = texts.sets(near.select(F.col("a").alias("cls")).union(near.select("b")))
+    inter = _with_shapes(near, sets).withColumn("inter", F.pandas_udf(shared, "bigint")("fa", "fb"))
     return inter.filter(_linked(F.col("inter"), na, nb, percent)).select("a", "b")
 
 
@@ -284,7 +312,7 @@ def _compare(percent: int):
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("n", ignore_index=True)
-        counts = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+        counts = np.frombuffer(b"".join(frame["shape"]), np.uint8).reshape(-1, BINS).astype(np.int16)
         coarse = counts.reshape(len(frame), -1, COARSE).sum(axis=2, dtype=np.int16)
         label, block, names, size = (frame[c].to_numpy() for c in ("label", "block", "cls", "n"))
         two = block.min() != block.max()
@@ -313,9 +341,9 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed.filter("low <> high").select("group"), "group")
 
 
-def _link_classes(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _link_classes(pairs: DataFrame, members: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """node, label of all classes that link with another."""
-    links = durable(_verified(pairs, sets, percent))
+    links = durable(_verified(pairs, texts, percent))
     labels = components(links)
     # The star has tested the hub with every member, so only the others may be open.
     still = durable(_open_groups(members.filter("cls <> hub"), labels))
@@ -324,12 +352,12 @@ def _link_classes(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent
     blocks = still.groupBy("group").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
     dealt = still.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    cells = dealt.join(sets.select("cls", "sketch"), "cls").select(
+    cells = dealt.join(texts.sketches, "cls").select(
         "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "cls", "n", "label", "sketch",
+        "block", "cls", "n", "label", "shape",
     )
     near = cells.groupBy("group", "i", "j").applyInPandas(_compare(percent), "a bigint, b bigint, na bigint, nb bigint")
-    more = _verified(near.distinct(), sets, percent)
+    more = _verified(durable(near.distinct()), texts, percent)
     return components(links.unionByName(more))
 
 
@@ -359,8 +387,7 @@ def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame
     ).distinct()
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(members.select("cls")).distinct()
     sources = digests.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min("row_key").alias("key"))
-    sets = stored(_sets(rows, durable(sources), n), "shingle-sets")
-    labels = _link_classes(pairs, members, sets, percent)
+    labels = _link_classes(pairs, members, Texts(rows, durable(sources), n), percent)
 
     joined = digests.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     joined = joined.withColumn("label", F.coalesce("label", "cls"))
@@ -372,22 +399,6 @@ def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame
     )
 
 
-def _sets(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    """cls, found, sketch: the packed sets of the classes that share a signature, from one document each."""
-
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHash()
-        for frame in frames:
-            found = [shingles(text, n, hashed) for text in frame["text"]]
-            yield pd.DataFrame({
-                "cls": frame["cls"], "found": [x.tobytes() for x in found], "sketch": [sketch(x).tobytes() for x in found],
-            })
-
-    few = sources.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(sources) if few else sources, "key").select("cls", "text")
-    return texts.mapInPandas(pack, "cls bigint, found binary, sketch binary").dropDuplicates(["cls"])
-
-
 def one_of_each(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those that link, over any number of links, with a row of a smaller id."""
     linked = link(docs, n, percent, text)
