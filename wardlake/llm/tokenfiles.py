@@ -40,15 +40,20 @@ FILE_CHARS = 1 << 27
 
 #: A space behind anything but white space starts a pre-token under every byte-level pattern.
 _CUT = re.compile(r"(?<=\S)(?= )")
+_RUN = re.compile(r"\s\s")
 
 
 def pack_block(ids: np.ndarray) -> list[bytes]:
     """32 compressed bit planes of a block of unsigned 32-bit ids; empty where no bit is set."""
     compress = zstandard.ZstdCompressor(level=1).compress
-    planes = []
-    for bit in range(32):
-        plane = (ids >> np.uint32(bit)) & np.uint32(1)
-        planes.append(compress(np.packbits(plane.astype(np.uint8)).tobytes()) if plane.any() else b"")
+    planes = [b""] * 32
+    octets = ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
+    for i in range(4):
+        octet = np.ascontiguousarray(octets[:, i])
+        used = int(np.bitwise_or.reduce(octet)) if len(octet) else 0
+        for bit in range(8):
+            if used >> bit & 1:
+                planes[8 * i + bit] = compress(np.packbits(octet & np.uint8(1 << bit)).tobytes())
     return planes
 
 
@@ -75,6 +80,7 @@ class Encoder:
         for token, number in vocabulary.items():  # a byte-level token has one character per byte
             self.sizes[number] = len(token)
         self.known: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # the same by the word behind a space
         self.bound = bound
 
     def _learn(self, pieces: list[str]) -> None:
@@ -89,21 +95,34 @@ class Encoder:
             ends = np.cumsum(self.sizes[ids])
             stops = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part])) + 1
             start = 0
-            for p, stop in zip(part, stops):
+            for p, stop in zip(part, stops.tolist()):
                 self.known[p] = ids[start:stop].tobytes()
                 start = stop
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        pieces = _CUT.split(text)
-        known = self.known
-        if len(known) > self.bound:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        if new:
-            self._learn(new)
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        if len(self.known) > self.bound:
+            self.known.clear()
+            self.spaced.clear()
+        if _RUN.search(text):
+            pieces, known = _CUT.split(text), self.known
+            if new := [p for p in dict.fromkeys(pieces) if p not in known]:
+                self._learn(new)
+            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        # White space stands alone everywhere: a space belongs to the word behind it, a line end is a token of its own
+        # and is kept at the head of its word, which then has no space.
+        first, *pieces = text.replace("\n", " \n").split(" ")
+        spaced = self.spaced
+        if new := list(set(pieces).difference(spaced)):
+            full = [p if p[:1] == "\n" else " " + p for p in new]
+            self._learn([p for p in full if p not in self.known])
+            for p, whole in zip(new, full):
+                spaced[p] = self.known[whole]
+        if first and first not in self.known:
+            self._learn([first])
+        head = self.known[first] if first else b""
+        return np.frombuffer(head + b"".join(map(spaced.__getitem__, pieces)), np.uint32)
 
 
 @lru_cache(maxsize=1)
