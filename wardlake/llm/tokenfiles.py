@@ -40,7 +40,9 @@ FILE_CHARS = 1 << 27
 
 #: A space behind anything but white space starts a pre-token under every byte-level pattern.
 _CUT = re.compile(r"(?<=\S)(?= )")
-_RUN = re.compile(r"\s\s")
+#: White space next to white space, or a stop or comma behind anything but a letter or digit: cut by the rule above.
+_ODD = re.compile(r"\s\s|[\W_][.,]")
+_HEADS = frozenset("\n.,")
 
 
 def pack_block(ids: np.ndarray) -> list[bytes]:
@@ -84,14 +86,14 @@ class Encoder:
         self.bound = bound
 
     def _learn(self, pieces: list[str]) -> None:
-        encode = self.tokenizer.encode
+        encode, fast = self.tokenizer.encode, self.tokenizer.encode_batch_fast
         joined = [p for p in pieces if p[0] == " " and not p[-1].isspace()]
         for p in set(pieces).difference(joined):
             self.known[p] = np.array(encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
         # Pieces that start with a space and do not end in one keep their ids when put together.
         for i in range(0, len(joined), 256):
             part = joined[i : i + 256]
-            ids = np.array(encode("".join(part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(self.sizes[ids])
             stops = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part])) + 1
             start = 0
@@ -105,17 +107,17 @@ class Encoder:
         if len(self.known) > self.bound:
             self.known.clear()
             self.spaced.clear()
-        if _RUN.search(text):
+        if _ODD.search(text):
             pieces, known = _CUT.split(text), self.known
             if new := [p for p in dict.fromkeys(pieces) if p not in known]:
                 self._learn(new)
             return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
-        # White space stands alone everywhere: a space belongs to the word behind it, a line end is a token of its own
-        # and is kept at the head of its word, which then has no space.
-        first, *pieces = text.replace("\n", " \n").split(" ")
+        # White space stands alone everywhere: a space belongs to the word behind it. A line end, and a stop or comma
+        # behind a word, starts a pre-token too; it is kept at the head of its piece, which then has no space.
+        first, *pieces = text.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
         spaced = self.spaced
         if new := list(set(pieces).difference(spaced)):
-            full = [p if p[:1] == "\n" else " " + p for p in new]
+            full = [p if p[:1] in _HEADS else " " + p for p in new]
             self._learn([p for p in full if p not in self.known])
             for p, whole in zip(new, full):
                 spaced[p] = self.known[whole]
