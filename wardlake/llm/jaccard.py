@@ -46,6 +46,8 @@ from wardlake.session import durable, stored
 SENT, OWNED = 1 << 21, 1 << 22
 #: Classes per block in the comparison of groups that the stars leave open.
 MEMBERS = 1024
+#: Rows of cells that a task looks at together, and pairs.
+ROWS, PAIRS = 20_000, 200_000
 #: Ranges of the exact bound, and how many of them a first look takes together.
 BINS, COARSE = 256, 16
 
@@ -308,27 +310,55 @@ def _verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
 
 
 def _compare(percent: int):
-    """Pairs of one cell that their sketches leave open: of different components, and of two blocks or of one."""
+    """Pairs of cells that their sketches leave open: of different components, and of two blocks or of one.
+
+    A task gets many cells at once, as most are small; ``PAIRS`` pairs are looked at together.
+    """
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("n", ignore_index=True)
+        frame = frame.sort_values(["group", "i", "j", "n"], ignore_index=True)
         counts = np.frombuffer(b"".join(frame["shape"]), np.uint8).reshape(-1, BINS).astype(np.int16)
         coarse = counts.reshape(len(frame), -1, COARSE).sum(axis=2, dtype=np.int16)
         label, block, names, size = (frame[c].to_numpy() for c in ("label", "block", "cls", "n"))
-        two = block.min() != block.max()
-        # Sizes ascend: partners of a set end where sets become too large for it.
-        ends = np.searchsorted(size * percent, size * 100, side="right")
-        out = []
-        for i, end in enumerate(ends):
-            other = np.arange(i + 1, end)
-            other = other[(label[other] != label[i]) & ((block[other] != block[i]) | (not two))]
+        cell = frame[["group", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)]))
+        ends = np.append(starts[1:], len(frame))
+        found: list[np.ndarray] = []
+
+        def look(p: np.ndarray, q: np.ndarray) -> None:
+            # A cell of two blocks compares across them only; sizes ascend within a cell.
+            open_ = (label[p] != label[q]) & (size[q] * percent <= size[p] * 100)
+            open_ &= (block[p] != block[q]) | (cell[p, 1] == cell[p, 2])
+            p, q = p[open_], q[open_]
             for ranges in (coarse, counts):
-                least = np.abs(ranges[other] - ranges[i]).sum(axis=1, dtype=np.int64)
-                other = other[least * (100 + percent) <= (100 - percent) * (size[other] + size[i])]
-            for j in other:
-                a, b = (i, j) if names[i] < names[j] else (j, i)
-                out.append((names[a], names[b], size[a], size[b]))
-        return pd.DataFrame(out, columns=["a", "b", "na", "nb"], dtype="int64")
+                least = np.abs(ranges[p] - ranges[q]).sum(axis=1, dtype=np.int64)
+                near = least * (100 + percent) <= (100 - percent) * (size[p] + size[q])
+                p, q = p[near], q[near]
+            swap = names[p] > names[q]
+            a, b = np.where(swap, q, p), np.where(swap, p, q)
+            found.append(np.unique(np.column_stack([names[a], names[b], size[a], size[b]]), axis=0))
+
+        triangles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        ps, qs, held = [], [], 0
+        for a, b in zip(starts, ends):
+            m = int(b - a)
+            if m <= 64:
+                if m not in triangles:
+                    triangles[m] = np.triu_indices(m, 1)
+                parts = [triangles[m]]
+            else:
+                parts = [(np.full(m - 1 - i, i), np.arange(i + 1, m)) for i in range(m - 1)]
+            for p, q in parts:
+                ps.append(p + a)
+                qs.append(q + a)
+                held += len(p)
+                if held > PAIRS:
+                    look(np.concatenate(ps), np.concatenate(qs))
+                    ps, qs, held = [], [], 0
+        if held:
+            look(np.concatenate(ps), np.concatenate(qs))
+        rows = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 4), np.int64)
+        return pd.DataFrame(rows, columns=["a", "b", "na", "nb"])
 
     return compare
 
@@ -356,7 +386,10 @@ def _link_classes(pairs: DataFrame, members: DataFrame, texts: Texts, percent: i
         "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         "block", "cls", "n", "label", "shape",
     )
-    near = cells.groupBy("group", "i", "j").applyInPandas(_compare(percent), "a bigint, b bigint, na bigint, nb bigint")
+    dealt_to = F.pmod(F.xxhash64("group", "i", "j"), F.lit(-(-still.count() // ROWS)))
+    near = cells.withColumn("task", dealt_to).groupBy("task").applyInPandas(
+        _compare(percent), "a bigint, b bigint, na bigint, nb bigint"
+    )
     more = _verified(durable(near.distinct()), texts, percent)
     return components(links.unionByName(more))
 
