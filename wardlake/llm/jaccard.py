@@ -47,7 +47,7 @@ SENT, OWNED = 1 << 21, 1 << 22
 #: Classes per block in the comparison of groups that the stars leave open.
 MEMBERS = 1024
 #: Rows of cells that a task looks at together, and pairs.
-ROWS, PAIRS = 20_000, 200_000
+ROWS, PAIRS = 100_000, 200_000
 #: Ranges of the exact bound, and how many of them a first look takes together.
 BINS, COARSE = 256, 16
 
