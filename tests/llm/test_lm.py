@@ -100,3 +100,16 @@ def test_edges(edge, empty, monkeypatch):
     assert ngramlm.score(empty, F.lit(False)).count() == 0
     alone = ngramlm.score(edge, F.lit(True)).collect()
     assert len(alone) == len(rows) and {r["train_tokens"] for r in alone} == {0} and {r["n_known"] for r in alone} == {0}
+
+
+def test_weights_do_not_depend_on_the_layout(spark, monkeypatch):
+    """All training documents count, in whatever partition they lie; a bucket without held-out tokens is not switched off."""
+    seen = spied(monkeypatch)
+    rows = [(i, f"a b c {w} a b d") for i, w in enumerate("a b c d e f g h".split() * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    one = df.repartition(4).mapInPandas(lambda frames: iter(()), df.schema).union(df)  # rows behind four empty partitions
+    for docs in (df, one, df.repartition(6)):
+        got = ngramlm.score(docs, F.lit(False)).collect()
+        check(got, rows, [False] * len(rows), seen[-1])
+    for w in seen:
+        assert w.word == seen[0].word != 0.5 and (w.pair == seen[0].pair).all() and (w.pair > 0).all()

@@ -4,17 +4,18 @@
     P2(w | u) = b(f) * c(u w) / c(u) + (1 - b(f)) * P1(w)
 
 c counts the training tokens; f is the bucket of the frequency of the context u (powers of two); the context of a first
-token is the start of the text. The weights are learned by expectation-maximisation on held-out counts: for training
-documents of every ``HELD``-th batch the document itself is deleted from the counts, and its tokens are sorted into a
-histogram of likelihood ratios per bucket (``STEPS`` steps per factor of two, so of bounded size for any corpus), which
-is all that the iterations need.
+token is the start of the text. The weights are learned by expectation-maximisation on held-out counts: each training
+document in turn is deleted from the counts, and its tokens are sorted into a histogram of likelihood ratios per bucket
+(``STEPS`` steps per factor of two, so of bounded size for any corpus), which is all that the iterations need. A bucket
+that only shows up with nothing deleted has the weight learned from all buckets together.
 
 Counts of a corpus do not fit into a task, so they are exchanged: documents are packed into batches and stored; each
 batch sends its distinct words and bigrams (64-bit hashes, sorted and packed, with their training counts) to the owners
 of ranges of hashes; an owner adds up what the batches sent and answers each batch with the totals in the order of its
 request. A batch then scores its documents by itself. A hot word is one number per batch.
 
-Edge cases: null text counts as empty: one token, the end. Without training documents all counts are 0. Repeated rows
+Edge cases: null text counts as empty: one token, the end. Without training documents all counts are 0. A single
+training document leaves no context to learn from, so its bigrams weigh nothing. Repeated rows
 count and are scored as often as they occur. Null ids are allowed and belong to the training documents. Columns other
 than the id and the text are ignored.
 """
@@ -36,8 +37,6 @@ from wardlake.session import durable
 
 #: Characters of a batch; distinct n-grams that an owner is meant to hold.
 BATCH, OWNED = 1 << 23, 1 << 22
-#: Every how many batches one is held out for the weights.
-HELD = 10
 #: Steps of the likelihood ratio per factor of two, and its range in powers of two.
 STEPS, RANGE = 16, 64
 ROUNDS = 100
@@ -239,18 +238,17 @@ def learn(ratio: np.ndarray, n: np.ndarray) -> float:
     return weight
 
 
-def _fit(order: int, batches: DataFrame, answers: DataFrame, w: Weights) -> dict[int, float]:
-    held = (F.shiftright("batch", 24) + F.col("batch").bitwiseAND(0xFFFFFF)) % HELD == 0
-    parts = batches.filter(held).select("batch", "docs").groupBy("batch").cogroup(
-        answers.filter(held).select("batch", "owner", "totals").groupBy("batch")
+def _fit(order: int, batches: DataFrame, answers: DataFrame, w: Weights) -> tuple[dict[int, float], float]:
+    """The weight of each bucket that has tokens, and the weight of all buckets together."""
+    parts = batches.select("batch", "docs").groupBy("batch").cogroup(
+        answers.select("batch", "owner", "totals").groupBy("batch")
     ).applyInPandas(_ratios(order, w), "bucket bigint, step bigint, n bigint")
     # At most 64 buckets of 2 * RANGE * STEPS steps.
     table = parts.groupBy("bucket", "step").agg(F.sum("n").alias("n")).toPandas()
     ratio = np.where(table["step"] == -RANGE * STEPS, 0.0, 2.0 ** ((table["step"].to_numpy(float) + 0.5) / STEPS))
-    return {
-        int(b): learn(ratio[rows], table["n"].to_numpy(float)[rows])
-        for b, rows in table.groupby("bucket").indices.items()
-    }
+    n = table["n"].to_numpy(float)
+    found = {int(b): learn(ratio[rows], n[rows]) for b, rows in table.groupby("bucket").indices.items()}
+    return found, learn(ratio, n) if len(n) else 0.0
 
 
 def _scorer(w: Weights):
@@ -294,8 +292,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
     )
     w = Weights(train_tokens, answers.agg(F.sum("types")).first()[0] or 0, train_docs)
     if train_tokens:
-        w.word = _fit(1, batches, answers, w).get(0, 0.5)
-        for place, weight in _fit(2, batches, answers, w).items():
+        w.word = _fit(1, batches, answers, w)[1]
+        found, pooled = _fit(2, batches, answers, w)
+        w.pair[:] = pooled
+        for place, weight in found.items():
             w.pair[place] = weight
     scored = batches.select("batch", "docs").groupBy("batch").cogroup(
         answers.select("batch", "owner", "totals").groupBy("batch")
