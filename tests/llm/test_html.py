@@ -49,3 +49,22 @@ def test_edges(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"] and got.count() == 4
     assert got.filter("page_id is null").first()["text"].count("\n") == 1999
     assert mainhtml.main_text(pages.limit(0)).count() == 0
+
+
+def words(name: str, size: int) -> str:
+    return " ".join([name] * (size // (len(name) + 1)))
+
+
+@pytest.mark.parametrize("inner", ["p", "li", "blockquote", "td", "h2", "span", "div"])
+def test_one_long_block_is_not_the_page(inner):
+    """One block longer than all others together does not drop them."""
+    long, short = words("long", 600), words("short", 300)
+    page = f"<html><body><h1>Title</h1><{inner}>{long}</{inner}><p>{short}</p></body></html>"
+    assert mainhtml.extract(page) == f"Title\n{long}\n{short}"
+
+
+def test_a_nested_article_does_not_replace_its_main():
+    long, short = words("long", 600), words("short", 500)
+    page = f"<main><p>{short}</p><article><p>{long}</p></article></main>"
+    assert mainhtml.extract(page) == f"{short}\n{long}"
+    assert mainhtml.extract(f"<main><a>x</a><a>y</a><article><p>{long}</p><p>{short}</p></article></main>") == f"{long}\n{short}"

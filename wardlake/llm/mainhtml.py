@@ -7,9 +7,10 @@ whose class, id or role says advert, notice, menu, comments and the like).
 
 The ratio of text to tags of each line is smoothed by a Gaussian; lines above the threshold (the standard deviation of
 the smoothed ratios, as long as any line is above it) form clusters of content. Short lines between long ones belong to
-the text, so clusters are closed up: the part of the page with the largest share of clustered text is the content region
-(an article or main element, if one has clustered text; else the smallest element that holds most of it), and all of its
-lines but those of excluded parts are the result.
+the text, so clusters are closed up: the content region is the article or main element with the most clustered text, if
+one has any; else the page. It narrows to an element inside (an article or main in the first case; in the second, one that
+is made to hold blocks and holds several) only where no clustered line is left outside, short neighbours of long lines
+apart. All lines of the region but those of excluded parts are the result.
 
 Edge cases: null or empty html, and pages without a content line, give the empty text. Broken, nested or unclosed markup
 is read as browsers do in the usual cases: a block closes open paragraphs, an end tag closes what is open inside it, an
@@ -51,6 +52,8 @@ EXCLUDED_WORDS = frozenset(
     "sidebar sidebars signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 CONTENT = frozenset(["article", "main"])
+#: Blocks that may hold several others; text of one of the rest is never more than a part of the content.
+CONTAINERS = frozenset("body center div html section".split())
 #: Elements whose unclosed start is ended by one of the same kind.
 SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"},
                 "option": {"select"}}
@@ -174,21 +177,26 @@ def extract(html: str | None) -> str:
     ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
     bar = min(float(ratio.std()), float(ratio.max()))
     chosen = ratio >= bar
-    # Clustered text per enclosing element.
+    # Lines that are clustered only as neighbours of others (too short to reach the bar even with one tag) tell no region.
+    chosen &= np.array([len(text) >= bar for text, _, _ in lines])
+    # Clustered text, and lines, per enclosing element.
     weight: dict[int, int] = defaultdict(int)
+    held: dict[int, int] = defaultdict(int)
     for (text, _, path), yes in zip(lines, chosen):
-        if yes:
-            for number in path:
+        for number in path:
+            held[number] += 1
+            if yes:
                 weight[number] += len(text)
-    total = sum(len(text) for (text, _, _), yes in zip(lines, chosen) if yes)
     content = [n for n in weight if names[n] in CONTENT]
     if content:
         heaviest = max(content, key=lambda n: (weight[n], -n))
-        # Elements are numbered as they open: of nested ones with most of the text, the innermost.
-        region = max(n for n in content if weight[n] * 2 > weight[heaviest])
-        region = region if any(heaviest in path and region in path for _, _, path in lines) else heaviest
+        inside = {n for _, _, path in lines if heaviest in path for n in path[path.index(heaviest) :]}
+        # Elements are numbered as they open: of nested ones with all of the text, the innermost.
+        region = max(n for n in content if n in inside and weight[n] == weight[heaviest])
     else:
-        region = max((n for n in weight if weight[n] * 2 > total), default=None)
+        total = sum(len(text) for (text, _, _), yes in zip(lines, chosen) if yes)
+        whole = (n for n in weight if weight[n] == total and held[n] > 1 and names[n] in CONTAINERS)
+        region = max(whole, default=None)
     return "\n".join(text for text, _, path in lines if region is None or region in path)
 
 
