@@ -155,3 +155,44 @@ def test_components(spark):
     assert components(links.limit(0)).count() == 0
     star = links.sparkSession.range(1, 500).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
     assert components(star).filter("label = 0").count() == 499
+
+
+@pytest.mark.parametrize("labels", [lambda i: i == 0, lambda i: i % 3])
+def test_tasks_of_open_groups_are_bounded(spark, monkeypatch, labels):
+    """A large open group is dealt by the rows of its cells; cells of one component are not looked at, no pair is left out."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard, "ROWS", 200)
+    real = jaccard._compare
+    seen = []
+
+    def spy(percent):
+        compare = real(percent)
+
+        def bounded(frame):
+            assert len(frame) <= 600, f"{len(frame)} rows in one task"
+            assert (frame.groupby(["group", "i", "j"])["label"].nunique() > 1).all(), "a cell of one component"
+            return compare(frame)
+
+        return bounded
+
+    class Texts:
+        sketches = spark.range(1000, 1320).select(F.col("id").alias("cls"), F.lit(bytes(jaccard.BINS)).alias("shape"))
+
+    def verified(pairs, texts, percent):
+        seen.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return pairs.select("a", "b")
+
+    monkeypatch.setattr(jaccard, "_compare", spy)
+    monkeypatch.setattr(jaccard, "_verified", verified)
+    first = {}
+    for i in range(320):
+        first.setdefault(labels(i), 1000 + i)
+    pairs = spark.createDataFrame(
+        [(first[labels(i)], 1000 + i, 9, 9) for i in range(320) if first[labels(i)] != 1000 + i], "a bigint, b bigint, na bigint, nb bigint"
+    )
+    members = spark.range(1000, 1320).select(
+        F.lit(5).cast("bigint").alias("group"), F.col("id").alias("cls"), F.lit(0).cast("bigint").alias("hub"), F.lit(9).cast("bigint").alias("n")
+    )
+    got = jaccard._link_classes(pairs, members, Texts(), 80)
+    assert {r["label"] for r in got.collect()} == {1000} and got.count() == 319
+    assert seen[1] == {(1000 + i, 1000 + j) for j in range(320) for i in range(j) if labels(i) != labels(j)}

@@ -13,9 +13,10 @@ signatures all count. (Else they are all sent.) Two similar sets always share a
 Every task sends its signatures, sorted and packed, to the owners of ranges of values. An owner returns the classes that
 share a signature as stars around the smallest class, and the members of groups of three and more. Stars are verified,
 by an exact bound (the difference of the numbers of shingles per range of hashes) and then on the shingle sets, and give
-components. Groups whose members are not all connected then are compared block by block, in tasks of two blocks of about
-``MEMBERS`` classes, which hold the sketches only and return the pairs of different components that the bound cannot
-exclude; those are verified too. So no group is expanded into its pairs, and no link is lost.
+components. Groups whose members are not all connected then are compared in cells of two blocks of about ``MEMBERS``
+classes; cells of one component are left out, and a task gets about ``ROWS`` rows of the others. It holds the sketches
+only and returns the pairs of different components that the bound cannot exclude; those are verified too. So no group is
+expanded into its pairs, and no link is lost.
 
 Classes and shingles are 64-bit hashes.
 
@@ -364,11 +365,33 @@ def _compare(percent: int):
 
 
 def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """group, cls, n, hub, label: the members of groups that are not connected yet."""
+    """group, cls, n, hub, label, blocks: the members of groups that are not connected yet, and the blocks of their group."""
     named = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("label", F.coalesce("label", "cls"))
-    mixed = named.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return named.join(mixed.filter("low <> high").select("group"), "group")
+    mixed = named.groupBy("group").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / MEMBERS).alias("blocks")
+    )
+    return named.join(mixed.filter("low <> high").select("group", "blocks"), "group")
+
+
+def _cells(still: DataFrame) -> tuple[DataFrame, int]:
+    """group, i, j, block, cls, n, label: the members of every cell with two labels or more; and how many rows these are."""
+    dealt = still.withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
+    columns = ["group", "i", "j", "block", "cls", "n", "label"]
+    zero = F.lit(0).cast("bigint")
+    alone = dealt.filter("blocks = 1").withColumns({"i": zero, "j": zero}).select(columns)
+    ends = durable(dealt.filter("blocks > 1").groupBy("group", "block").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("many")
+    ))
+    if ends.isEmpty():
+        return alone, alone.count()
+    one, two = (ends.select("group", *[F.col(c).alias(c + x) for c in ("block", "low", "high", "many")]) for x in "ij")
+    open_ = one.join(two, "group").filter("blocki <= blockj AND least(lowi, lowj) <> greatest(highi, highj)")
+    own = F.when(F.col("blocki") == F.col("blockj"), F.array("blocki")).otherwise(F.array("blocki", "blockj"))
+    open_ = durable(open_.select("group", F.col("blocki").alias("i"), F.col("blockj").alias("j"), F.explode(own).alias("block")))
+    rows = open_.join(ends, ["group", "block"]).agg(F.sum("many")).first()[0] or 0
+    several = dealt.filter("blocks > 1").join(open_, ["group", "block"]).select(columns)
+    return alone.unionByName(several), alone.count() + rows
 
 
 def _link_classes(pairs: DataFrame, members: DataFrame, texts: Texts, percent: int) -> DataFrame:
@@ -379,14 +402,9 @@ def _link_classes(pairs: DataFrame, members: DataFrame, texts: Texts, percent: i
     still = durable(_open_groups(members.filter("cls <> hub"), labels))
     if still.isEmpty():
         return labels
-    blocks = still.groupBy("group").agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
-    dealt = still.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    cells = dealt.join(texts.sketches, "cls").select(
-        "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "cls", "n", "label", "shape",
-    )
-    dealt_to = F.pmod(F.xxhash64("group", "i", "j"), F.lit(-(-still.count() // ROWS)))
+    members_of, rows = _cells(still)
+    cells = members_of.join(texts.sketches, "cls")
+    dealt_to = F.pmod(F.xxhash64("group", "i", "j"), F.lit(-(-rows // ROWS)))
     near = cells.withColumn("task", dealt_to).groupBy("task").applyInPandas(
         _compare(percent), "a bigint, b bigint, na bigint, nb bigint"
     )
