@@ -102,3 +102,14 @@ def test_edges(edge, empty, monkeypatch):
     out = surrogates.replace(edge, "k")
     assert out.count() == edge.count() and sorted(out.columns) == sorted(edge.columns)
     assert surrogates.replace(empty, "k").count() == 0
+
+
+@pytest.mark.parametrize("mail", ["user@mail.example.com", "jo@x.co.uk", "a@b.c.d.example.org", "a@mail.xn--p1ai", "a@x.y9.de"])
+def test_the_whole_domain_is_one_entity(spark, mail):
+    docs = spark.createDataFrame([(1, f"to {mail}, or {mail}."), (2, f"{mail}.au")], "doc_id bigint, text string")
+    found = [(r["kind"], r["value"]) for r in surrogates.entities(docs).orderBy("canon").collect()]
+    assert found == [("email", mail)] * 2 + [("email", f"{mail}.au")]
+    out = surrogates.replace(docs, "k").filter("doc_id = 1").first()["text"]
+    for label in mail.split("@")[1].split(".")[:-1]:
+        assert len(label) < 3 or label not in out
+    assert out.endswith(mail[mail.rindex("."):] + ".")

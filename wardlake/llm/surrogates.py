@@ -35,9 +35,11 @@ NEUTRAL = ("Dr", "Prof", "Professor", "Mx")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{L}+(?:['’-]\p{L}+)*+"
+# All labels of the domain; the last one starts with a letter.
+_EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}[\p{L}\p{N}-]*[\p{L}\p{N}]"
 #: One alternative per kind; all start where no letter or digit precedes.
 PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join([
-    r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*?\.\p{L}{2,}+",
+    _EMAIL,
     _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?\d)",
     r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     r"\+[2-9]\d{0,2}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
