@@ -72,3 +72,12 @@ def test_edges(edge, empty):
     taken = mixing.take(edge)
     assert taken.columns == edge.columns and taken.groupBy("doc_id").count().filter("count > 6").count() == 0
     assert mixing.take(empty).count() == 0
+
+
+def test_a_source_lands_alike_beside_a_larger_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, "a" if i < 500 else "b", int(rng.integers(1, 9000)), 0.37, float(rng.random()), 500 if i < 500 else 60) for i in range(560)]
+    docs = spark.createDataFrame(rows, "doc bigint, source string, size bigint, chance double, draw double, n_docs bigint")
+    both, alone = ({r["doc"]: r["chance"] for r in mixing.decide(d).filter("source = 'b'").collect()} for d in (docs, docs.filter("source = 'b'")))
+    assert both == alone and len(both) == 60

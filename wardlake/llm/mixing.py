@@ -144,11 +144,15 @@ def decide(docs: DataFrame) -> DataFrame:
     schema = docs.schema
     done = []
     rest, many = docs, docs.agg(F.max("n_docs")).first()[0] or 0
+    bound = BLOCK
+
+    def block(frame: pd.DataFrame) -> pd.DataFrame:
+        # A source lands in the round in which it has one block, whatever the others need.
+        return (_last_block if frame["n_docs"].iloc[0] <= bound else _block)(frame)
+
     while True:
         blocks = -(-many // BLOCK) or 1
         last = blocks == 1
-
-        block = _last_block if last else _block
         own = F.ceil(F.col("n_docs") / BLOCK)
         cut = F.pmod(F.xxhash64(F.lit(len(done)), "doc"), own)
         flown = rest.withColumn("_block", cut).groupBy("source", "_block").applyInPandas(block, schema)
