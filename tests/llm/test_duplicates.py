@@ -196,3 +196,14 @@ def test_tasks_of_open_groups_are_bounded(spark, monkeypatch, labels):
     got = jaccard._link_classes(pairs, members, Texts(), 80)
     assert {r["label"] for r in got.collect()} == {1000} and got.count() == 319
     assert seen[1] == {(1000 + i, 1000 + j) for j in range(320) for i in range(j) if labels(i) != labels(j)}
+
+
+def test_one_of_each_without_telling_ids(spark):
+    """Null ids, and different texts that share the smallest id, leave one document of their group."""
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text), (None, text + " x"), (None, text + " y"), (None, None), (None, None)]
+    rows += [(5, text.upper().replace("W", "v")), (5, text.upper().replace("W", "v") + " z"), (6, text.replace("w", "v"))]
+    rows += [(7, "own words only"), (7, "own words only")]
+    left = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()
+    ids = collections.Counter((r["doc_id"], r["text"] is None) for r in left)
+    assert ids == {(None, False): 1, (None, True): 2, (5, False): 1, (7, False): 1}

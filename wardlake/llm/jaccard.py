@@ -412,8 +412,8 @@ def _link_classes(pairs: DataFrame, members: DataFrame, texts: Texts, percent: i
     return components(links.unionByName(more))
 
 
-def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, row_key; one row per row of ``docs``."""
+def _labelled(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
+    """row_key, doc_id, n_shingles, cls, label (null without words); one row per row of ``docs``."""
     doc_id = F.col("doc_id").cast("bigint")
     rows = docs.select(
         row_key("doc_id", text).alias("key"), doc_id.isNotNull().cast("int").alias("named"),
@@ -441,7 +441,12 @@ def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame
     labels = _link_classes(pairs, members, Texts(rows, durable(sources), n), percent)
 
     joined = digests.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    joined = joined.withColumn("label", F.coalesce("label", "cls"))
+    return joined.withColumn("label", F.coalesce("label", "cls"))
+
+
+def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, row_key; one row per row of ``docs``."""
+    joined = _labelled(docs, n, percent, text)
     least = joined.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = joined.join(least, "label", "left")
     return linked.select(
@@ -451,9 +456,13 @@ def link(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame
 
 
 def one_of_each(docs: DataFrame, n: int, percent: int, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those that link, over any number of links, with a row of a smaller id."""
-    linked = link(docs, n, percent, text)
-    smaller = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = durable(linked.filter(smaller).select(F.col("row_key").alias("__row")).distinct())
+    """One row of each group that links, over any number of links: of the smallest id, nulls last, then by the row key."""
+    linked = durable(_labelled(docs, n, percent, text).filter("label IS NOT NULL").select("label", "doc_id", "row_key"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = linked.groupBy("label").agg(F.min(order)["row_key"].alias("kept"))
+    gone = durable(linked.join(kept, "label").filter("row_key <> kept").select(F.col("row_key").alias("__row")).distinct())
     named = docs.withColumn("__row", row_key("doc_id", text))
+    if not linked.groupBy("row_key").count().filter("count > 1").isEmpty():  # repeated rows; those without words all stay
+        worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        named = named.filter(worded).dropDuplicates(["__row"]).unionByName(named.filter(~worded))
     return drop_matching(named, gone, "__row", gone.count()).select(docs.columns)
