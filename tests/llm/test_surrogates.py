@@ -113,3 +113,15 @@ def test_the_whole_domain_is_one_entity(spark, mail):
     for label in mail.split("@")[1].split(".")[:-1]:
         assert len(label) < 3 or label not in out
     assert out.endswith(mail[mail.rindex("."):] + ".")
+
+
+def test_credentials_in_other_spellings(spark):
+    secret = "9233A8EC77B1"
+    forms = ['TOKEN = "%s"', "token=%s", "token: %s", "PASSWORD=%s", "DB_PASSWORD = '%s'", '{"api_key": "%s"}', "client_secret: %s", "apiKey=%s",
+             "Authorization: Bearer %s99887766", "password=p@%s", "Passwd=(((%s"]
+    rows = [(i, f % secret) for i, f in enumerate(forms)]
+    clean = ["The secret: patience and time", "password=******", "a token = next", "Bearer of news", "key: 12345678"]
+    rows += [(100 + i, t) for i, t in enumerate(clean)]
+    out = {r["doc_id"]: r["text"] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
+    for i, text in rows:
+        assert (out[i] == text) if i >= 100 else (secret not in out[i] and out[i][:5] == text[:5]), out[i]

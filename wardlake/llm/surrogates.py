@@ -37,8 +37,17 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{L}+(?:['’-]\p{L}+)*+"
 # All labels of the domain; the last one starts with a letter.
 _EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}[\p{L}\p{N}-]*[\p{L}\p{N}]"
+# Key names of credentials in any case, what stands between them and the value, and the value. Without quotes and behind
+# a blank or a colon, only values with a digit count.
+_KEY = r"(?i:passw(?:or)?d|passphrase|pwd|token|secret|credentials?|(?:api|access|auth|private|secret|encryption|signing)[_ -]?key)"
+_IS = r"[\"'\]]{0,2}\s{0,3}[:=]{1,2}>?\s{0,3}"
+_SECRET = r"(?!(?i:bearer)\s)(?=[^\s\"'`]*[\p{L}\p{N}])[^\s\"'`=:>][^\s\"'`]{4,}[^\s\"'`.,;:!?)\]}>]"
 #: One alternative per kind; all start where no letter or digit precedes.
 PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join([
+    rf"(?<={_KEY}{_IS}[\"'`]){_SECRET}",
+    rf"(?<={_KEY}=){_SECRET}",
+    rf"(?<={_KEY}{_IS})(?=[^\s\"'`]*\d){_SECRET}",
+    r"(?<=(?i:bearer)\s{1,3})(?=[^\s\"'`]*\d)[\p{L}\p{N}._~+/=-]{16,}+",
     _EMAIL,
     _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?\d)",
     r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
@@ -49,9 +58,7 @@ PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join([
     r"\d{13,19}(?![\p{L}\d])",
     r"\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}(?![\p{L}\d])",
     r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
-    r"AKIA[0-9A-Z]{16}(?![\p{L}\d])",
-    r"(?<=token = \")[0-9A-Za-z_-]{16,}+",
-    r"(?<=password=)[^\s\"']{6,}+",
+    r"(?i:AKIA[0-9A-Z]{16})(?![\p{L}\d])",
     r"(?:" + "|".join(sorted({*MALE, *FEMALE, *NEUTRAL}, key=lambda w: (-len(w), w))) + r")\.? " + _NAME + r"(?: " + _NAME + r")?",
 ]) + r")"
 
@@ -112,9 +119,9 @@ def _luhn(digits: Column) -> Column:
 def _kind(value: Column) -> Column:
     address = F.regexp_extract(value, r"^(\S+?)\.? ", 1)
     return (
-        F.when(value.contains("@"), "email")
+        F.when(value.rlike(f"^{_EMAIL}$"), "email")
         .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
-        .when(value.rlike(r"^[+(]|^\d{3}([.-])\d{3}\1\d{4}$"), "phone")
+        .when(value.rlike(r"^(?:\+|\(\d{3}\))[\d .()-]*\d$|^\d{3}([.-])\d{3}\1\d{4}$"), "phone")
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(value.rlike(r"^\d{13,19}$|^\d{4}([ -])\d{4}\1\d{4}\1\d+$"), "card")
         .when(address.isin(*MALE) & value.rlike(r" \p{Lu}\p{L}"), "name:m")
@@ -175,8 +182,10 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
         .when(kind == "card", F.concat(body, last))
         .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), scrambled(F.substr(canon, F.lit(3), F.length(canon)), digest)))
         .when(kind.startswith("name"), name)
-        .when((kind == "secret") & canon.startswith("AKIA"), F.concat(F.lit("AKIA"), scrambled(F.substr(canon, F.lit(5), F.length(canon)), digest)))
+        .when((kind == "secret") & (attempt >= 8), F.substr(digest, F.lit(1), F.greatest(F.length(canon), F.lit(16))))
+        .when((kind == "secret") & canon.rlike("^(?i)AKIA[0-9A-Z]{16}$"), F.concat(F.substr(canon, F.lit(1), F.lit(4)), scrambled(F.substr(canon, F.lit(5), F.length(canon)), digest)))
         .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), hexadecimal)
+        .when((kind == "secret") & canon.rlike("^[0-9A-F]+$"), F.upper(hexadecimal))
         .otherwise(scrambled(canon, digest))
     )
 
