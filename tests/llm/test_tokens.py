@@ -108,3 +108,9 @@ def test_file_edges(spark, edge, empty, library):
     assert [tuple(r) for r in got] == _file_rows(library, [tuple(r) for r in edge.select("doc_id", "text").collect()])
     none = tokenfiles.write(empty, folder, JSON, 2)
     assert none.empty and tokenfiles.read(spark, folder, none).count() == 0
+
+
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y, z.\n <|endoftext|>", "a <|endoftext b", "plain, text."])
+def test_added_tokens_are_encoded_as_the_library_does(text):
+    want = Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+    assert tokenfiles.Encoder(JSON)(text).tolist() == want

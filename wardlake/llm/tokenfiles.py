@@ -76,7 +76,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, number in vocabulary.items():  # a byte-level token has one character per byte
@@ -104,6 +105,8 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
+        if self.added and self.added.search(text):  # cut by the library alone, so that no piece holds an added token
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if len(self.known) > self.bound:
             self.known.clear()
             self.spaced.clear()
