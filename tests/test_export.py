@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardlake import model
 from wardlake.operators import export, extract
 from wardlake.plans import exporting
+from wardlake.sources import bundles
 
 
 def table(spark, name, *items):
@@ -99,20 +100,24 @@ def dataset(spark):
     }
 
 
-def entries(bundles):
-    return {
-        (r.bundle_id, r.part): [e["request"]["url"] for e in json.loads(r.value)["entry"]] for r in bundles.collect()
-    }
+def documents(lines):
+    """The documents that the lines are, put together in their order."""
+    found = {}
+    for r in lines.orderBy("bundle_id", "ord", "id", F.expr("array_position(array('head', 'entry', 'tail'), kind)")).collect():
+        found[r.bundle_id] = found.get(r.bundle_id, "") + r.value
+    return {k: json.loads(v) for k, v in found.items()}
+
+
+def entries(lines):
+    return {k: [e["request"]["url"] for e in d["entry"]] for k, d in documents(lines).items()}
 
 
 def test_bundle_of_a_patient(spark, dataset):
-    bundles = exporting.dataset_bundles(dataset)
-    found = entries(bundles)
-    assert set(found) == {("patient-1", ""), ("patient-2", "")}
-    one = found["patient-1", ""]
+    found = documents(exporting.dataset_bundles(dataset))
+    assert set(found) == {"patient-1", "patient-2"}
+    one = [e["request"]["url"] for e in found["patient-1"]["entry"]]
     assert one[:4] == ["Location/l1", "Patient/1", "Encounter/e1", "Encounter/e2"] and len(one) == 124
-    document = json.loads(bundles.filter("bundle_id = 'patient-2'").first().value)
-    assert document == {
+    assert found["patient-2"] == {
         "resourceType": "Bundle", "type": "transaction", "id": "patient-2",
         "entry": [{"resource": {"resourceType": "Patient", "id": "2", "gender": "male"}, "request": {"method": "PUT", "url": "Patient/2"}}],
     }
@@ -120,26 +125,61 @@ def test_bundle_of_a_patient(spark, dataset):
 
 def test_bundle_of_a_stay(dataset):
     found = entries(exporting.dataset_bundles(dataset, "encounter"))
-    assert {k[0]: len(v) for k, v in found.items()} == {"encounter-e1": 122, "encounter-e2": 2, "encounter-e3": 2}
+    assert {k: len(v) for k, v in found.items()} == {"encounter-e1": 122, "encounter-e2": 2, "encounter-e3": 2}
     with pytest.raises(ValueError):
         exporting.dataset_bundles(dataset, "other")
 
 
-def test_a_large_bundle_becomes_several_documents_and_loses_nothing(dataset):
-    whole = entries(exporting.dataset_bundles(dataset))
-    parts = entries(exporting.dataset_bundles(dataset, max_entries=20))
-    assert [k for k in parts if k[0] == "patient-2"] == [("patient-2", "")]
-    pieces = sorted((k, v) for k, v in parts.items() if k[0] == "patient-1")
-    assert len(pieces) > 6
-    assert sorted(u for _, v in pieces for u in v) == sorted(whole["patient-1", ""])
-    assert pieces[0][1] == ["Location/l1"] and pieces[1][1] == ["Patient/1"]
+def test_values_and_json_give_the_same_documents(dataset):
+    from_json = export.bundle_by_patient(export.dataset_to_resources(dataset))
+    assert documents(from_json) == documents(exporting.dataset_bundles(dataset))
 
 
-def test_copies_do_not_make_a_bundle_large(spark, dataset):
+@pytest.mark.parametrize("copies", [1, 10**9])
+def test_copies_are_one_entry(spark, dataset, monkeypatch, copies):
+    monkeypatch.setattr(export, "MANY_COPIES", copies)
     many = dict(dataset, biol=dataset["biol"].filter("ELTID = 'o000'").crossJoin(spark.range(500)).drop("id"))
-    assert {k: len(v) for k, v in entries(exporting.dataset_bundles(many, max_entries=20)).items()} == {
-        ("patient-1", ""): 5, ("patient-2", ""): 1,
-    }
+    assert {k: len(v) for k, v in entries(exporting.dataset_bundles(many)).items()} == {"patient-1": 5, "patient-2": 1}
+
+
+def test_a_bundle_goes_on_in_the_next_file(spark, dataset, tmp_path):
+    """A bundle of a million entries, most of all records, is written by several tasks; files in order are the documents."""
+    rows = spark.range(1_000_000).select(F.lit("1").alias("PATID"), F.format_string("o%07d", "id").alias("ELTID"))
+    big = dict(dataset, biol=extract.enforce_schema(rows, "biol"))
+    out = tmp_path / "out"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        bundles.write_bundles(exporting.dataset_bundles(big), str(out))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(out.glob("part-*"))
+    assert len(files) > 3 and max(f.stat().st_size for f in files) < 2 * sum(f.stat().st_size for f in files) / len(files)
+    text = "".join(f.read_text() for f in files)
+    one, two = [d for d in text.split("]}\n") if d]
+    assert json.loads(two + "]}")["id"] == "patient-2"
+    first = json.loads(one + "]}")
+    urls = [e["request"]["url"] for e in first["entry"]]
+    assert len(urls) == 1_000_004 and urls[4:] == sorted(urls[4:]) and len(set(urls)) == len(urls)
+    read = bundles.read_bundles(spark, str(out))
+    assert {r.bundle_id: r.n_entries for r in export.entry_counts(read).collect()} == {"patient-1": 1_000_004, "patient-2": 1}
+
+
+def test_written_lines_are_imported_again(spark, dataset, tmp_path):
+    out = str(tmp_path / "out")
+    bundles.write_bundles(exporting.dataset_bundles(dataset), out)
+    read = bundles.scan_bundles(spark, out, per_line=True, pattern="*.txt")
+    assert {r.status for r in bundles.scan_counts(read).collect()} == {"ok"}
+    types = extract.bundle_entries(read).groupBy("resource_type").count().collect()
+    assert {r.resource_type: r["count"] for r in types} == {"Location": 1, "Patient": 2, "Encounter": 2, "Observation": 120}
+
+
+def test_a_location_among_the_records_needs_no_stub(spark):
+    columns = "patient_id string, stay_id string, ord int, type string, id string, location_id string, resource string"
+    rows = spark.createDataFrame([
+        ("1", None, 1, "Encounter", "e", "l", '{"id":"e"}'), ("1", None, 7, "Location", "l", None, '{"id":"l"}'),
+        ("2", None, 1, "Encounter", "f", "l", '{"id":"f"}'),
+    ], columns)
+    assert entries(export.bundle_by_patient(rows)) == {"patient-1": ["Encounter/e", "Location/l"], "patient-2": ["Location/l", "Encounter/f"]}
 
 
 def test_a_real_location_replaces_the_stub(spark):

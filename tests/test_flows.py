@@ -100,8 +100,8 @@ def test_export_folder(spark, tmp_path):
     store.write_table(spark.createDataFrame([("1", None, 3, "F"), ("2", None, 3, "F")], model.table_schema("patient")), source, "patient")
     summary = exporting.export_folder(spark, source, out)
     assert {r.item: r.n for r in summary.collect()} == {"Patient": 2, "Bundle": 2}
-    written = [json.loads(r.value)["id"] for r in docs.read_bundles(spark, out).collect()]
-    assert sorted(written) == ["patient-1", "patient-2"]
+    written = docs.read_bundles(spark, out)
+    assert sorted(r.bundle_id for r in written.filter("kind = 'entry'").collect()) == ["patient-1", "patient-2"]
 
 
 def test_export_summary_lists_empty_tables(spark, tmp_path):
@@ -164,6 +164,49 @@ def test_stream_import_is_incremental_and_replay_safe(spark, landing, tmp_path):
     assert run(str(tmp_path / "fresh")) == {"mvt": 2, "patient": 2, "pmsi": 1}
 
 
+def rows_of(spark, out):
+    return {t: sorted(map(str, store.scan_table(spark, out, t).collect())) for t in store.list_tables(spark, out)}
+
+
+@pytest.mark.parametrize("order", [(3, 2, 1, 0), (2, 0, 3, 1)])
+def test_the_cut_of_the_arrivals_does_not_matter(spark, tmp_path, order):
+    """One file per batch in any order gives the tables of a single import; rows wait for their patient and stay."""
+    owned = dict(condition(2, 2), subject={"reference": "Patient/p2"})
+    files = [bundle(patient(1), patient(2, "female")), bundle(encounter(1, 1), encounter(2, 2)), bundle(condition(1, 1)), bundle(owned)]
+    folder, out, whole = tmp_path / "in", str(tmp_path / "data"), str(tmp_path / "whole")
+    folder.mkdir()
+    for n in order:
+        (folder / f"{n}.json").write_text(files[n])
+        stream = arrivals.stream_import(arrivals.arriving_bundles(spark, str(folder)), out, str(tmp_path / "check"), as_of="2024-06-15")
+        assert stream.awaitTermination(300)
+    importing.import_bundles(docs.scan_bundles(spark, str(folder)), whole, as_of="2024-06-15")
+    assert rows_of(spark, out) == rows_of(spark, whole)
+
+
+def test_rows_that_wait_are_released(spark, tmp_path):
+    """What never finds its patient or stay is kept beside the dataset until it is released, then stored as it is."""
+    folder, out = tmp_path / "in", str(tmp_path / "data")
+    folder.mkdir()
+
+    def run(checkpoint="check", **options):
+        stream = arrivals.stream_import(arrivals.arriving_bundles(spark, str(folder)), out, str(tmp_path / checkpoint), as_of="2024-06-15", **options)
+        assert stream.awaitTermination(300)
+
+    (folder / "a.json").write_text(bundle(encounter(1, 1), condition(1, 1), condition(9, 9)))
+    run()
+    assert store.list_tables(spark, out) == []
+    (folder / "b.json").write_text(bundle(patient(1)))
+    run()
+    assert {t: len(r) for t, r in rows_of(spark, out).items()} == {"mvt": 1, "patient": 1, "pmsi": 1}
+    assert store.scan_table(spark, out, "pmsi").first().PATAGE == "44"
+    report = arrivals.release_waiting(spark, out, as_of="2024-06-15")
+    assert {r.table: r.added_rows for r in report.collect() if r.added_rows} == {"pmsi": 1}
+    assert {r.EVTID: r.PATAGE for r in store.scan_table(spark, out, "pmsi").collect()} == {"e1": "44", "e9": None}
+    (folder / "c.json").write_text(bundle(condition(7, 7)))
+    run("other", wait=dt.timedelta(0))  # nobody waits
+    assert store.scan_table(spark, out, "pmsi").filter("EVTID = 'e7'").count() == 1
+
+
 def test_stream_subscription(spark, tmp_path):
     folder = tmp_path / "lines"
     folder.mkdir()

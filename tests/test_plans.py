@@ -5,7 +5,7 @@ import pytest
 from wardlake.operators import export, extract
 from wardlake.operators import filters as flt
 from wardlake.operators.filters import Where
-from wardlake.plans import importing
+from wardlake.plans import exporting, importing
 from wardlake.sources import tables as store
 from wardlake.workload import fixtures as fx
 
@@ -42,9 +42,14 @@ def test_ids_of_records_do_not_need_the_records(stored):
     assert optimized(resources).count("Relation") == 1
 
 
-def test_bundles_need_two_shuffles(stored):
-    rows = export.bundle_rows(export.dataset_to_resources({"pmsi": stored["pmsi"]}))
-    assert physical(export.build_bundles(rows)).count("Exchange hashpartitioning") == 2
+def test_the_records_of_bundles_are_shuffled_once(stored):
+    """By ranges that the windows behind them need no other exchange for; no group is collected."""
+    plan = physical(exporting.dataset_bundles({"pmsi": stored["pmsi"]}))
+    assert plan.count("Exchange rangepartitioning") == 1
+    assert "collect_list" not in plan
+    below = plan[plan.index("Exchange rangepartitioning"):]
+    above = plan[: plan.index("Exchange rangepartitioning")]
+    assert "Exchange" not in above and "to_json" not in below.replace("to_json(struct(resourceType, Location", "")
 
 
 def test_staged_types_are_partitions(spark, tmp_path):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from wardlake import model
 from wardlake.functions import records, values
+from wardlake.operators.extract import bundle_entries
+from wardlake.sources.bundles import read_status
 
 # Fixed value: tables that statistics do not show.
 INTERNAL_TABLES = ("patient",)
@@ -37,11 +39,15 @@ def table_row_count(df: DataFrame | None, table: str, spark: SparkSession) -> Da
 def snapshot_counts(
     dataset: Mapping[str, DataFrame], spark: SparkSession, tables: Sequence[str] | None = None
 ) -> DataFrame:
-    """(table, n_rows) for the named tables (default: all of the dataset)."""
+    """(table, n_rows) for the named tables (default: all of the dataset), 0 for absent ones.
+
+    All tables are counted in one pass with one exchange of a row per task and table. No column is read: of a stored table
+    Spark takes the row counts from the file footers.
+    """
     names = sorted(dataset) if tables is None else tables
-    if not names:
-        return spark.createDataFrame([], "table string, n_rows bigint")
-    return reduce(DataFrame.unionByName, [table_row_count(dataset.get(t), t, spark) for t in names])
+    listed = spark.createDataFrame([(t, 0) for t in names], "table string, n bigint")
+    rows = [dataset[t].select(F.lit(t).alias("table"), F.lit(1).cast("bigint").alias("n")) for t in names if t in dataset]
+    return reduce(DataFrame.unionByName, [listed, *rows]).groupBy("table").agg(F.sum("n").alias("n_rows"))
 
 
 def merge_report(before: DataFrame, after: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -135,6 +141,26 @@ def import_status(resources: DataFrame) -> DataFrame:
     )
 
 
+def request_status(requests: DataFrame) -> DataFrame:
+    """Per requested patient (patient_id, value: the documents that came back): as ``import_status``, with ``error``.
+
+    A patient of whom a document cannot be read has failed, with the text of the first error; what else came of the same
+    patient is counted all the same.
+    """
+    judged = requests.withColumn("_status", read_status(F.col("value")))
+    entries = bundle_entries(judged, keep=("patient_id",)).select("patient_id", "resource_type", F.lit(True).alias("readable"))
+    asked = judged.select("patient_id").distinct()
+    errors = judged.filter("_status = 'malformed'").groupBy("patient_id").agg(F.count("*").alias("_bad"))
+    counted = asked.join(import_status(entries).drop("status"), "patient_id", "left").join(errors, "patient_id", "left")
+    bad = F.col("_bad").isNotNull()
+    return counted.select(
+        "patient_id", F.when(bad, "failed").otherwise("success").alias("status"),
+        F.when(bad, F.concat(F.col("_bad").cast("string"), F.lit(" unreadable documents"))).alias("error"),
+        F.coalesce("entries_total", F.lit(0)).cast("bigint").alias("entries_total"),
+        F.coalesce("resources_per_type", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))).alias("resources_per_type"),
+    )
+
+
 def import_totals(status: DataFrame) -> DataFrame:
     """Patients in all, successful and failed."""
     return status.agg(

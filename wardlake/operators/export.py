@@ -35,8 +35,10 @@ REFERENCE_TYPES = {"PATID": "Patient", "EVTID": "Encounter", "ELTID": "Location"
 STUB_NAME = "Auto-generated Location "
 STUB_ORD = -1
 
-# Entries that one bundle document may hold. Larger groups are cut into several documents.
-MAX_ENTRIES = 10_000
+# Place of the line that ends a document: behind all entries.
+TAIL_ORD = 1 << 30
+# Copies of one record that may travel with a bundle; of more, one per task is found first.
+MANY_COPIES = 1000
 
 # Columns of a table of records, as the operators below pass them on.
 RECORD_COLUMNS = ["patient_id", "stay_id", "ord", "type", "id", "location_id", "resource"]
@@ -218,16 +220,8 @@ def _shared(sources: dict[str, tuple]) -> Column:
     )
 
 
-def rows_to_resources(
-    df: DataFrame, table: str, mapping: dict = model.MAPPING, types: list[str] | None = None
-) -> DataFrame:
-    """One record per row and mapped type of the table, in one pass over the rows.
-
-    Rows: patient_id, stay_id, ord (place of the type in the mapping), type, id, location_id, resource (JSON).
-    A row of a table with several types is repeated by type name and each copy builds its own record only, so
-    a reader that wants the ids alone never builds the JSON. The text that stands for a whole row is put
-    together only for rows without an id.
-    """
+def _linked(df: DataFrame, table: str, mapping: dict, types: list[str] | None) -> tuple[DataFrame, dict[str, list[tuple]]]:
+    """Rows by record type with their ids and the values that their records hold, and the places of the values per type."""
     chosen = [t for t in model.types_of_table(table, mapping) if types is None or t in types]
     rows, places = _leaf_values(df, mapping, chosen)
     order = list(mapping)
@@ -250,18 +244,53 @@ def rows_to_resources(
             "location_id": F.substring_index(_shared(place), "/", 1),
         }
     )
-    texts = {t: _record(t, places[t]) for t in chosen}
-    resource = reduce(lambda out, t: out.when(F.col("type") == t, texts[t]), chosen, F) if len(chosen) > 1 else texts[chosen[0]]
+    return linked, places
+
+
+def _by_type(texts: dict[str, Column]) -> Column:
+    """The text of the row's type; no case distinction for one type."""
+    if len(texts) == 1:
+        return next(iter(texts.values()))
+    return reduce(lambda out, t: out.when(F.col("type") == t, texts[t]), texts, F)
+
+
+def rows_to_resources(
+    df: DataFrame, table: str, mapping: dict = model.MAPPING, types: list[str] | None = None
+) -> DataFrame:
+    """One record per row and mapped type of the table, in one pass over the rows.
+
+    Rows: patient_id, stay_id, ord (place of the type in the mapping), type, id, location_id, resource (JSON).
+    A row of a table with several types is repeated by type name and each copy builds its own record only, so
+    a reader that wants the ids alone never builds the JSON. The text that stands for a whole row is put
+    together only for rows without an id.
+    """
+    linked, places = _linked(df, table, mapping, types)
+    resource = _by_type({t: _record(t, p) for t, p in places.items()})
     return linked.withColumn("resource", resource).select(*RECORD_COLUMNS)
 
 
-def _record(record_type: str, places: list[tuple]) -> Column:
-    """The record of a type as JSON, from the leaf values and the id."""
+def dataset_to_values(dataset: dict[str, DataFrame], mapping: dict = model.MAPPING) -> tuple[DataFrame, Column]:
+    """The records of a dataset before they are JSON: ids and a struct of values per table; and the JSON of such a row.
+
+    What is shuffled then are the values, without names and brackets, and the JSON is made once, behind the shuffle.
+    """
+    parts, texts = [], {}
+    for table in [t for t in dict.fromkeys(rule["table"] for rule in mapping.values()) if t in dataset]:
+        linked, places = _linked(dataset[table], table, mapping, None)
+        names = list(dict.fromkeys(name for p in places.values() for path, name, _ in p if path != "id")) or ["id"]
+        parts.append(linked.select(*RECORD_COLUMNS[:-1], F.struct(*names).alias(f"_{table}")))
+        texts |= {t: _record(t, p, f"`_{table}`.") for t, p in places.items()}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), _by_type(texts)
+
+
+def _record(record_type: str, places: list[tuple], within: str = "") -> Column:
+    """The record of a type as JSON, from the leaf values (columns, or fields of a struct) and the id."""
     leaves = [("id", "id")]
     for path, name, rule in places:
         if path != "id":
             to_type = rule in REFERENCE_TYPES.values()
-            leaves.append((path, f"concat('{rule}/', `{name}`)" if to_type else f"`{name}`"))
+            value = f"{within}`{name}`"
+            leaves.append((path, f"concat('{rule}/', {value})" if to_type else value))
     return F.expr(f"to_json({set_paths(leaves, resource_defaults(record_type))})")
 
 
@@ -341,76 +370,94 @@ def entry_url() -> Column:
 
 def transaction_entries(members: DataFrame) -> DataFrame:
     """One PUT entry (JSON) per record. The record is text already, so it is put in, not parsed again."""
-    request = F.to_json(F.struct(F.lit("PUT").alias("method"), entry_url().alias("url")))
     return members.select(
-        "bundle_id", "ord", "type", "id", entry_url().alias("url"),
-        F.concat(F.lit('{"resource":'), "resource", F.lit(',"request":'), request, F.lit("}")).alias("entry"),
+        "bundle_id", "ord", "type", "id", entry_url().alias("url"), _entry(F.col("resource")).alias("entry")
     )
 
 
-def bundle_parts(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame | None:
-    """Number of documents that (bundle_id, ord) needs, for bundles above ``max_entries``; None if there are none.
+def _entry(resource: Column) -> Column:
+    request = F.to_json(F.struct(F.lit("PUT").alias("method"), entry_url().alias("url")))
+    return F.concat(F.lit('{"resource":'), resource, F.lit(',"request":'), request, F.lit("}"))
 
-    Eager: counts rows per bundle, reading ids only. Counts are summed before the shuffle, so a bundle that
-    holds a third of all records is no burden. Distinct ids are counted just for bundles whose plain row
-    count is above the limit.
-    """
-    large = rows.groupBy("bundle_id").agg(F.count("*").alias("n")).filter(F.col("n") > max_entries)
-    if large.isEmpty():
-        return None
-    ids_of_large = rows.select("bundle_id", "ord", "type", "id").join(large, "bundle_id", "left_semi").distinct()
-    sizes = ids_of_large.groupBy("bundle_id", "ord").agg(F.count("*").alias("n"))
-    above = sizes.groupBy("bundle_id").agg(F.sum("n").alias("total")).filter(F.col("total") > max_entries)
-    parts = F.ceil(F.col("n") / F.lit(max_entries)).cast("int")
-    cuts = sizes.join(above, "bundle_id", "left_semi").select(
-        F.col("bundle_id").alias("_bundle"), F.col("ord").alias("_ord"), parts.alias("_parts")
-    )
-    return stored(cuts, "bundle-parts")
 
+def _stub_keys(members: DataFrame) -> DataFrame:
+    """bundle_id, id of the stubs that the bundles need: locations referred to and not among their records."""
+    wanted = members.filter("location_id IS NOT NULL").select("bundle_id", F.col("location_id").alias("id")).distinct()
+    return wanted.join(members.filter("type = 'Location'").select("bundle_id", "id"), ["bundle_id", "id"], "left_anti")
 
-def build_bundles(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    """Transaction bundles (bundle_id, part, n_entries, value), entries in mapping order, then by id.
 
-    A bundle of up to ``max_entries`` records is one document. A larger one becomes several, cut by record
-    type and then by hash of the id, so that no task ever holds a whole group; ``part`` sorts them into the
-    order in which to send them (stubs and patients first), and together they hold every entry. The document
-    of a part has the part in its id, so ids stay unique and written documents keep their order. Whether any
-    bundle is that large is counted beforehand, see ``bundle_parts``.
+def _one_of_many_copies(members: DataFrame, resource: Column, many: DataFrame) -> DataFrame:
+    """Bundles in which a record has very many copies: one copy per record, found in every task before the shuffle."""
+    rest = members.join(many, "bundle_id", "left_anti")
+    first = W.partitionBy("id", "type", "bundle_id").orderBy("ord", "_text")
+    some = members.join(many, "bundle_id", "left_semi").withColumn("_text", resource)
+    some = some.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn", "_text")
+    return rest.unionByName(some)
+
+
+def build_bundles(records_: DataFrame, strategy: str = "patient", resource: Column | None = None) -> DataFrame:
+    """Transaction bundles as lines (bundle_id, ord, type, id, kind, value): head, one line per entry, tail.
+
+    The lines of a bundle, in the order of (ord, id) and put together, are its document, whatever its size: head, stubs,
+    records in mapping order and then by id, tail. They are sorted by ranges of (bundle_id, ord, id), so a bundle that
+    holds a third of all records is written by many tasks, each of which passes its lines on one by one; a document then
+    goes on in the next file. What a range needs to know beforehand, the first entry of every bundle, comes from a pass
+    over the ids alone. The head of a bundle has the place of its first entry, so both meet in one task and the entry knows
+    that no comma goes before it. Eager up to that pass.
+
+    Of copies (same bundle, type and id) the smaller JSON text counts. ``resource``: the JSON of a row, made behind the
+    shuffle; the column ``resource`` by default.
     """
-    entries = transaction_entries(dedupe_resources(rows))
-    cuts = bundle_parts(rows, max_entries)
-    if cuts is None:
-        placed = entries.withColumn("part", F.lit(""))
-    else:
-        same = (F.col("bundle_id") == F.col("_bundle")) & (F.col("ord") == F.col("_ord"))
-        slot = F.format_string("%02d-%06d", F.col("ord") + 1, F.pmod(F.xxhash64("id"), F.col("_parts")))
-        part = F.when(F.col("_parts").isNull(), "").otherwise(slot)
-        placed = entries.join(cuts, same, "left").withColumn("part", part)
-    packed = placed.groupBy("bundle_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "id", "entry"))).alias("entries")
-    )
-    head = F.to_json(
-        F.struct(
-            F.lit("Bundle").alias("resourceType"), F.lit("transaction").alias("type"),
-            F.concat_ws("-", "bundle_id", F.nullif("part", F.lit(""))).alias("id"),
-        )
-    )
-    body = F.array_join(F.col("entries.entry"), ",")
-    return packed.select(
-        "bundle_id",
-        "part",
-        F.size("entries").cast("bigint").alias("n_entries"),
-        F.concat(F.rtrim(head, F.lit("}")), F.lit(',"entry":['), body, F.lit("]}")).alias("value"),
+    resource = F.col("resource") if resource is None else resource
+    members = grouped(records_, strategy)
+    stubs = _stub_keys(members).select("bundle_id", F.lit(STUB_ORD).alias("ord"), F.lit("Location").alias("type"), "id")
+    ids_ = members.select("bundle_id", "ord", "type", "id").unionByName(stubs)
+    per_entry = ids_.groupBy("bundle_id", "ord", "type", "id").agg(F.count("*").alias("n"))
+    heads = per_entry.groupBy("bundle_id").agg(F.min(F.struct("ord", "id")).alias("first"), F.max("n").alias("copies"))
+    heads = stored(heads, "bundle-heads")
+    many = heads.filter(F.col("copies") > MANY_COPIES).select("bundle_id")
+    if not many.isEmpty():
+        members = _one_of_many_copies(members, resource, many)
+
+    def lines(df: DataFrame, kind: int) -> DataFrame:
+        return df.withColumn("_kind", F.lit(kind))
+
+    head = heads.select("bundle_id", "first.ord", "first.id")
+    tail = heads.select("bundle_id", F.lit(TAIL_ORD).alias("ord"), F.lit("").alias("id"))
+    parts = [lines(members, 1).drop("patient_id", "stay_id", "location_id"), lines(stubs, 1), lines(head, 0), lines(tail, 2)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    dealt = every.repartitionByRange("bundle_id", "ord", "id")
+    stub = F.to_json(F.struct(
+        F.lit("Location").alias("resourceType"), "id", F.concat(F.lit(STUB_NAME), "id").alias("name"), F.lit("active").alias("status"),
+    ))
+    text = F.when(F.col("_kind") == 1, F.when(F.col("ord") == STUB_ORD, stub).otherwise(resource))
+    place = W.partitionBy("bundle_id", "ord", "id").orderBy("_kind", "_text")
+    placed = dealt.withColumn("_text", text).withColumn("_before", F.lag("_kind").over(place))
+    kept = placed.filter("_kind <> 1 OR coalesce(_before, 0) = 0")  # later copies follow a first one
+    start = F.to_json(F.struct(
+        F.lit("Bundle").alias("resourceType"), F.lit("transaction").alias("type"), F.col("bundle_id").alias("id"),
+    ))
+    comma = F.when(F.col("_before").isNull(), ",").otherwise("")
+    value = (
+        F.when(F.col("_kind") == 0, F.concat(F.rtrim(start, F.lit("}")), F.lit(',"entry":[')))
+        .when(F.col("_kind") == 1, F.concat(comma, _entry(F.col("_text")))).otherwise("]}")
     )
+    kind = F.element_at(F.array(F.lit("head"), F.lit("entry"), F.lit("tail")), F.col("_kind") + 1)
+    return kept.select("bundle_id", "ord", "type", "id", kind.alias("kind"), value.alias("value"))
+
+
+def entry_counts(lines: DataFrame) -> DataFrame:
+    """(bundle_id, n_entries) of bundle lines."""
+    return lines.filter("kind = 'entry'").groupBy("bundle_id").agg(F.count("*").alias("n_entries"))
 
 
-def bundle_by_patient(resources: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
-    return build_bundles(bundle_rows(resources, "patient"), max_entries)
+def bundle_by_patient(resources: DataFrame) -> DataFrame:
+    return build_bundles(resources, "patient")
 
 
-def bundle_by_encounter(resources: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def bundle_by_encounter(resources: DataFrame) -> DataFrame:
     """One bundle per stay: the Encounter and the records that refer to it. Records without a stay are left out."""
-    return build_bundles(bundle_rows(resources, "encounter"), max_entries)
+    return build_bundles(resources, "encounter")
 
 
 def export_summary(
@@ -429,7 +476,7 @@ def export_summary(
 
 
 def bundle_size_stats(bundles: DataFrame) -> DataFrame:
-    """Number of bundles and their total, mean (truncated), smallest and largest size in bytes, all parts together."""
+    """Number of bundles and their total, mean (truncated), smallest and largest size in bytes, without line ends."""
     size = F.octet_length("value").cast("bigint")
     if "bundle_id" in bundles.columns:
         bundles, size = bundles.groupBy("bundle_id").agg(F.sum(size).alias("_size")), F.col("_size")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIX = ".parquet"
@@ -30,12 +30,15 @@ def scan_table(spark: SparkSession, folder: str, table: str) -> DataFrame | None
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    at, fs = _path(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def list_tables(spark: SparkSession, folder: str, hidden: tuple[str, ...] = ()) -> list[str]:
     """Table names of a dataset, sorted."""
-    at, fs = _path(spark, folder)
-    if not fs.exists(at):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    names = list_names(spark, folder)
     return sorted(n.removesuffix(SUFFIX) for n in names if n.endswith(SUFFIX) and n.removesuffix(SUFFIX) not in hidden)
 
 
@@ -79,9 +82,11 @@ def write_table(
     return True
 
 
-def append_table(df: DataFrame, folder: str, table: str) -> None:
-    """Add rows to a table; what is there is not rewritten."""
-    df.write.mode("append").parquet(table_path(folder, table))
+def append_table(df: DataFrame, folder: str, table: str) -> int:
+    """Add rows to a table; what is there is not rewritten. The write itself counts them."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(table_path(folder, table))
+    return seen.get["n"]
 
 
 def move_table(spark: SparkSession, source: str, target: str, table: str) -> bool:
@@ -95,10 +100,10 @@ def move_table(spark: SparkSession, source: str, target: str, table: str) -> boo
 
 
 def drop_tables(spark: SparkSession, folder: str, tables) -> None:
-    """Start from empty tables."""
+    """Start from empty tables; the key index of a table goes with it."""
     for table in tables:
-        at, fs = _path(spark, table_path(folder, table))
-        fs.delete(at, True)
+        for path in (table_path(folder, table), f"{folder.rstrip('/')}/{table}.keys"):
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, folder: str) -> None:

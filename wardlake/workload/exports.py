@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlake.functions import ids, records, values
@@ -14,7 +15,7 @@ from wardlake.workload import fixtures as fx
 from wardlake.workload.expected import RECORDS, members, tables
 from wardlake.workload.registry import query
 
-BUNDLE = "id string, type string, entry array<struct<resource:string,request:struct<method:string,url:string>>>"
+ENTRY = "resource string, request struct<method:string,url:string>"
 
 
 def _records(spark, sf_dir, *names):
@@ -146,11 +147,12 @@ def patient_of_resource(spark, sf_dir):
     return read.select("type", F.col("r.id").alias("id"), owner.alias("patient_id")).filter("patient_id IS NOT NULL")
 
 
-def _flat(bundles):
-    """Entries of bundle documents, read back from their JSON."""
-    read = bundles.select(F.from_json("value", BUNDLE).alias("b"))
-    entries = read.select(F.col("b.id").alias("bundle_id"), F.posexplode("b.entry").alias("pos", "e"))
-    return entries.select("bundle_id", F.col("pos").cast("bigint").alias("pos"), F.col("e.request.url").alias("url"))
+def _flat(lines):
+    """Entries of bundles in their order, read back from their JSON."""
+    entries = lines.filter("kind = 'entry'")
+    pos = F.row_number().over(W.partitionBy("bundle_id").orderBy("ord", "id")).cast("bigint") - 1
+    read = F.from_json(F.ltrim("value", F.lit(",")), ENTRY)
+    return entries.select("bundle_id", pos.alias("pos"), read["request"]["url"].alias("url"))
 
 
 def _bundle_sql(group: str, prefix: str) -> str:
@@ -163,12 +165,12 @@ def _bundle_sql(group: str, prefix: str) -> str:
 
 @query("bundle_by_patient", _bundle_sql("patient_id", "patient-"))
 def bundle_by_patient(spark, sf_dir):
-    return _flat(export.bundle_by_patient(_records(spark, sf_dir)))
+    return _flat(exporting.dataset_bundles(fx.dataset(spark, sf_dir, wide=True)))
 
 
 @query("bundle_by_encounter", _bundle_sql("stay_id", "encounter-"))
 def bundle_by_encounter(spark, sf_dir):
-    return _flat(export.bundle_by_encounter(_records(spark, sf_dir)))
+    return _flat(exporting.dataset_bundles(fx.dataset(spark, sf_dir, wide=True), "encounter"))
 
 
 @query(
@@ -255,8 +257,7 @@ def bundle_size_stats(spark, sf_dir):
 def write_bundles(spark, sf_dir):
     folder = scratch(spark, "bundles-out")
     docs.write_bundles(exporting.dataset_bundles(fx.dataset(spark, sf_dir, wide=True)), folder)
-    read = docs.read_bundles(spark, folder).select(F.from_json("value", BUNDLE).alias("b"))
-    return read.select(F.col("b.id").alias("bundle_id"), F.size("b.entry").cast("bigint").alias("n_entries"))
+    return export.entry_counts(docs.read_bundles(spark, folder))
 
 
 @query(
@@ -273,4 +274,4 @@ def filter_then_export(spark, sf_dir):
         [Where("patient", "PATAGE", ">", 50), Where("patient", "PATSEX", "==", "F")],
         [Propagate("PATID", "patient")],
     )
-    return bundles.select("bundle_id", "n_entries")
+    return export.entry_counts(bundles)

@@ -13,8 +13,9 @@ from wardlake.operators import filters as flt
 from wardlake.plans import importing
 from wardlake.session import scratch
 from wardlake.sources import tables as store
+from wardlake.sources.keyindex import KeyIndex
 from wardlake.workload import fixtures as fx
-from wardlake.workload.expected import tables, whole
+from wardlake.workload.expected import HAVE, columns, tables, whole
 from wardlake.workload.registry import query
 
 ALL_IDS = """
@@ -38,6 +39,26 @@ def id_rows(dataset: dict[str, DataFrame], *more: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [of(n, df) for n, df in dataset.items()])
 
 
+def whole_rows(dataset: dict[str, DataFrame]) -> DataFrame:
+    """Table name, PATID, EVTID, and a digest over all columns of every row of a dataset."""
+
+    def of(name: str, df: DataFrame) -> DataFrame:
+        text = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in model.TABLES[name]]
+        stay = F.col("EVTID") if "EVTID" in df.columns else F.lit(None).cast("string")
+        return df.select(F.lit(name).alias("table"), "PATID", stay.alias("EVTID"), F.md5(F.concat_ws("|", *text)).alias("digest"))
+
+    return reduce(DataFrame.unionByName, [of(n, df) for n, df in dataset.items()])
+
+
+def whole_rows_sql() -> str:
+    def of(name: str, listed: list[str]) -> str:
+        text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in listed)
+        stay = "EVTID" if "EVTID" in listed else "CAST(NULL AS VARCHAR)"
+        return f"""SELECT '{name}' AS "table", PATID, {stay} AS EVTID, md5(concat_ws('|', {text})) AS digest FROM (SELECT {columns(name, HAVE[name])} FROM {name})"""
+
+    return tables(" UNION ALL ".join(of(n, c) for n, c in model.TABLES.items()))
+
+
 @query("enrich_patient_mvt", whole("mvt"))
 def enrich_patient_mvt(spark, sf_dir):
     mvt, patient = fx.extracted(spark, sf_dir, "mvt"), fx.extracted(spark, sf_dir, "patient")
@@ -100,6 +121,29 @@ def merge_insert_only(spark, sf_dir):
     return merged.select("origin", "ELTID", "EVTID", "PNAME", "PRLVTDATE", "RESULT")
 
 
+_BATCHES = ["PRLVTDATE < '1996'", "PRLVTDATE >= '1995' AND PRLVTDATE < '1998'", "PRLVTDATE >= '1997'"]
+_SAME = "b.EVTID = i.EVTID AND b.PNAME = i.PNAME AND b.PRLVTDATE = i.PRLVTDATE"
+
+
+@query(
+    "merge_indexed",
+    tables(
+        f"""SELECT '0' AS batch, * FROM biol0 WHERE {_BATCHES[0]}
+            UNION ALL SELECT '1', * FROM biol0 i WHERE {_BATCHES[1]} AND NOT EXISTS (
+                SELECT 1 FROM biol0 b WHERE {_BATCHES[0]} AND {_SAME})
+            UNION ALL SELECT '2', * FROM biol0 i WHERE {_BATCHES[2]} AND NOT EXISTS (
+                SELECT 1 FROM biol0 b WHERE ({_BATCHES[0]} OR {_BATCHES[1]}) AND {_SAME})"""
+    ),
+)
+def merge_indexed(spark, sf_dir):
+    """Three batches that overlap, merged one after another into a stored table by the index of its keys."""
+    biol, folder = fx.dataset(spark, sf_dir, "biol")["biol"], scratch(spark, "merge")
+    for number, part in enumerate(_BATCHES):
+        rows = biol.filter(part).withColumn("batch", F.lit(str(number)))
+        store.append_table(KeyIndex(spark, folder, "biol", model.MERGE_KEYS["biol"]).new_rows(rows), folder, "biol")
+    return store.scan_table(spark, folder, "biol").drop("SEJUM", "SEJUF", "VALIDADATE", "PATAGE", "PATSEX")
+
+
 @query(
     "null_safe_keys",
     tables(
@@ -172,3 +216,12 @@ def import_dataset(spark, sf_dir):
     folder = scratch(spark, "dataset")
     importing.import_bundles(fx.bundles(spark, sf_dir), folder, as_of=fx.AS_OF)
     return id_rows(store.scan_dataset(spark, folder), "PATAGE", "PATSEX")
+
+
+@query("import_in_batches", whole_rows_sql())
+def import_in_batches(spark, sf_dir):
+    """The whole import in two batches, the second with bundles of the first again; every column of every table."""
+    folder, bundles = scratch(spark, "dataset"), fx.bundles(spark, sf_dir)
+    for part in ("name NOT LIKE 'line-%'", "name NOT LIKE 'document-%'"):
+        importing.import_bundles(bundles.filter(part), folder, as_of=fx.AS_OF)
+    return whole_rows(store.scan_dataset(spark, folder))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake import model
 from wardlake.functions import records
 from wardlake.operators import browse, merge, search
 from wardlake.session import scratch
-from wardlake.sources import runs
+from wardlake.sources import pages, runs, tokenindex
 from wardlake.sources import tables as store
+from wardlake.sources.versions import VersionStore
 from wardlake.streaming import arrivals
 from wardlake.workload import fixtures as fx
 from wardlake.workload.expected import ALL_IDS0, LINE_ID, iso, tables
-from wardlake.workload.joins import ALL_IDS, id_rows
+from wardlake.workload.joins import ALL_IDS, whole_rows_sql, id_rows, whole_rows
 from wardlake.workload.registry import query
 from wardlake.workload.scans import _RAW_IDS
 
@@ -147,6 +151,26 @@ def import_status(spark, sf_dir):
     return status.withColumn("resources_per_type", _map_text("resources_per_type"))
 
 
+@query(
+    "import_requests",
+    """SELECT 'p' || c_custkey AS patient_id, 'success' AS status, CAST(NULL AS VARCHAR) AS error, 1 + coalesce(n, 0) * 3 AS entries_total,
+              CASE WHEN n > 0 THEN 'Condition=' || n || ',Encounter=' || n || ',Patient=1,Procedure=' || n ELSE 'Patient=1' END AS resources_per_type
+       FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey
+       UNION ALL SELECT 's' || s_suppkey, 'failed', '1 unreadable documents', 0, '' FROM supplier
+       UNION ALL SELECT 'r' || r_regionkey, 'success', NULL, 0, '' FROM region""",
+)
+def import_requests(spark, sf_dir):
+    """The documents asked for per patient: patients and their stays, texts that are no JSON, bundles without entries."""
+    bundles = fx.bundles(spark, sf_dir)
+    number = F.regexp_extract("name", "-(.+)$", 1)
+    others = [("patient", "p"), ("supplier", "s"), ("region", "r")]
+    asked = [bundles.filter(F.col("name").startswith(f"{n}-")).select(F.concat(F.lit(p), number).alias("patient_id"), "value") for n, p in others]
+    owner = fx.orders(spark, sf_dir).select(fx.text("stay-", "o_orderkey").alias("name"), fx.text("p", "o_custkey").alias("patient_id"))
+    stays = bundles.filter("name LIKE 'stay-%'").join(owner, "name").select("patient_id", "value")
+    status = browse.request_status(reduce(DataFrame.unionByName, [*asked, stays]))
+    return status.withColumn("resources_per_type", _map_text("resources_per_type"))
+
+
 @query(
     "run_log",
     """SELECT event_type AS run_type, max_by(CAST(event_id AS VARCHAR), (ts, CAST(event_id AS VARCHAR))) AS run_id,
@@ -198,6 +222,31 @@ def search_by_name(spark, sf_dir):
     return by_given.select(own).unionByName(by_family.select(own)).distinct()
 
 
+@query(
+    "search_by_index",
+    f"""SELECT 'final' AS search, 'o' || {LINE_ID} AS id FROM lineitem WHERE l_linestatus = 'F'
+        UNION ALL SELECT 'code', 'o' || {LINE_ID} FROM lineitem WHERE l_partkey IN (7, 77)
+        UNION ALL SELECT 'condition', 'c' || o_orderkey FROM orders WHERE o_orderpriority = '5-LOW'
+        UNION ALL SELECT 'given', 'p' || c_custkey FROM customer WHERE lower(c_mktsegment) LIKE 'build%'
+        UNION ALL SELECT 'family', 'p' || c_custkey FROM customer WHERE lower(c_name) LIKE 'customer#00000000%'""",
+)
+def search_by_index(spark, sf_dir):
+    """Token and name searches on an index that is written once."""
+    folder = scratch(spark, "tokens")
+    found = fx.resources(spark, sf_dir, "Observation", "Condition", "Patient")
+    paths = {"Observation": ["status", "code.coding[0].code"], "Condition": ["code.text"]}
+    tokenindex.write_index(tokenindex.token_rows(found, paths), folder)
+    index = tokenindex.read_index(spark, folder)
+    searches = {
+        "final": tokenindex.find(index, "Observation", "status", "final"),
+        "code": tokenindex.find(index, "Observation", "code.coding[0].code", "7", "77"),
+        "condition": tokenindex.find(index, "Condition", "code.text", "5-LOW"),
+        "given": tokenindex.find_name(index, "Build"),
+        "family": tokenindex.find_name(index, "CUSTOMER#00000000", family_only=True),
+    }
+    return reduce(DataFrame.unionByName, [ids.select(F.lit(s).alias("search"), "id") for s, ids in searches.items()])
+
+
 @query(
     "search_page",
     """SELECT 'p' || c_custkey AS id, (row_number() OVER (ORDER BY 'p' || c_custkey) - 1) // 100 + 1 AS page_no,
@@ -208,6 +257,21 @@ def search_page(spark, sf_dir):
     return search.search_pages(patients, "id", 100)
 
 
+@query(
+    "search_page_stored",
+    """WITH p AS (SELECT 'p' || c_custkey AS id, (row_number() OVER (ORDER BY 'p' || c_custkey) - 1) // 100 + 1 AS page_no FROM customer)
+       SELECT id, page_no FROM p WHERE page_no IN (1, 2, (SELECT max(page_no) FROM p))""",
+)
+def search_page_stored(spark, sf_dir):
+    """The first two pages and the last one, each from the ranges that hold it."""
+    folder = scratch(spark, "pages")
+    patients = fx.resources(spark, sf_dir, "Patient").select(records.json_path(F.col("resource"), "id").alias("id"))
+    pages.write_pages(patients, "id", folder)
+    last = -(-pages.page_total(spark, folder).first()["total"] // 100)
+    wanted = [pages.read_page(spark, folder, n, 100).withColumn("page_no", F.lit(n).cast("bigint")) for n in sorted({1, 2, last})]
+    return reduce(DataFrame.unionByName, wanted)
+
+
 @query(
     "patient_everything",
     tables(
@@ -276,6 +340,19 @@ def upsert_put(spark, sf_dir):
     return search.upsert_put(_log(spark, sf_dir)).select("type", "id", "seq", "value")
 
 
+@query("upsert_compacted", f"SELECT type, id, seq, value, deleted FROM ({_LATEST})")
+def upsert_compacted(spark, sf_dir):
+    """The log in three parts, the last one of late writes: two are taken into the snapshot, one lies behind it."""
+    log, kept = _log(spark, sf_dir), VersionStore(spark, scratch(spark, "versions"))
+    half = F.expr("timestamp'2024-01-16'")
+    kept.put(log.filter((F.col("written_at") >= half) & (F.col("type") != "view")))
+    kept.compact()
+    kept.put(log.filter((F.col("written_at") >= half) & (F.col("type") == "view")))
+    kept.compact()
+    kept.put(log.filter(F.col("written_at") < half))
+    return kept.current().select("type", "id", "seq", "value", "deleted")
+
+
 @query(
     "version_history",
     """SELECT event_type AS type, user_id AS id, event_id AS seq,
@@ -299,6 +376,19 @@ def stream_import(spark, sf_dir):
     return id_rows(store.scan_dataset(spark, folder), "PATAGE", "PATSEX")
 
 
+@query("stream_late_facts", whole_rows_sql())
+def stream_late_facts(spark, sf_dir):
+    """Facts arrive first, then stays, then patients, each in a batch of its own; every column of every table."""
+    landing, folder = scratch(spark, "landing"), scratch(spark, "dataset")
+    bundles, files = fx.bundles(spark, sf_dir), 8
+    patients, stays = "name LIKE 'patient-%'", "name LIKE 'stay-%'"
+    for part in (f"NOT ({patients}) AND NOT ({stays})", stays, patients):
+        bundles.filter(part).select("value").repartition(files).write.mode("append").text(landing)
+    stream = arrivals.arriving_bundles(spark, landing, per_line=True, pattern="*.txt", files_per_batch=files)
+    _finish(arrivals.stream_import(stream, folder, scratch(spark, "stream"), as_of=fx.AS_OF))
+    return whole_rows(store.scan_dataset(spark, folder))
+
+
 @query("stream_subscription", f"SELECT 'o' || {LINE_ID} AS id FROM lineitem WHERE l_linestatus = 'F'")
 def stream_subscription(spark, sf_dir):
     landing, out = scratch(spark, "landing"), scratch(spark, "matches")
@@ -308,6 +398,31 @@ def stream_subscription(spark, sf_dir):
     return spark.read.parquet(out).select(records.json_path(F.col("resource"), "id").alias("id"))
 
 
+@query(
+    "stream_subscriptions",
+    f"""SELECT 'part ' || l_partkey AS criterion, 'o' || {LINE_ID} AS id FROM lineitem
+        UNION ALL SELECT 'status ' || s, 'o' || {LINE_ID}
+            FROM lineitem JOIN (VALUES ('final', 'F'), ('preliminary', 'O')) v(s, f) ON l_linestatus = f
+        UNION ALL SELECT 'all conditions', 'c' || o_orderkey FROM orders
+        UNION ALL SELECT 'urgent', 'c' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'""",
+)
+def stream_subscriptions(spark, sf_dir):
+    """A criterion per part, and some others, in one stream."""
+    landing, out = scratch(spark, "landing"), scratch(spark, "matches")
+    fx.resources(spark, sf_dir, "Observation", "Condition").select("resource").write.text(landing)
+    part = F.col("p_partkey").cast("string")
+    criteria = fx.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part "), part).alias("criterion"), F.lit("Observation").alias("resource_type"),
+        F.lit("code.coding[0].code").alias("path"), part.alias("token"),
+    ).unionByName(spark.createDataFrame([
+        ("status final", "Observation", "status", "final"), ("status preliminary", "Observation", "status", "preliminary"),
+        ("all conditions", "Condition", None, None), ("urgent", "Condition", "code.text", "1-URGENT"),
+    ], "criterion string, resource_type string, path string, token string"))
+    stream = arrivals.arriving_resources(spark, landing)
+    _finish(arrivals.stream_subscriptions(stream, criteria, out, scratch(spark, "stream")))
+    return spark.read.parquet(out).select("criterion", records.json_path(F.col("resource"), "id").alias("id"))
+
+
 def _finish(running) -> None:
     if not running.awaitTermination(STREAM_WAIT):
         running.stop()
