@@ -37,8 +37,8 @@ STUB_ORD = -1
 
 # Place of the line that ends a document: behind all entries.
 TAIL_ORD = 1 << 30
-# Copies of one record that may travel with a bundle; of more, one per task is found first.
-MANY_COPIES = 1000
+# Rows of a bundle above which it is looked at for copies: of a record with so many, one per task is found before the shuffle.
+MANY_COPIES = 100_000
 
 # Columns of a table of records, as the operators below pass them on.
 RECORD_COLUMNS = ["patient_id", "stay_id", "ord", "type", "id", "location_id", "resource"]
@@ -380,9 +380,11 @@ def _entry(resource: Column) -> Column:
     return F.concat(F.lit('{"resource":'), resource, F.lit(',"request":'), request, F.lit("}"))
 
 
-def _stub_keys(members: DataFrame) -> DataFrame:
+def _stub_keys(members: DataFrame, with_locations: bool) -> DataFrame:
     """bundle_id, id of the stubs that the bundles need: locations referred to and not among their records."""
     wanted = members.filter("location_id IS NOT NULL").select("bundle_id", F.col("location_id").alias("id")).distinct()
+    if not with_locations:
+        return wanted
     return wanted.join(members.filter("type = 'Location'").select("bundle_id", "id"), ["bundle_id", "id"], "left_anti")
 
 
@@ -395,7 +397,9 @@ def _one_of_many_copies(members: DataFrame, resource: Column, many: DataFrame) -
     return rest.unionByName(some)
 
 
-def build_bundles(records_: DataFrame, strategy: str = "patient", resource: Column | None = None) -> DataFrame:
+def build_bundles(
+    records_: DataFrame, strategy: str = "patient", resource: Column | None = None, with_locations: bool = True
+) -> DataFrame:
     """Transaction bundles as lines (bundle_id, ord, type, id, kind, value): head, one line per entry, tail.
 
     The lines of a bundle, in the order of (ord, id) and put together, are its document, whatever its size: head, stubs,
@@ -406,18 +410,22 @@ def build_bundles(records_: DataFrame, strategy: str = "patient", resource: Colu
     that no comma goes before it. Eager up to that pass.
 
     Of copies (same bundle, type and id) the smaller JSON text counts. ``resource``: the JSON of a row, made behind the
-    shuffle; the column ``resource`` by default.
+    shuffle; the column ``resource`` by default. ``with_locations``: whether the records may hold Locations of their own.
     """
     resource = F.col("resource") if resource is None else resource
     members = grouped(records_, strategy)
-    stubs = _stub_keys(members).select("bundle_id", F.lit(STUB_ORD).alias("ord"), F.lit("Location").alias("type"), "id")
-    ids_ = members.select("bundle_id", "ord", "type", "id").unionByName(stubs)
-    per_entry = ids_.groupBy("bundle_id", "ord", "type", "id").agg(F.count("*").alias("n"))
-    heads = per_entry.groupBy("bundle_id").agg(F.min(F.struct("ord", "id")).alias("first"), F.max("n").alias("copies"))
+    stubs = _stub_keys(members, with_locations).select(
+        "bundle_id", F.lit(STUB_ORD).alias("ord"), F.lit("Location").alias("type"), "id"
+    )
+    ids_ = members.select("bundle_id", "ord", "id").unionByName(stubs.drop("type"))
+    heads = ids_.groupBy("bundle_id").agg(F.min(F.struct("ord", "id")).alias("first"), F.count("*").alias("n"))
     heads = stored(heads, "bundle-heads")
-    many = heads.filter(F.col("copies") > MANY_COPIES).select("bundle_id")
-    if not many.isEmpty():
-        members = _one_of_many_copies(members, resource, many)
+    large = heads.filter(F.col("n") > MANY_COPIES).select("bundle_id")
+    if not large.isEmpty():
+        copies = members.select("bundle_id", "type", "id").join(large, "bundle_id", "left_semi")
+        copies = copies.groupBy("bundle_id", "type", "id").agg(F.count("*").alias("n")).filter(F.col("n") > MANY_COPIES)
+        many = stored(copies.select("bundle_id").distinct(), "many-copies")
+        members = members if many.isEmpty() else _one_of_many_copies(members, resource, many)
 
     def lines(df: DataFrame, kind: int) -> DataFrame:
         return df.withColumn("_kind", F.lit(kind))

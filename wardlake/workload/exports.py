@@ -149,10 +149,10 @@ def patient_of_resource(spark, sf_dir):
 
 def _flat(lines):
     """Entries of bundles in their order, read back from their JSON."""
-    entries = lines.filter("kind = 'entry'")
-    pos = F.row_number().over(W.partitionBy("bundle_id").orderBy("ord", "id")).cast("bigint") - 1
     read = F.from_json(F.ltrim("value", F.lit(",")), ENTRY)
-    return entries.select("bundle_id", pos.alias("pos"), read["request"]["url"].alias("url"))
+    entries = lines.filter("kind = 'entry'").select("bundle_id", "ord", "id", read["request"]["url"].alias("url"))
+    pos = F.row_number().over(W.partitionBy("bundle_id").orderBy("ord", "id")).cast("bigint") - 1
+    return entries.select("bundle_id", pos.alias("pos"), "url")
 
 
 def _bundle_sql(group: str, prefix: str) -> str:
