@@ -125,3 +125,34 @@ def test_credentials_in_other_spellings(spark):
     out = {r["doc_id"]: r["text"] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id bigint, text string"), "k").collect()}
     for i, text in rows:
         assert (out[i] == text) if i >= 100 else (secret not in out[i] and out[i][:5] == text[:5]), out[i]
+
+
+@pytest.mark.parametrize("mail", ["用户@例子.中国", "مستخدم@مثال.com", "rené@müller.de", "משתמש@דוגמה.co.il"])
+def test_addresses_of_any_script_end_and_keep_nothing(spark, mail):
+    docs = spark.createDataFrame([(1, f"to {mail} now"), (2, f"{mail}")], "doc_id bigint, text string")
+    out = [r["text"] for r in surrogates.replace(docs, "k").orderBy("doc_id").collect()]
+    new = out[1]
+    assert out[0] == f"to {new} now" and new.split("@")[0] != mail.split("@")[0] and new.endswith(mail[mail.rindex("."):])
+    body, old = new[: new.rindex(".")], mail[: mail.rindex(".")]
+    assert len(body) == len(old) and sum(a == b and a.isalpha() for a, b in zip(body, old)) <= 2
+    assert [c.isascii() for c in body] == [c.isascii() or c in "éü" for c in old]
+
+
+def test_forms_without_a_free_surrogate_leave_their_range(spark):
+    """Every address of a range that has as many entities as forms."""
+    rows = [(i, f"{a}{b}@y.com") for i, (a, b) in enumerate((a, b) for a in "abcdefghij" for b in "abcdefghijklmnopqrstuvwxyz")]
+    rows = [(i, f"{m[0]}@{m[1]}.com") for i, (_, m) in enumerate(rows)]
+    rows += [(1000 + i, f"{a}@{b}.com") for i, (a, b) in enumerate((a, b) for a in "klmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = [r["text"] for r in surrogates.replace(docs, "k").collect()]
+    assert len(set(out)) == len(rows) == 676 and not set(out) & {t for _, t in rows}
+
+
+def test_later_mentions_of_a_name_follow_it(spark):
+    docs = spark.createDataFrame([
+        (1, "Dr Anna Smith came. Smith said that Smithson, SMITH and smith differ; Mrs Smith left."), (2, "Smith alone is not a name."),
+    ], "doc_id bigint, text string")
+    one, two = (r["text"] for r in surrogates.replace(docs, "k").orderBy("doc_id").collect())
+    first, last = re.match(r"Dr (\w+) (\w+) came\.", one).groups()
+    assert one == f"Dr {first} {last} came. {last} said that Smithson, SMITH and smith differ; Mrs {last} left."
+    assert two == "Smith alone is not a name."

@@ -1,15 +1,17 @@
 """Surrogates for personal data, by DataFrame expressions only.
 
 Entities are found by one pattern over the whole text: e-mail addresses, phone numbers, IP addresses, payment card, social
-security and bank account numbers, credentials, and names behind a form of address. An entity is its kind and its
-canonical form (case of addresses, punctuation of numbers and the form of address do not count), so every way to write it
-is one entity, over all documents.
+security and bank account numbers, credentials behind their key, and names behind a form of address. An entity is its kind
+and its canonical form (case of addresses, punctuation of numbers and the form of address do not count), so every way to
+write it is one entity, over all documents. The family name of a name so found is replaced in the whole text, also where it
+stands alone. Names that no form of address announces anywhere in their text are not found.
 
 Each entity gets one surrogate made from a keyed hash: the same kind, script, length and separators; issuer digit and
 valid check digit of cards, country codes, top-level domains and prefixes of credentials stay; names keep the gender of
 the form of address and their script, and a family name is replaced alike with and without a first name. The table of
 distinct entities is then checked: where two entities have one surrogate, or a surrogate is itself an entity of the text,
-all but one of them draw again, until none is left. So different entities stay different. The surrogates go back to the
+all but one of them draw again, until none is left; from the ``FREE``-th draw on a surrogate may leave the length or range
+of its entity, so that one is always free. So different entities stay different. The surrogates go back to the
 documents in the way each place is written (separators, upper case).
 
 Edge cases: null text stays null, text without an entity stays as it is. Repeated rows are replaced alike. Entities occur
@@ -26,6 +28,8 @@ from wardlake.session import durable
 
 #: Documents with entities whose replacements every task may hold (some hundred bytes each).
 BROADCAST_DOCS = 200_000
+#: Draws after which a surrogate may differ from its entity in length or range.
+FREE = 8
 
 # Forms of address by gender.
 MALE = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Г-н", "г-н", "Господин", "господин", "Κύριος", "κύριος")
@@ -37,17 +41,19 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}\p{L}+(?:['’-]\p{L}+)*+"
 # All labels of the domain; the last one starts with a letter.
 _EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}[\p{L}\p{N}-]*[\p{L}\p{N}]"
-# Key names of credentials in any case, what stands between them and the value, and the value. Without quotes and behind
-# a blank or a colon, only values with a digit count.
-_KEY = r"(?i:passw(?:or)?d|passphrase|pwd|token|secret|credentials?|(?:api|access|auth|private|secret|encryption|signing)[_ -]?key)"
+# Key names of credentials in any case, within a word, what stands between them and the value, and the value. Without quotes
+# and behind a blank or a colon, only values with a digit count. Words that no colon or equals sign follows are left at once.
+_KEY = r"(?i:pass(?:w(?:or)?d|phrase|code)?|pwd|token|secret|credentials?|(?:api|access|auth|private|secret|encryption|signing)[_ -]?key)"
+_WORD = r"(?=[\p{L}\p{N}_-]{2,60}+(?: (?i:key))?[\"'\]]{0,2}\s{0,3}[:=])[\p{L}\p{N}_-]{0,60}?"
 _IS = r"[\"'\]]{0,2}\s{0,3}[:=]{1,2}>?\s{0,3}"
 _SECRET = r"(?!(?i:bearer)\s)(?=[^\s\"'`]*[\p{L}\p{N}])[^\s\"'`=:>][^\s\"'`]{4,}[^\s\"'`.,;:!?)\]}>]"
-#: One alternative per kind; all start where no letter or digit precedes.
+_BEARER = r"(?i:bearer)\s{1,3}"
+#: What stands before the value of a credential and stays.
+_BEFORE = rf"^(?:[\p{{L}}\p{{N}}_-]{{0,60}}?{_KEY}{_IS}[\"'`]?|{_BEARER})"
+#: One alternative per kind; all start where no letter or digit precedes. Credentials are found with their key.
 PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join([
-    rf"(?<={_KEY}{_IS}[\"'`]){_SECRET}",
-    rf"(?<={_KEY}=){_SECRET}",
-    rf"(?<={_KEY}{_IS})(?=[^\s\"'`]*\d){_SECRET}",
-    r"(?<=(?i:bearer)\s{1,3})(?=[^\s\"'`]*\d)[\p{L}\p{N}._~+/=-]{16,}+",
+    rf"{_WORD}{_KEY}(?:={_SECRET}|{_IS}(?:[\"'`]{_SECRET}|(?=[^\s\"'`]*\d){_SECRET}))",
+    _BEARER + r"(?=[^\s\"'`]*\d)[\p{L}\p{N}._~+/=-]{16,}+",
     _EMAIL,
     _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?\d)",
     r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
@@ -63,6 +69,19 @@ PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join([
 ]) + r")"
 
 _LATIN, _CYRILLIC, _GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+
+
+def _span(first: int, last: int, step: int = 1) -> str:
+    return "".join(map(chr, range(first, last + 1, step)))
+
+
+#: Letters of other scripts, by the name of the script: what such a letter may become.
+_SCRIPTS = {
+    "Han": _span(0x4E00, 0x9000, 89), "Hangul": _span(0xAC00, 0xD000, 56), "Hiragana": _span(0x304B, 0x3062),
+    "Katakana": _span(0x30AB, 0x30C2), "Arabic": _span(0x0628, 0x063A), "Hebrew": _span(0x05D0, 0x05EA),
+    "Devanagari": _span(0x0915, 0x0939), "Thai": _span(0x0E01, 0x0E2E), "Armenian": _span(0x0561, 0x0586),
+    "Georgian": _span(0x10D0, 0x10F0), "Bengali": _span(0x0995, 0x09A8), "Tamil": _span(0x0BAE, 0x0BB5),
+}
 # Syllables of invented names, and their endings by role and gender.
 _SYLLABLES = {
     "l": "ba be bi bo da de di do fa fe fi ga go ha he jo ka ke ki ko la le li lo ma me mi mo na ne ni no pa pe pi ra re ri "
@@ -93,16 +112,18 @@ def _pick(alphabet: str, number: Column) -> Column:
 
 
 def scrambled(text: Column, digest: Column) -> Column:
-    """Digits become digits, letters of a script letters of it, the rest stays."""
+    """Digits become digits, letters of a script letters of it (of scripts not named here: Latin ones), the rest stays."""
 
     def other(c: Column, i: Column) -> Column:
         b = _byte(digest, i)
-        return (
-            F.when(c.rlike(r"\d"), (b % 10).cast("string"))
-            .when(c.rlike("[a-z]"), _pick(_LATIN, b)).when(c.rlike("[A-Z]"), _pick(_LATIN.upper(), b))
+        out = (
+            F.when(c.rlike("[a-z]"), _pick(_LATIN, b)).when(c.rlike(r"\p{Nd}"), (b % 10).cast("string"))
+            .when(c.rlike("[A-Z]"), _pick(_LATIN.upper(), b)).when(~c.rlike(r"\p{L}"), c)
             .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYRILLIC, b)).when(c.rlike(r"\p{IsGreek}"), _pick(_GREEK, b))
-            .otherwise(c)
         )
+        for script, alphabet in _SCRIPTS.items():
+            out = out.when(c.rlike(rf"\p{{Is{script}}}"), _pick(alphabet, b))
+        return out.when(c.rlike(r"\p{Lu}"), _pick(_LATIN.upper(), b)).otherwise(_pick(_LATIN, b))
 
     return F.array_join(F.transform(_characters(text), other), "")
 
@@ -147,7 +168,8 @@ def _name_word(word: Column, role: Column, key: str, attempt: Column) -> Column:
 
     def built(name: str) -> Column:
         syllables = F.array(*map(F.lit, _SYLLABLES[name]))
-        one = [F.element_at(syllables, _byte(digest, F.lit(i)) % len(_SYLLABLES[name]) + 1) for i in range(4)]
+        one = [F.element_at(syllables, _byte(digest, F.lit(i)) % len(_SYLLABLES[name]) + 1) for i in range(8)]
+        one = [*one[:4], F.when(attempt >= FREE, F.concat(*one[4:])).otherwise("")]
         ends = _ENDINGS[name]
         end = F.when(role == "family", ends["family"]).when(role == "m", ends["m"]).when(role == "f", ends["f"]).otherwise(ends["n"])
         return F.concat(*one, end)
@@ -174,15 +196,22 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
         " ",
     )
     hexadecimal = F.array_join(F.transform(_characters(canon), lambda c, i: F.substr(digest, i % 127 + 1, F.lit(1))), "")
+    # Where no free surrogate of the same length or range turns up, it is left: digests are long enough for all entities.
+    wide = attempt >= FREE
+    long_ = F.substr(digest, F.lit(1), F.lit(24))
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (_byte(digest, i) % 10).cast("string")), "")
     return (
-        F.when(kind == "email", F.concat(
+        F.when(wide & (kind == "email"), F.concat(long_, F.lit("@"), F.substr(digest, F.lit(25), F.lit(12)), F.regexp_extract(canon, r"(\.[^.]*)$", 1)))
+        .when(wide & (kind == "ip"), F.concat_ws(":", F.lit("fd00"), *[F.substr(digest, F.lit(4 * i + 1), F.lit(4)) for i in range(7)]))
+        .when(wide & kind.isin("phone", "ssn", "card", "iban"), F.concat(F.substr(canon, F.lit(1), F.lit(1)), digits))
+        .when(kind == "email", F.concat(
             scrambled(F.regexp_extract(canon, r"^(.*\.)[^.]*$", 1), digest), F.regexp_extract(canon, r"([^.]*)$", 1)))
         .when(kind == "ip", ip)
         .when(kind == "phone", F.concat(F.substr(canon, F.lit(1), country), scrambled(F.substr(canon, country + 1, F.length(canon)), digest)))
         .when(kind == "card", F.concat(body, last))
         .when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), scrambled(F.substr(canon, F.lit(3), F.length(canon)), digest)))
         .when(kind.startswith("name"), name)
-        .when((kind == "secret") & (attempt >= 8), F.substr(digest, F.lit(1), F.greatest(F.length(canon), F.lit(16))))
+        .when((kind == "secret") & wide, F.substr(digest, F.lit(1), F.greatest(F.length(canon), F.lit(16))))
         .when((kind == "secret") & canon.rlike("^(?i)AKIA[0-9A-Z]{16}$"), F.concat(F.substr(canon, F.lit(1), F.lit(4)), scrambled(F.substr(canon, F.lit(5), F.length(canon)), digest)))
         .when((kind == "secret") & canon.rlike("^[0-9a-f]+$"), hexadecimal)
         .when((kind == "secret") & canon.rlike("^[0-9A-F]+$"), F.upper(hexadecimal))
@@ -190,6 +219,13 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     )
 
 
+def _free(kind: Column, value: Column, surrogate: Column) -> Column:
+    """A surrogate of another length than its entity: names in the case of the place, the rest as it is."""
+    names = F.regexp_replace(value, r"^\S+ ", "")
+    shown = F.when(names.rlike(r"\p{Ll}"), F.initcap(surrogate)).otherwise(F.upper(surrogate))
+    return F.when(kind.startswith("name"), F.concat(F.regexp_extract(value, r"^(\S+ )", 1), shown)).otherwise(surrogate)
+
+
 def _written(kind: Column, value: Column, surrogate: Column) -> Column:
     """The surrogate as this place is written."""
     letters = _characters(value)
@@ -202,22 +238,34 @@ def _written(kind: Column, value: Column, surrogate: Column) -> Column:
         _characters(surrogate),
         lambda c, i: F.when(F.substr(value, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c),
     )
-    names = F.regexp_replace(value, r"^\S+ ", "")
-    shown = F.when(names.rlike(r"\p{Ll}"), F.initcap(surrogate)).otherwise(F.upper(surrogate))
     return (
-        F.when(kind.isin("phone", "ssn", "card", "iban"), F.array_join(F.transform(letters, counted), ""))
+        F.when(F.length(surrogate) != F.length(_canonical(kind, value)), _free(kind, value, surrogate))
+        .when(kind.isin("phone", "ssn", "card", "iban"), F.array_join(F.transform(letters, counted), ""))
         .when(kind == "email", F.array_join(cased, ""))
-        .when(kind.startswith("name"), F.concat(F.regexp_extract(value, r"^(\S+ )", 1), shown))
+        .when(kind.startswith("name"), _free(kind, value, surrogate))
         .otherwise(surrogate)
     )
 
 
+def _bare(kind: Column, value: Column, surrogate: Column) -> Column:
+    """(word, new): the family name alone, as the place writes it, and its surrogate; null for all but names."""
+    word, new = F.substring_index(value, " ", -1), F.substring_index(_free(kind, value, surrogate), " ", -1)
+    return F.when(kind.startswith("name") & (F.length(word) > 2), F.struct(word.alias("word"), new.alias("new")))
+
+
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row_key, pos, kind, value, canon of every place that holds an entity."""
+    """__row, pos, before (what stays of the place), value, kind, canon of every place that holds an entity."""
     found = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    rows = docs.select(F.xxhash64("doc_id", text).alias("__row"), F.posexplode(found).alias("pos", "value"))
-    kind = _kind(F.col("value"))
-    return rows.withColumn("kind", kind).withColumn("canon", _canonical(F.col("kind"), F.col("value")))
+    rows = docs.select(row_name("doc_id", text).alias("__row"), F.posexplode(found).alias("pos", "_found"))
+    before = F.regexp_extract("_found", _BEFORE, 0)
+    rows = rows.select("__row", "pos", before.alias("before"), F.substr("_found", F.length(before) + 1).alias("value"))
+    rows = rows.withColumn("kind", _kind(F.col("value")))
+    return rows.withColumn("canon", _canonical(F.col("kind"), F.col("value")))
+
+
+def row_name(doc_id: str, text: str) -> Column:
+    """128 bits that stand for a row, so that none gets the surrogates of another."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), doc_id, text).alias("b"))
 
 
 def surrogate_table(found: DataFrame, key: str) -> DataFrame:
@@ -248,13 +296,17 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = durable(entities(docs, text))
     table = surrogate_table(found, key)
     placed = found.join(table, ["kind", "canon"]).select(
-        "__row", F.struct("pos", _written(F.col("kind"), F.col("value"), F.col("surrogate")).alias("__new")).alias("place")
+        "__row", F.struct(
+            "pos", F.concat("before", _written(F.col("kind"), F.col("value"), F.col("surrogate"))).alias("__new"),
+            _bare(F.col("kind"), F.col("value"), F.col("surrogate")).alias("__bare"),
+        ).alias("place")
     )
     # Repeated rows have the same places, so a set holds each once.
     perdoc = durable(placed.groupBy("__row").agg(F.array_sort(F.collect_set("place")).alias("places")).select(
-        "__row", F.col("places.__new").alias("__new")
+        "__row", F.col("places.__new").alias("__new"),
+        F.array_distinct(F.filter(F.col("places.__bare"), lambda b: b.isNotNull())).alias("__bare"),
     ))
-    named = docs.drop("n_replaced").withColumn("__row", F.xxhash64("doc_id", text))
+    named = docs.drop("n_replaced").withColumn("__row", row_name("doc_id", text))
     between = F.split(F.col(text), PATTERN, -1)
     built = F.concat(
         F.element_at(between, 1),
@@ -265,9 +317,15 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     else:  # only texts with an entity are shuffled
         held = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
         joined = named.filter(held).join(perdoc, "__row", "left").unionByName(
-            named.filter(~held).withColumn("__new", F.lit(None).cast("array<string>"))
+            named.filter(~held).withColumn("__new", F.lit(None).cast("array<string>")).withColumn(
+                "__bare", F.lit(None).cast("array<struct<word:string,new:string>>")
+            )
         )
-    changed = F.when(F.col("__new").isNotNull(), built).otherwise(F.col(text))
+    # A family name that was found behind a form of address is replaced wherever the text names it alone.
+    followed = F.aggregate("__bare", built, lambda t, b: F.regexp_replace(
+        t, F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), b["word"], F.lit(r"\E(?![\p{L}\p{N}_])")), b["new"]
+    ))
+    changed = F.when(F.col("__new").isNotNull(), followed).otherwise(F.col(text))
     kept = [c for c in docs.columns if c != "n_replaced"]
     return joined.select(
         *[changed.alias(c) if c == text else F.col(f"`{c}`") for c in kept],
