@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,8 +38,8 @@ from wardlake.session import durable
 
 #: Characters of a batch; distinct n-grams that an owner is meant to hold.
 BATCH, OWNED = 1 << 23, 1 << 22
-#: Steps of the likelihood ratio per factor of two, and its range in powers of two.
-STEPS, RANGE = 16, 64
+#: Steps per factor of two of the shares of words and of pairs, and their range in powers of two.
+WORD_STEPS, PAIR_STEPS, RANGE = 4, 8, 64
 ROUNDS = 100
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -96,6 +97,12 @@ def pack_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch()
 
 
+@lru_cache(maxsize=1)
+def word_hash() -> WordHash:
+    """One per worker process, so that the batches of a task share what is known."""
+    return WordHash(300_000)
+
+
 @dataclass
 class Tokens:
     """The tokens of a batch: document of each, and places of its word and its bigram among the distinct keys."""
@@ -141,7 +148,7 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _asker(bits: int):
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHash()
+        hashed = word_hash()
         for frame in frames:
             for batch, docs in zip(frame["batch"], frame["docs"]):
                 t = tokens_of(docs, hashed)
@@ -193,15 +200,24 @@ def bucket(frequency: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(frequency, 1)).astype(np.int64)
 
 
-def _ratios(order: int, w: Weights):
-    """Histogram (bucket, step, n) of the likelihood ratios of held-out tokens, their document deleted from the counts."""
+_CELL = "bucket bigint, word bigint, pair bigint, n bigint, word_log double, pair_log double"
+
+
+def _steps(share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Step of a share (0 for none at all, else from 1) and its logarithm."""
+    some = share > 0
+    log = np.log2(share, out=np.zeros(len(share)), where=some)
+    return np.where(some, np.clip(np.floor(log * steps), -RANGE * steps, RANGE * steps - 1) + RANGE * steps + 1, 0).astype(np.int64), log
 
-    def ratios(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["bucket", "step", "n"]
+
+def _histogram(w: Weights):
+    """Cells of the held-out tokens of a batch, their document deleted from the counts; bucket -1 where no context is left."""
+
+    def histogram(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if batch.empty or answers.empty:
-            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in columns})
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype="float64") for c in _CELL.split(", ")})
         totals = _totals(answers)
-        t = tokens_of(batch["docs"].iloc[0], WordHash())
+        t = tokens_of(batch["docs"].iloc[0], word_hash())
         keep = t.head[t.doc, 2] == 1
         size = np.bincount(t.doc, minlength=len(t.head))
 
@@ -209,24 +225,22 @@ def _ratios(order: int, w: Weights):
             _, inverse, own = np.unique(t.doc * len(t.keys) + places, return_inverse=True, return_counts=True)
             return np.maximum(totals[places] - own[inverse], 0)
 
-        word, left = deleted(t.word), w.tokens - size[t.doc]
-        if order == 1:
-            ratio, group = word / np.maximum(left, 1) * (w.types + 1), np.zeros(len(word), np.int64)
-        else:
-            context = np.concatenate([[0], word[:-1]])
-            context[t.starts] = w.docs - 1
-            pair = deleted(t.pair)
-            ratio = pair / np.maximum(context, 1) / word_chance(word, left, w)
-            group, keep = bucket(context), keep & (context > 0)
-        with np.errstate(divide="ignore"):
-            step = np.where(ratio > 0, np.floor(np.log2(ratio) * STEPS), -RANGE * STEPS)
-        step = np.clip(step, -RANGE * STEPS, RANGE * STEPS - 1).astype(np.int64)
-        found, n = np.unique(group[keep] * (4 * RANGE * STEPS) + step[keep] + RANGE * STEPS, return_counts=True)
+        word, pair = deleted(t.word), deleted(t.pair)
+        context = np.concatenate([[0], word[:-1]])
+        context[t.starts] = w.docs - 1
+        word_step, word_log = _steps((word / np.maximum(w.tokens - size[t.doc], 1) * (w.types + 1))[keep], WORD_STEPS)
+        pair_step, pair_log = _steps((pair / np.maximum(context, 1) * (w.types + 1))[keep], PAIR_STEPS)
+        group = np.where(context > 0, bucket(context), -1)[keep]
+        word_top, pair_top = 2 * RANGE * WORD_STEPS + 1, 2 * RANGE * PAIR_STEPS + 1
+        cells, place, n = np.unique(
+            ((group + 1) * word_top + word_step) * pair_top + pair_step, return_inverse=True, return_counts=True
+        )
         return pd.DataFrame({
-            "bucket": found // (4 * RANGE * STEPS), "step": found % (4 * RANGE * STEPS) - RANGE * STEPS, "n": n,
+            "bucket": cells // pair_top // word_top - 1, "word": cells // pair_top % word_top, "pair": cells % pair_top, "n": n,
+            "word_log": np.bincount(place, word_log, len(cells)), "pair_log": np.bincount(place, pair_log, len(cells)),
         })
 
-    return ratios
+    return histogram
 
 
 def learn(ratio: np.ndarray, n: np.ndarray) -> float:
@@ -238,17 +252,24 @@ def learn(ratio: np.ndarray, n: np.ndarray) -> float:
     return weight
 
 
-def _fit(order: int, batches: DataFrame, answers: DataFrame, w: Weights) -> tuple[dict[int, float], float]:
-    """The weight of each bucket that has tokens, and the weight of all buckets together."""
+def _fit(batches: DataFrame, answers: DataFrame, w: Weights) -> None:
+    """Learn the weight of words, then those of pairs: of each bucket that has tokens, else of all buckets together."""
     parts = batches.select("batch", "docs").groupBy("batch").cogroup(
         answers.select("batch", "owner", "totals").groupBy("batch")
-    ).applyInPandas(_ratios(order, w), "bucket bigint, step bigint, n bigint")
-    # At most 64 buckets of 2 * RANGE * STEPS steps.
-    table = parts.groupBy("bucket", "step").agg(F.sum("n").alias("n")).toPandas()
-    ratio = np.where(table["step"] == -RANGE * STEPS, 0.0, 2.0 ** ((table["step"].to_numpy(float) + 0.5) / STEPS))
+    ).applyInPandas(_histogram(w), _CELL)
+    # At most 65 buckets of 513 by 1,025 steps, of which few are met.
+    table = parts.groupBy("bucket", "word", "pair").agg(*[F.sum(c).alias(c) for c in ("n", "word_log", "pair_log")]).toPandas()
     n = table["n"].to_numpy(float)
-    found = {int(b): learn(ratio[rows], n[rows]) for b, rows in table.groupby("bucket").indices.items()}
-    return found, learn(ratio, n) if len(n) else 0.0
+    if not len(n):
+        return
+    word, pair = (np.where(table[c] > 0, 2.0 ** (table[f"{c}_log"].to_numpy(float) / n), 0.0) for c in ("word", "pair"))
+    w.word = learn(word, n)
+    ratio = pair / (w.word * word + 1.0 - w.word)
+    follows = (table["bucket"] >= 0).to_numpy()
+    if follows.any():
+        w.pair[:] = learn(ratio[follows], n[follows])
+    for place, rows in table[follows].groupby("bucket").indices.items():
+        w.pair[int(place)] = learn(ratio[follows][rows], n[follows][rows])
 
 
 def _scorer(w: Weights):
@@ -257,7 +278,7 @@ def _scorer(w: Weights):
         if batch.empty:
             return pd.DataFrame({c: pd.Series([], dtype="float64") for c in columns})
         totals = _totals(answers)
-        t = tokens_of(batch["docs"].iloc[0], WordHash())
+        t = tokens_of(batch["docs"].iloc[0], word_hash())
         word, pair = totals[t.word], totals[t.pair]
         context = np.concatenate([[0], word[:-1]])
         context[t.starts] = w.docs
@@ -292,11 +313,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
     )
     w = Weights(train_tokens, answers.agg(F.sum("types")).first()[0] or 0, train_docs)
     if train_tokens:
-        w.word = _fit(1, batches, answers, w)[1]
-        found, pooled = _fit(2, batches, answers, w)
-        w.pair[:] = pooled
-        for place, weight in found.items():
-            w.pair[place] = weight
+        _fit(batches, answers, w)
     scored = batches.select("batch", "docs").groupBy("batch").cogroup(
         answers.select("batch", "owner", "totals").groupBy("batch")
     ).applyInPandas(
