@@ -40,9 +40,12 @@ FILE_CHARS = 1 << 27
 
 #: A space behind anything but white space starts a pre-token under every byte-level pattern.
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: White space next to white space, or a stop or comma behind anything but a letter or digit: cut by the rule above.
-_ODD = re.compile(r"\s\s|[\W_][.,]")
+#: A stop or comma behind anything but a letter or digit, and white space but for space and line end: not cut by the rule above.
+_ODD = re.compile(r"[.,](?<![^\W_].)|[^\S \n]")
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
 _HEADS = frozenset("\n.,")
+#: What a piece of a text that is cut at spaces only may not start with, to be known by what is behind its space.
+_PLAIN = frozenset(["", " ", "\t", "\n", ".", ","])
 
 
 def pack_block(ids: np.ndarray) -> list[bytes]:
@@ -70,64 +73,72 @@ def unpack_block(planes: list[bytes], n: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file. Stretches between spaces are encoded once and remembered (a bounded cache)."""
+    """Ids of texts by a tokenizer file. Stretches between spaces are encoded once and remembered.
 
-    def __init__(self, path: str, bound: int = 600_000) -> None:
+    The memory has two halves: what is used moves to the young one; when that is full it becomes the old one, and what was
+    not used since is forgotten. So its size is bounded and what is frequent stays.
+    """
+
+    def __init__(self, path: str, bound: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, number in vocabulary.items():  # a byte-level token has one character per byte
             self.sizes[number] = len(token)
-        self.known: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # the same by the word behind a space
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.bound = bound
 
     def _learn(self, pieces: list[str]) -> None:
-        encode, fast = self.tokenizer.encode, self.tokenizer.encode_batch_fast
-        joined = [p for p in pieces if p[0] == " " and not p[-1].isspace()]
-        for p in set(pieces).difference(joined):
-            self.known[p] = np.array(encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
+        """Pieces as they stand behind a space, or with a head of their own, or (marked by a tab in front) as they are."""
+        young, old, new = self.young, self.old, []
+        for p in pieces:
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                young[p] = ids
+        joined = []
+        for p in new:
+            if p[:1] == "\t" or p[:1] in _HEADS or p[-1:].isspace() or not p:
+                whole = p[1:] if p[:1] == "\t" else p if p[:1] in _HEADS else " " + p
+                young[p] = np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.uint32).tobytes()
+            else:
+                joined.append(p)
+        if not joined:
+            return
         # Pieces that start with a space and do not end in one keep their ids when put together.
-        for i in range(0, len(joined), 256):
-            part = joined[i : i + 256]
-            ids = np.array(fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(self.sizes[ids])
-            stops = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part])) + 1
-            start = 0
-            for p, stop in zip(part, stops.tolist()):
-                self.known[p] = ids[start:stop].tobytes()
-                start = stop
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(joined)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum(self.sizes[ids])
+        lengths = np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in joined), np.int64, len(joined)) + 1
+        stops = (4 * (np.searchsorted(ends, np.cumsum(lengths)) + 1)).tolist()
+        raw, start = ids.tobytes(), 0
+        for p, stop in zip(joined, stops):
+            young[p] = raw[start:stop]
+            start = stop
+
+    def _ids(self, pieces: list[str]) -> np.ndarray:
+        if len(self.young) > self.bound:
+            self.young, self.old = {}, self.young
+        if new := set(pieces).difference(self.young):
+            self._learn(list(new))
+        return np.frombuffer(b"".join(map(self.young.__getitem__, pieces)), np.uint32)
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
-        if self.added and self.added.search(text):  # cut by the library alone, so that no piece holds an added token
+        if any(t in text for t in self.added):  # cut by the library alone, so that no piece holds an added token
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        if len(self.known) > self.bound:
-            self.known.clear()
-            self.spaced.clear()
-        if _ODD.search(text):
-            pieces, known = _CUT.split(text), self.known
-            if new := [p for p in dict.fromkeys(pieces) if p not in known]:
-                self._learn(new)
-            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
+        if any(d in text for d in _DOUBLE) or _ODD.search(text):
+            first, *pieces = _CUT.split(text)
+            return self._ids(["\t" + first, *(p[1:] if p[1:2] not in _PLAIN else "\t" + p for p in pieces)])
         # White space stands alone everywhere: a space belongs to the word behind it. A line end, and a stop or comma
         # behind a word, starts a pre-token too; it is kept at the head of its piece, which then has no space.
         first, *pieces = text.replace("\n", " \n").replace(".", " .").replace(",", " ,").split(" ")
-        spaced = self.spaced
-        if new := list(set(pieces).difference(spaced)):
-            full = [p if p[:1] in _HEADS else " " + p for p in new]
-            self._learn([p for p in full if p not in self.known])
-            for p, whole in zip(new, full):
-                spaced[p] = self.known[whole]
-        if first and first not in self.known:
-            self._learn([first])
-        head = self.known[first] if first else b""
-        return np.frombuffer(head + b"".join(map(spaced.__getitem__, pieces)), np.uint32)
+        return self._ids(["\t" + first, *pieces])
 
 
 @lru_cache(maxsize=1)
