@@ -9,15 +9,19 @@ from wardlake.session import durable
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node hands its larger neighbours to the smallest node it sees."""
+    """Every node hands its larger neighbours to the smallest node it sees.
+
+    What is smallest is stored before it is joined: a join of plain tables is one whose hot side (a node with very many
+    neighbours) Spark splits, behind an aggregate it does not.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smaller neighbours, and itself, to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = durable(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -44,11 +44,13 @@ from wardlake.llm.components import components
 from wardlake.session import durable, stored
 
 #: Signatures that a task holds before it sends them, and that an owner is meant to hold.
-SENT, OWNED = 1 << 21, 1 << 22
+SENT, OWNED = 1 << 19, 1 << 20
 #: Classes per block in the comparison of groups that the stars leave open.
 MEMBERS = 1024
-#: Rows of cells that a task looks at together, and pairs.
-ROWS, PAIRS = 100_000, 200_000
+#: Rows of cells that a task looks at together; pairs looked at together, first coarsely and then in all ranges.
+ROWS, PAIRS, FINE = 100_000, 200_000, 1 << 14
+#: Words whose hashes a task remembers.
+KNOWN = 200_000
 #: Ranges of the exact bound, and how many of them a first look takes together.
 BINS, COARSE = 256, 16
 
@@ -137,7 +139,7 @@ def _sender(n: int, percent: int, bits: int):
     """Documents to packed rows (owner, signatures, places of classes, classes, sizes, digests)."""
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed, schemes = WordHash(), Schemes(percent)
+        hashed, schemes = WordHash(KNOWN), Schemes(percent)
         seen: set[int] = set()
         values, places, classes, sizes, digests = [], [], [], [], []
         held = 0
@@ -277,7 +279,7 @@ class Texts:
         n = self.n
 
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashed = WordHash()
+            hashed = WordHash(KNOWN)
             for frame in frames:
                 shapes = [shape(shingles(text, n, hashed)) for text in frame["text"]]
                 yield pd.DataFrame({"cls": frame["cls"], "shape": shapes})
@@ -318,7 +320,7 @@ def _compare(percent: int):
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["group", "i", "j", "n"], ignore_index=True)
-        counts = np.frombuffer(b"".join(frame["shape"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+        counts = np.frombuffer(b"".join(frame["shape"]), np.uint8).reshape(-1, BINS)
         coarse = counts.reshape(len(frame), -1, COARSE).sum(axis=2, dtype=np.int16)
         label, block, names, size = (frame[c].to_numpy() for c in ("label", "block", "cls", "n"))
         cell = frame[["group", "i", "j"]].to_numpy()
@@ -331,9 +333,12 @@ def _compare(percent: int):
             open_ = (label[p] != label[q]) & (size[q] * percent <= size[p] * 100)
             open_ &= (block[p] != block[q]) | (cell[p, 1] == cell[p, 2])
             p, q = p[open_], q[open_]
-            for ranges in (coarse, counts):
-                least = np.abs(ranges[p] - ranges[q]).sum(axis=1, dtype=np.int64)
-                near = least * (100 + percent) <= (100 - percent) * (size[p] + size[q])
+            for ranges, many in ((coarse, PAIRS), (counts, FINE)):
+                near = np.zeros(len(p), bool)
+                for at in range(0, len(p), many):
+                    a, b = p[at : at + many], q[at : at + many]
+                    least = np.abs(ranges[a].astype(np.int16) - ranges[b]).sum(axis=1, dtype=np.int64)
+                    near[at : at + many] = least * (100 + percent) <= (100 - percent) * (size[a] + size[b])
                 p, q = p[near], q[near]
             swap = names[p] > names[q]
             a, b = np.where(swap, q, p), np.where(swap, p, q)
