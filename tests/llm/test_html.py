@@ -68,3 +68,22 @@ def test_a_nested_article_does_not_replace_its_main():
     page = f"<main><p>{short}</p><article><p>{long}</p></article></main>"
     assert mainhtml.extract(page) == f"{short}\n{long}"
     assert mainhtml.extract(f"<main><a>x</a><a>y</a><article><p>{long}</p><p>{short}</p></article></main>") == f"{long}\n{short}"
+
+
+LINE = "A long paragraph of the article with many words in it, so that it is text."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f'<div class="content has-sidebar">{BODY * 2}</div>', [LINE] * 2),
+    (f'<div class="layout no-sidebar">{BODY}</div>', [LINE]),
+    (f'<body><form action="x">{BODY * 2}<input name="q"></form></body>', [LINE] * 2),
+    (f'<article>{BODY}<section id="discussion"><h2>Discussion</h2>{BODY}</section></article>', [LINE, "Discussion", LINE]),
+    (f'<article><p id="share-of-votes">{LINE}</p>{BODY}</article>', [LINE] * 2),
+    (f"<article><p>Energy <math><mi>E</mi></math> is {LINE}</p>{BODY}</article>", [f"Energy E is {LINE}", LINE]),
+    (f'<div class="widget-area"><article>{BODY}</article></div>', [LINE]),
+    (f'<div class="sidebar"><p>Other things that you may like</p></div><div>{BODY * 3}</div>', [LINE] * 3),
+    (f'<article>{BODY * 2}<div class="cookie-notice"><h2>Cookies</h2><p>We use them.</p></div></article>', [LINE] * 2),
+])
+def test_parts_in_doubt(page, want):
+    """Names of layout, forms around a page, topics with a heading and inline parts do not cost any text."""
+    assert mainhtml.extract(page) == "\n".join(want)

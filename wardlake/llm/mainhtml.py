@@ -1,9 +1,11 @@
 """Main text of web pages by text-to-tag ratios.
 
 The events of the standard library's HTML parser are turned into lines, one per block of text, as they arrive. A line
-knows the length of its text, the tags since the line before it, the part of the page that encloses it, and whether it
-lies in something that is never content (navigation, header, footer, aside, form, script, style, hidden parts, and parts
-whose class, id or role says advert, notice, menu, comments and the like).
+knows the length of its text, the tags since the line before it and the part of the page that encloses it. Lines in
+something that is never content (navigation, header, footer, aside, script, style, hidden parts) are left out, and so are
+those in parts in doubt: forms, and parts whose class, id or role names advert, notice, menu, comments and the like. A part
+in doubt that holds an article, a main part or more than half of the text is none, and neither is a section on such a topic
+that has a heading of its own; paragraphs, headings and inline parts are not judged by their names.
 
 The ratio of text to tags of each line is smoothed by a Gaussian; lines above the threshold (the standard deviation of
 the smoothed ratios, as long as any line is above it) form clusters of content. Short lines between long ones belong to
@@ -38,9 +40,11 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead title tr ul".split()
 )
 EXCLUDED = frozenset(
-    "aside button canvas datalist dialog embed fieldset footer form head header iframe input label math menu nav noscript "
-    "object script select style svg template textarea title".split()
+    "aside button canvas datalist dialog embed footer head header iframe input menu nav noscript object script select style "
+    "svg template textarea title".split()
 )
+# Elements that are left out unless they hold the text of the page.
+DOUBTFUL = frozenset("fieldset form label".split())
 EXCLUDED_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split()
 )
@@ -51,9 +55,16 @@ EXCLUDED_WORDS = frozenset(
     "newsletter notice notices pager pagination popup promo promotion promoted related replies reply respond share sharing "
     "sidebar sidebars signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Words beside one of these in a name say how an element is laid out, not what it is.
+LAYOUT_WORDS = frozenset("container has have layout no non not page with without wrap wrapper".split())
+# Of these, a section with a heading of its own is a part of the text.
+TOPICS = frozenset("disclaimer discussion notice notices related share sharing social".split())
+# Elements whose names are not looked at: parts of a text.
+PARTS = frozenset("a abbr b blockquote body cite code em h1 h2 h3 h4 h5 h6 html i li main p q s small span strong sub sup td u".split())
 CONTENT = frozenset(["article", "main"])
 #: Blocks that may hold several others; text of one of the rest is never more than a part of the content.
 CONTAINERS = frozenset("body center div html section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose unclosed start is ended by one of the same kind.
 SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"},
                 "option": {"select"}}
@@ -66,33 +77,48 @@ _NOT_LETTERS = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def is_excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def excluded_words(value: str) -> set[str]:
+    """Words of a class or id value that say that an element is no content; each name is judged by itself."""
+    found: set[str] = set()
+    for name in value.split():
+        words = _NOT_LETTERS.split(_CAMEL.sub(" ", name).lower())
+        if not LAYOUT_WORDS.intersection(words):
+            found |= EXCLUDED_WORDS.intersection(words)
+    return found
+
+
+def exclusion(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """``hard`` (never content), ``soft`` (unless it holds the text), ``topic`` (unless it is a section with a heading), or none."""
     if tag in EXCLUDED:
-        return True
+        return "hard"
+    words: set[str] = set()
     for name, value in attrs:
         if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-            return True
+            return "hard"
         if not value:
             continue
         if name == "role" and value.strip().lower() in EXCLUDED_ROLES:
-            return True
+            return "soft"
         if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and tag not in ("html", "body"):
-            if EXCLUDED_WORDS.intersection(_NOT_LETTERS.split(_CAMEL.sub(" ", value).lower())):
-                return True
-    return False
+            return "hard"
+        if name in ("class", "id") and tag not in PARTS:
+            words |= excluded_words(value)
+    if words:
+        return "topic" if tag == "section" and words <= TOPICS else "soft"
+    return "soft" if tag in DOUBTFUL else ""
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, path of open elements) per block of text outside of excluded parts."""
+    """Collects (text, tags, path of open elements) per block of text outside of parts that are never content."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.names: list[str] = []  # of every element met, by number
         self.open: list[int] = []
-        self.barred: list[int] = []  # excluded elements that are open
+        self.barred: list[int] = []  # elements that are never content and open
+        self.doubted: dict[int, str] = {}  # elements that may be no content, and why
+        self.headed: set[int] = set()  # elements with a heading inside
         self.text: list[str] = []
         self.tags = 0
 
@@ -137,8 +163,13 @@ class Lines(HTMLParser):
             return
         self.names.append(tag)
         self.open.append(len(self.names) - 1)
-        if is_excluded(tag, attrs):
+        why = exclusion(tag, attrs)
+        if why == "hard":
             self.barred.append(len(self.names) - 1)
+        elif why:
+            self.doubted[len(self.names) - 1] = why
+        if tag in HEADINGS:
+            self.headed.update(self.open)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -156,6 +187,25 @@ class Lines(HTMLParser):
         super().close()
         self.end_line()
 
+    def content_lines(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """The lines outside of parts in doubt; one that holds an article, a main part or most of the text is in none."""
+        if not self.doubted:
+            return self.lines
+        size: dict[int, int] = defaultdict(int)
+        holds: set[int] = set()
+        for text, _, path in self.lines:
+            for i, number in enumerate(path):
+                if number in self.doubted:
+                    size[number] += len(text)
+                    if any(self.names[n] in CONTENT for n in path[i + 1 :]):
+                        holds.add(number)
+        total = sum(len(text) for text, _, _ in self.lines)
+        gone = {
+            n for n, why in self.doubted.items()
+            if n not in holds and 2 * size[n] <= total and not (why == "topic" and n in self.headed)
+        }
+        return [line for line in self.lines if gone.isdisjoint(line[2])]
+
 
 def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     reach = max(1, int(3 * sigma))
@@ -171,7 +221,7 @@ def extract(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines, names = parser.lines, parser.names
+    lines, names = parser.content_lines(), parser.names
     if not lines:
         return ""
     ratio = smooth(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
