@@ -81,3 +81,22 @@ def test_a_source_lands_alike_beside_a_larger_one(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc bigint, source string, size bigint, chance double, draw double, n_docs bigint")
     both, alone = ({r["doc"]: r["chance"] for r in mixing.decide(d).filter("source = 'b'").collect()} for d in (docs, docs.filter("source = 'b'")))
     assert both == alone and len(both) == 60
+
+
+def test_a_block_keeps_the_chances_of_all_sizes():
+    """The order of the flight and its steps have nothing in common, so no size is favoured."""
+    rng = np.random.default_rng(0)
+    sizes, taken, runs = np.sort(rng.integers(1, 5000, 200)), np.zeros(200), 1500
+    for run in range(runs):
+        doc = rng.integers(-(1 << 62), 1 << 62, 200)
+        frame = pd.DataFrame({"doc": doc, "source": "a", "size": sizes, "chance": 0.1, "draw": rng.random(200), "n_docs": 200, "_block": 0})
+        flown = mixing._block(frame).set_index("doc")
+        taken += flown.loc[doc, "chance"].to_numpy()
+    deciles = taken.reshape(10, 20).mean(axis=1) / runs
+    assert np.abs(deciles - 0.1).max() < 0.006, deciles
+
+
+def test_steps_and_order_are_independent():
+    numbers = mixing.step_numbers(np.arange(20_000))
+    assert abs(numbers.mean() - 0.5) < 0.01 and 0 <= numbers.min() and numbers.max() < 1
+    assert abs(np.corrcoef(numbers[:-1], numbers[1:])[0, 1]) < 0.03

@@ -10,7 +10,9 @@ probabilities move along the null space of the two constraints (number of docume
 is 0 or 1, so both totals stay as they are. A block leaves at most two documents undecided. Sources of any size are cut
 into blocks of ``BLOCK`` documents; what the blocks leave undecided meets in the blocks of the next round, until a source
 has one block. The last block keeps ``LANDING`` documents out of the flight; with the two that the flight leaves they are
-the landing problem, of whose outcomes the one nearest to the words, then to the documents, is taken. Random numbers come from hashes of the ids, so reruns agree and a lost task is drawn again the same way.
+the landing problem, of whose outcomes the one nearest to the words, then to the documents, is taken. Random numbers come
+from hashes of the ids, one for the order of the flight and one for its steps, so every document keeps its probability,
+reruns agree and a lost task is drawn again the same way.
 
 Edge cases: null texts and texts without words have size 0 and take 0 words. A null source is a source of its own, the
 last one. A source without words has the target 0. Repeated rows and null ids are documents of their own; copies of one
@@ -28,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlake.llm.common import BROADCAST_ROWS
+from wardlake.llm.common import mix as mix_bits
 from wardlake.session import durable
 
 #: The most times a source, and so a document, is taken.
@@ -35,10 +38,12 @@ MOST = 3
 #: Weights by the place of the source in the order of names.
 WEIGHTS = (1, 2, 3)
 #: Documents of one block of the flight.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Documents of a source that are left for the landing, besides the two that the flight leaves.
 LANDING = 12
 
+_STEPS = np.uint64(0x9E3779B97F4A7C15)
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -126,9 +131,14 @@ def land(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return out
 
 
+def step_numbers(doc: np.ndarray) -> np.ndarray:
+    """Random numbers of the steps, by the name of the document; they have nothing to do with the order of the flight."""
+    return (mix_bits(doc.astype(np.int64).view(np.uint64) + _STEPS) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
 def _block(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.drop(columns="_block").sort_values(["draw", "doc"], kind="stable")
-    chances = fly(frame["size"].to_numpy(float), frame["chance"].to_numpy(float), frame["draw"].to_numpy(float))
+    chances = fly(frame["size"].to_numpy(float), frame["chance"].to_numpy(float), step_numbers(frame["doc"].to_numpy()))
     return frame.assign(chance=chances)
 
 
@@ -185,18 +195,22 @@ def mix(docs: DataFrame, size: str, source: str = "source", seed: int = 17) -> D
 
 def _taken(named: DataFrame, goal: DataFrame, seed: int) -> DataFrame:
     columns = [c for c in named.columns]
-    told = named.select("*", F.xxhash64(F.lit(seed), "doc_id", "__source", "__size").alias("__key"))
+    # Two hashes name a document, so that none takes the place of another.
+    own = ["doc_id", "__source", "__size"]
+    told = named.select("*", F.xxhash64(F.lit(seed), *own).alias("__key"), F.xxhash64(F.lit(~seed), *own).alias("__twin"))
     # Copies of one row get numbers of their own; ids are unique as a rule, so these groups have one row.
-    told = told.withColumn("__doc", F.xxhash64("__key", F.row_number().over(W.partitionBy("__key").orderBy("__size"))))
+    told = told.withColumn("__doc", F.xxhash64("__key", F.row_number().over(W.partitionBy("__key", "__twin").orderBy("__size"))))
     joined = told.join(goal, F.col("__source").eqNullSafe(F.col("__name")))
     whole = F.floor("__times")
     small = joined.select(
-        F.col("__doc").alias("doc"), F.col("__source").alias("source"), F.col("__size").alias("size"),
+        F.col("__doc").alias("doc"), F.col("__twin").alias("twin"), F.col("__source").alias("source"), F.col("__size").alias("size"),
         F.when(F.col("__size") > 0, F.col("__times") - whole).otherwise(0.0).alias("chance"),
         (F.pmod(F.xxhash64(F.lit(seed + 1), "__doc"), F.lit(1 << 30)) / float(1 << 30)).alias("draw"), F.col("__n_docs").alias("n_docs"),
     )
-    decided = decide(small).select(F.col("doc").alias("__doc"), F.col("chance").cast("int").alias("__more"))
-    return joined.join(decided, "__doc").select(
+    decided = decide(small).select(
+        F.col("doc").alias("__doc"), F.col("twin").alias("__twin"), F.col("chance").cast("int").alias("__more")
+    )
+    return joined.join(decided, ["__doc", "__twin"]).select(
         *[F.col(f"`{c}`") for c in columns], "source_size", "target", (whole + F.col("__more")).cast("int").alias("copies")
     )
 
@@ -210,7 +224,7 @@ def take(docs: DataFrame, text: str = "text", source: str = "source", seed: int
 
     Only ids, sources and sizes go through the sampling; the texts meet its result at the end.
     """
-    key = F.xxhash64("doc_id", source, text)
+    key = F.struct(F.xxhash64("doc_id", source, text).alias("a"), F.xxhash64(F.lit(1), "doc_id", source, text).alias("b"))
     slim = docs.select("doc_id", F.col(source).alias("source"), words_in(text).alias("size"), key.alias("__row"))
     times = mix(slim, "size", "source", seed).groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     times = durable(times)
