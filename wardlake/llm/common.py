@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -109,3 +110,23 @@ def batches(frames: Iterable, weight, most: int):
             total += w
     if held:
         yield held
+
+
+def in_slices(function, schema: pa.Schema, rows: int = 512):
+    """A function over frames for ``mapInArrow``, which gets ``rows`` rows at a time.
+
+    An Arrow batch may hold ten thousand long texts; as Python objects only those of a slice are alive. What Arrow has kept
+    for its next batch is given back at the end of the task, as workers live on and others need the memory.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        def frames():
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield batch.slice(at, rows).to_pandas()
+
+        for frame in function(frames()):
+            yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+        pa.default_memory_pool().release_unused()
+
+    return run

@@ -33,12 +33,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm.common import (
-    BROADCAST_ROWS, WordHash, drop_matching, mix, pack_counts, pack_sorted, unpack_counts, unpack_sorted, words,
+    BROADCAST_ROWS, WordHash, drop_matching, in_slices, mix, pack_counts, pack_sorted, unpack_counts, unpack_sorted, words,
 )
 from wardlake.llm.components import components
 from wardlake.session import durable, stored
@@ -55,6 +56,8 @@ KNOWN = 200_000
 BINS, COARSE = 256, 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SENT = pa.schema([("owner", pa.int32()), *[(c, pa.binary()) for c in ("sigs", "places", "classes", "sizes", "digests")]])
+_SHAPES = pa.schema([("cls", pa.int64()), ("shape", pa.binary())])
 _OUT = "kind int, k1 bigint, k2 bigint, k3 bigint, n1 bigint, n2 bigint"
 
 
@@ -286,7 +289,7 @@ class Texts:
 
         few = sources.count() <= BROADCAST_ROWS
         texts = self.rows.join(F.broadcast(sources) if few else sources, "key").select("cls", "text")
-        return texts.mapInPandas(make, "cls bigint, shape binary").dropDuplicates(["cls"])
+        return texts.mapInArrow(in_slices(make, _SHAPES), "cls bigint, shape binary").dropDuplicates(["cls"])
 
     def sets(self, classes: DataFrame) -> DataFrame:
         wanted = durable(self.sources.join(classes.distinct(), "cls", "left_semi"))
@@ -427,8 +430,8 @@ def _labelled(docs: DataFrame, n: int, percent: int, text: str) -> DataFrame:
     chars = rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     # A word takes six characters or so and has less than one signature.
     bits = max(0, (int(chars) // 6 // OWNED).bit_length())
-    sent = rows.mapInPandas(
-        _sender(n, percent, bits),
+    sent = rows.mapInArrow(
+        in_slices(_sender(n, percent, bits), _SENT),
         "owner int, sigs binary, places binary, classes binary, sizes binary, digests binary",
     )
     out = durable(sent.groupBy("owner").applyInPandas(_owner(percent), _OUT))
