@@ -1,0 +1,99 @@
+"""Stored versions and stored pages read what they need; flows leave their report in the run log."""
+
+import json
+import random
+
+from pyspark.sql import functions as F
+
+from wardlake import model
+from wardlake.operators import browse, search
+from wardlake.operators.filters import Where
+from wardlake.plans import exporting, filtering, importing
+from wardlake.sources import bundles as docs
+from wardlake.sources import pages, versions
+from wardlake.sources import tables as store
+from wardlake.sources.versions import VersionStore
+
+WRITES = "type string, id string, written_at bigint, seq bigint, value string"
+
+
+def test_versions_equal_the_window_over_the_whole_log(spark, tmp_path):
+    """Late, repeated and null-keyed writes, compacted at any time."""
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), rng.choice([None, "1", "2", "3", "4"]), rng.randint(0, 40), i, f"v{i}") for i in range(120)]
+    kept = VersionStore(spark, str(tmp_path))
+    assert kept.current() is None and kept.compact() == 0
+    for at in range(0, 120, 30):
+        kept.put(spark.createDataFrame(rows[at : at + 30], WRITES))
+        if at in (30, 60):
+            assert kept.compact() > 0
+        want = search.upsert_put(spark.createDataFrame(rows[: at + 30], WRITES))
+        assert sorted(map(str, kept.current().select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_compaction_writes_only_the_buckets_of_the_log(spark, tmp_path):
+    kept = VersionStore(spark, str(tmp_path))
+    kept.put(spark.range(1000).selectExpr("'a' AS type", "CAST(id AS STRING) AS id", "1L AS written_at", "id AS seq", "'old' AS value"))
+    assert kept.compact() == versions.BUCKETS
+    kept.put(spark.createDataFrame([("a", "7", 2, 5000, "new")], WRITES))
+    assert kept.compact() == 1
+    _, placed = kept._placed()
+    assert sorted(placed.values()).count(2) == 1 and kept.current().count() == 1000
+    assert {r.value for r in kept.current().filter("id = '7'").collect()} == {"new"}
+
+
+def test_a_page_is_read_from_its_ranges(spark, tmp_path):
+    folder, df = str(tmp_path), spark.range(1003).select(F.format_string("k%04d", "id").alias("k"), F.col("id").alias("v"))
+    pages.write_pages(df, "k", folder, ranges=8)
+    found = [[r.k for r in pages.read_page(spark, folder, n, 100).collect()] for n in range(1, 13)]
+    assert [k for page in found for k in page] == [f"k{i:04d}" for i in range(1003)] and list(map(len, found)) == [100] * 10 + [3, 0]
+    assert pages.page_total(spark, folder).first().total == 1003
+    plan = pages.read_page(spark, folder, 3, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "Exchange hashpartitioning" not in plan
+    pages.write_pages(df.limit(0), "k", folder, ranges=8)
+    assert pages.read_page(spark, folder, 1, 100).count() == 0 and pages.page_total(spark, folder).first().total == 0
+
+
+def bundle(*resources):
+    return json.dumps({"resourceType": "Bundle", "entry": [{"resource": r} for r in resources]})
+
+
+def test_every_flow_logs_its_run(spark, tmp_path):
+    landing, data, log = tmp_path / "in", str(tmp_path / "data"), str(tmp_path / "log")
+    landing.mkdir()
+    (landing / "a.json").write_text(bundle({"resourceType": "Patient", "id": "p1", "gender": "male"}, {"resourceType": "Encounter", "id": "e1"}))
+    (landing / "b.json").write_text("{broken")
+    (landing / "c.json").write_text('{"resourceType": "Bundle"}')
+    importing.import_bundles(docs.scan_bundles(spark, str(landing)), data, log=log, run_id="1")
+    filtering.filter_folder(spark, data, str(tmp_path / "f"), [Where("patient", "PATSEX", "==", "M")], exclude=["mvt"], log=log, run_id="2")
+    exporting.export_folder(spark, data, str(tmp_path / "out"), log=log, run_id="3")
+    runs = {r.run_id: r for r in spark.read.parquet(log).collect()}
+    first = json.loads(runs["1"].summary)
+    assert (runs["1"].run_type, runs["1"].status) == ("import", "partial_success")
+    assert sorted(runs["1"].errors) == ["1 documents without entries", "1 unreadable documents"]
+    assert first["documents"] == {"read": 3, "malformed": 1, "no_entry": 1} and first["not_generated"] == ["biol", "doceds", "pharma", "pmsi"]
+    assert {r["table"]: (r["added_rows"], r["n_columns"]) for r in first["report"] if r["added_rows"]} == {"patient": (1, 4), "mvt": (1, 9)}
+    second = json.loads(runs["2"].summary)
+    assert {r["table"]: (r["input_rows"], r["output_rows"]) for r in second["report"]} == {"patient": (1, 1), "mvt": (1, 0)}
+    third = json.loads(runs["3"].summary)
+    assert (runs["3"].run_type, third["strategy"]) == ("export", "patient")
+    assert {r["item"]: r["n"] for r in third["report"]} == {"Patient": 1, "Encounter": 1, "Bundle": 1}
+
+
+def test_a_failed_patient_has_its_error(spark):
+    rows = [("1", bundle({"resourceType": "Patient", "id": "1"})), ("1", "{no"), ("1", "no"), ("2", bundle()), ("3", '{"a":1}'), (None, "x")]
+    got = {r.patient_id: r for r in browse.request_status(spark.createDataFrame(rows, "patient_id string, value string")).collect()}
+    assert (got["1"].status, got["1"].error, got["1"].entries_total, got["1"].resources_per_type) == ("failed", "2 unreadable documents", 1, {"Patient": 1})
+    assert (got["2"].status, got["2"].error, got["2"].entries_total) == ("success", None, 0) and got["3"].status == "success"
+
+
+def test_counts_take_one_pass(spark, tmp_path):
+    folder = str(tmp_path)
+    for t in ("patient", "mvt"):
+        store.write_table(spark.createDataFrame([], model.table_schema(t)), folder, t, keep_empty=True)
+    counts = browse.snapshot_counts(store.scan_dataset(spark, folder), spark, ["mvt", "none", "patient"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count("Exchange") == 1 and "ReadSchema: struct<>" in plan
+    assert {r["table"]: r["n_rows"] for r in counts.collect()} == {"mvt": 0, "none": 0, "patient": 0}

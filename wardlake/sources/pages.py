@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardlake.operators.search import PAGE_SIZE
 
@@ -16,8 +19,11 @@ def write_pages(df: DataFrame, key: str, folder: str, ranges: int | None = None)
     dealt = df.repartitionByRange(ranges, key) if ranges else df.repartitionByRange(key)
     dealt = dealt.withColumn("_range", F.spark_partition_id()).sortWithinPartitions("_range", key)
     dealt.write.mode("overwrite").partitionBy("_range").parquet(f"{folder}/rows")
-    counts = df.sparkSession.read.parquet(f"{folder}/rows").groupBy("_range").agg(F.count("*").alias("n"))
-    counts.select("_range", "n", F.lit(key).alias("key")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/directory")
+    spark = df.sparkSession
+    counts = spark.read.schema(dealt.schema).parquet(f"{folder}/rows").groupBy("_range").agg(F.count("*").alias("n"))
+    head = spark.createDataFrame([(-1, 0, key, dealt.schema.json())], "_range int, n bigint, key string, shape string")
+    counts = counts.select("_range", "n", F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("shape"))
+    head.unionByName(counts).coalesce(1).write.mode("overwrite").parquet(f"{folder}/directory")
 
 
 def page_total(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,14 +37,14 @@ def read_page(spark: SparkSession, folder: str, page: int, size: int = PAGE_SIZE
     The directory has a row per range, so it comes to the driver.
     """
     first, last = (page - 1) * size, page * size
-    rows = spark.read.parquet(f"{folder}/rows")
-    before, skipped, hit, key = 0, 0, [], None
-    for entry in sorted(spark.read.parquet(f"{folder}/directory").collect()):
-        key = entry["key"]
+    head, *entries = sorted(spark.read.parquet(f"{folder}/directory").collect(), key=lambda r: r["_range"])
+    before, skipped, hit = 0, 0, []
+    for entry in entries:
         if before < last and before + entry["n"] > first:
             hit.append(entry["_range"])
         elif before + entry["n"] <= first:
             skipped += entry["n"]
         before += entry["n"]
+    rows = spark.read.schema(StructType.fromJson(json.loads(head["shape"]))).parquet(f"{folder}/rows")
     found = rows.filter(F.col("_range").isin(hit)).drop("_range")
-    return found if key is None else found.orderBy(key).offset(first - skipped if hit else 0).limit(size)
+    return found.orderBy(head["key"]).offset(first - skipped if hit else 0).limit(size)
