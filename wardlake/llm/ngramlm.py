@@ -39,7 +39,7 @@ from wardlake.session import durable
 #: Characters of a batch; distinct n-grams that an owner is meant to hold.
 BATCH, OWNED = 1 << 23, 1 << 22
 #: Steps per factor of two of the shares of words and of pairs, and their range in powers of two.
-WORD_STEPS, PAIR_STEPS, RANGE = 4, 8, 64
+WORD_STEPS, PAIR_STEPS, RANGE = 2, 4, 64
 ROUNDS = 100
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +61,7 @@ class Weights:
 def _pack(docs: list[tuple[int, int, int, bytes]]) -> bytes:
     head = np.array([(named, doc_id, train, len(body)) for named, doc_id, train, body in docs], np.int64)
     raw = len(docs).to_bytes(8, "little") + head.tobytes() + b"".join(d[3] for d in docs)
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    return zstandard.ZstdCompressor(level=9).compress(raw)
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -200,7 +200,9 @@ def bucket(frequency: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(frequency, 1)).astype(np.int64)
 
 
-_CELL = "bucket bigint, word bigint, pair bigint, n bigint, word_log double, pair_log double"
+#: Logarithms are summed in whole parts of this size, so that the sums do not depend on their order.
+PARTS = 1 << 16
+_CELL = "bucket int, word int, pair int, n bigint, word_log bigint, pair_log bigint"
 
 
 def _steps(share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,8 +238,10 @@ def _histogram(w: Weights):
             ((group + 1) * word_top + word_step) * pair_top + pair_step, return_inverse=True, return_counts=True
         )
         return pd.DataFrame({
-            "bucket": cells // pair_top // word_top - 1, "word": cells // pair_top % word_top, "pair": cells % pair_top, "n": n,
-            "word_log": np.bincount(place, word_log, len(cells)), "pair_log": np.bincount(place, pair_log, len(cells)),
+            "bucket": (cells // pair_top // word_top - 1).astype(np.int32), "n": n,
+            "word": (cells // pair_top % word_top).astype(np.int32), "pair": (cells % pair_top).astype(np.int32),
+            "word_log": np.bincount(place, np.rint(word_log * PARTS), len(cells)).astype(np.int64),
+            "pair_log": np.bincount(place, np.rint(pair_log * PARTS), len(cells)).astype(np.int64),
         })
 
     return histogram
@@ -257,12 +261,12 @@ def _fit(batches: DataFrame, answers: DataFrame, w: Weights) -> None:
     parts = batches.select("batch", "docs").groupBy("batch").cogroup(
         answers.select("batch", "owner", "totals").groupBy("batch")
     ).applyInPandas(_histogram(w), _CELL)
-    # At most 65 buckets of 513 by 1,025 steps, of which few are met.
+    # At most 65 buckets of 257 by 513 steps, of which few are met.
     table = parts.groupBy("bucket", "word", "pair").agg(*[F.sum(c).alias(c) for c in ("n", "word_log", "pair_log")]).toPandas()
     n = table["n"].to_numpy(float)
     if not len(n):
         return
-    word, pair = (np.where(table[c] > 0, 2.0 ** (table[f"{c}_log"].to_numpy(float) / n), 0.0) for c in ("word", "pair"))
+    word, pair = (np.where(table[c] > 0, 2.0 ** (table[f"{c}_log"].to_numpy(float) / PARTS / n), 0.0) for c in ("word", "pair"))
     w.word = learn(word, n)
     ratio = pair / (w.word * word + 1.0 - w.word)
     follows = (table["bucket"] >= 0).to_numpy()
