@@ -1,9 +1,12 @@
 """What is written, sorted and parsed at volume: forms that keep disk, memory and time small."""
 
 import datetime as dt
+import glob
 
+import pyarrow.parquet as pq
 
-from wardlake.sources import runs
+from wardlake.sources import bundles, runs
+from wardlake.streaming import arrivals
 
 
 def plan(df):
@@ -19,3 +22,18 @@ def test_last_runs_reads_no_errors_that_nobody_asks_for(spark, tmp_path):
     assert "errors:array" not in plan(last.select("run_type", "run_id", "n_errors"))
     found = sorted((r.run_type or "", r.run_id, r.n_errors, r.errors) for r in last.collect())
     assert found == [("", "c", 0, []), ("export", "d", 0, None), ("import", "b", 2, ["x", "y"])]
+
+
+def codecs(folder):
+    files = glob.glob(f"{folder}/**/*.parquet", recursive=True)
+    read = [pq.ParquetFile(f).metadata for f in files]
+    return {m.row_group(0).column(0).compression for m in read if m.num_row_groups}
+
+
+def test_matches_of_a_stream_are_packed(spark, tmp_path):
+    spark.createDataFrame([('{"resourceType":"Patient","id":"1"}',)], "value string").write.options(**bundles.PACKED).text(str(tmp_path / "in"))
+    criteria = spark.createDataFrame([("all", "Patient", None, None)], "criterion string, resource_type string, path string, token string")
+    stream = arrivals.arriving_resources(spark, str(tmp_path / "in"))
+    assert arrivals.stream_subscriptions(stream, criteria, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(300)
+    assert codecs(tmp_path / "out") == {"ZSTD"}
+    assert [r.criterion for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["all"]
