@@ -5,7 +5,8 @@ import glob
 
 import pyarrow.parquet as pq
 
-from wardlake.sources import bundles, runs
+from wardlake.plans import importing
+from wardlake.sources import bundles, runs, tables
 from wardlake.streaming import arrivals
 
 
@@ -30,6 +31,13 @@ def codecs(folder):
     return {m.row_group(0).column(0).compression for m in read if m.num_row_groups}
 
 
+def test_stage_and_tables_are_packed(spark, tmp_path):
+    rows = spark.createDataFrame([("Patient", '{"resourceType":"Patient","id":"1"}')], "resource_type string, resource string")
+    importing.stage_resources(rows, str(tmp_path / "stage"))
+    tables.append_table(rows, str(tmp_path), "patient")
+    assert codecs(tmp_path / "stage") == codecs(tmp_path / "patient.parquet") == {"ZSTD"}
+
+
 def test_matches_of_a_stream_are_packed(spark, tmp_path):
     spark.createDataFrame([('{"resourceType":"Patient","id":"1"}',)], "value string").write.options(**bundles.PACKED).text(str(tmp_path / "in"))
     criteria = spark.createDataFrame([("all", "Patient", None, None)], "criterion string, resource_type string, path string, token string")
