@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from wardlake.plans import importing
 from wardlake.sources import bundles, runs, tables
@@ -25,6 +26,16 @@ def test_last_runs_reads_no_errors_that_nobody_asks_for(spark, tmp_path):
     assert found == [("", "c", 0, []), ("export", "d", 0, None), ("import", "b", 2, ["x", "y"])]
 
 
+def test_packed_lines_are_read_back(spark, tmp_path):
+    parts = [("p1", "head", '{"resourceType":"Bundle","type":"transaction","id":"p1","entry":[')] + [
+        ("p1", "entry", f'{"," if i else ""}{{"resource":{{"id":"{i}"}}}}') for i in range(50)] + [("p1", "tail", "]}")]
+    lines = spark.createDataFrame(parts, "bundle_id string, kind string, value string").coalesce(1)
+    bundles.write_bundles(lines.repartitionByRange(3, F.monotonically_increasing_id()), str(tmp_path / "out"), **bundles.PACKED)
+    assert all(f.endswith(".txt.gz") for f in glob.glob(f"{tmp_path}/out/part-*"))
+    read = bundles.read_bundles(spark, str(tmp_path / "out"))
+    assert sorted((r.bundle_id, r.kind, r.value) for r in read.collect()) == sorted((b, k, v.lstrip(",")) for b, k, v in parts)
+
+
 def codecs(folder):
     files = glob.glob(f"{folder}/**/*.parquet", recursive=True)
     read = [pq.ParquetFile(f).metadata for f in files]
