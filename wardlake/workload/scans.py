@@ -39,9 +39,9 @@ _RAW_IDS = f"""
 )
 def scan_bundles(spark, sf_dir):
     folder = scratch(spark, "bundles")
-    fx.bundles(spark, sf_dir).select("value").write.text(folder)
+    fx.bundles(spark, sf_dir).select("value").write.options(**docs.PACKED).text(folder)
     status = docs.read_status(F.col("value"))
-    read = docs.scan_bundles(spark, folder, per_line=True, pattern="*.txt").select(status.alias("status"))
+    read = docs.scan_bundles(spark, folder, per_line=True, pattern="*.txt.gz").select(status.alias("status"))
     return read.agg(
         F.count_if(F.col("status") == "ok").alias("ok_documents"),
         F.count_if(F.col("status") == "no_entry").alias("empty_documents"),
