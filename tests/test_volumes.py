@@ -9,12 +9,26 @@ from pyspark.sql import functions as F
 from wardlake.plans import importing
 from wardlake.sources import bundles, runs, tables
 from wardlake.streaming import arrivals
+from wardlake.workload import exports
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def given(spark, folder):
+    """Tables with a line that names no order, one that names no part, and an order that comes twice."""
+    day = dt.datetime(1997, 1, 1)
+    spark.createDataFrame([(1, 7), (2, 8), (2, 9)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(
+        [(5, "n", "t", "b")], "p_partkey bigint, p_name string, p_type string, p_brand string"
+    ).write.parquet(f"{folder}/part.parquet")
+    rows = [(o, p, 1, n, float(n), "A", "F", day) for n, (o, p) in enumerate([(1, 5), (2, 5), (3, 5), (None, 5), (1, None), (1, 6)])]
+    shape = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(rows, shape).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
 def test_last_runs_reads_no_errors_that_nobody_asks_for(spark, tmp_path):
     path, day = str(tmp_path / "runs"), dt.datetime(2024, 1, 1)
     rows = [("a", "import", None, day, None, "{}", ["x"]), ("b", "import", None, day, None, "{}", ["x", "y"]),
@@ -56,3 +70,9 @@ def test_matches_of_a_stream_are_packed(spark, tmp_path):
     assert arrivals.stream_subscriptions(stream, criteria, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(300)
     assert codecs(tmp_path / "out") == {"ZSTD"}
     assert [r.criterion for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["all"]
+
+
+def test_a_record_is_parsed_once_for_all_paths(spark, tmp_path):
+    found = exports.set_path(spark, given(spark, tmp_path))
+    assert "get_json_object" not in plan(found)
+    assert sorted((r.subject_reference, r.code_coding0_code) for r in found.collect() if r.subject_reference)[0] == ("Patient/p7", "5")

@@ -22,8 +22,13 @@ def _records(spark, sf_dir, *names):
     return export.dataset_to_resources(fx.dataset(spark, sf_dir, *names, wide=True))
 
 
+def _read(rows, *paths: str):
+    """The rows with ``_read``, their record parsed once for all of the paths."""
+    return records.parsed(rows, records.pruned_schema(paths), "_read")
+
+
 def _get(*paths: str):
-    return [records.json_path(F.col("resource"), p).alias(p.replace(".", "_").replace("[", "").replace("]", "")) for p in paths]
+    return [records.at_path(F.col("_read"), p).alias(p.replace(".", "_").replace("[", "").replace("]", "")) for p in paths]
 
 
 @query("rows_to_resources", tables(f"SELECT type, ord, id, patient_id, stay_id, location_id FROM ({RECORDS})"))
@@ -41,12 +46,12 @@ def rows_to_resources(spark, sf_dir):
     ),
 )
 def set_path(spark, sf_dir):
-    rows = _records(spark, sf_dir, "biol")
-    return rows.select(
-        *_get(
-            "id", "subject.reference", "encounter.reference", "code.text", "code.coding[0].code",
-            "code.coding[0].display", "valueQuantity.value", "referenceRange[0].low.value",
-        ),
+    paths = [
+        "id", "subject.reference", "encounter.reference", "code.text", "code.coding[0].code",
+        "code.coding[0].display", "valueQuantity.value", "referenceRange[0].low.value",
+    ]
+    return _read(_records(spark, sf_dir, "biol"), *paths).select(
+        *_get(*paths),
         F.col("resource").contains('"subject"').alias("has_subject"),
         F.col("resource").contains('"referenceRange"').alias("has_range"),
     )
@@ -63,7 +68,8 @@ def set_path(spark, sf_dir):
     ),
 )
 def resource_defaults(spark, sf_dir):
-    found = _records(spark, sf_dir).select("type", *_get("status", "intent"))
+    paths = ["status", "intent"]
+    found = _read(_records(spark, sf_dir), *paths).select("type", *_get(*paths))
     return found.groupBy("type", "status", "intent").agg(F.count("*").alias("n"))
 
 
@@ -75,7 +81,8 @@ def resource_defaults(spark, sf_dir):
     ),
 )
 def coerce_values(spark, sf_dir):
-    return _records(spark, sf_dir, "patient").select(*_get("id", "gender", "birthDate"))
+    paths = ["id", "gender", "birthDate"]
+    return _read(_records(spark, sf_dir, "patient"), *paths).select(*_get(*paths))
 
 
 @query(
@@ -134,8 +141,8 @@ def fallback_id(spark, sf_dir):
     ),
 )
 def build_references(spark, sf_dir):
-    rows = _records(spark, sf_dir, "mvt")
-    return rows.select(*_get("id", "subject.reference", "location[0].location.reference", "location[0].location.display"))
+    paths = ["id", "subject.reference", "location[0].location.reference", "location[0].location.display"]
+    return _read(_records(spark, sf_dir, "mvt"), *paths).select(*_get(*paths))
 
 
 @query("patient_of_resource", tables(f"SELECT type, id, patient_id FROM ({RECORDS}) WHERE patient_id IS NOT NULL"))
@@ -199,8 +206,9 @@ def dedupe_resources(spark, sf_dir):
     ),
 )
 def location_stubs(spark, sf_dir):
-    stubs = export.location_stubs(_records(spark, sf_dir, "mvt"))
-    return stubs.select("bundle_id", "id", *_get("name", "status"))
+    paths = ["name", "status"]
+    stubs = _read(export.location_stubs(_records(spark, sf_dir, "mvt")), *paths)
+    return stubs.select("bundle_id", "id", *_get(*paths))
 
 
 @query(
