@@ -10,6 +10,7 @@ from wardlake.plans import importing
 from wardlake.sources import bundles, runs, tables
 from wardlake.streaming import arrivals
 from wardlake.workload import exports
+from wardlake.workload import fixtures as fx
 
 
 def plan(df):
@@ -72,6 +73,13 @@ def test_matches_of_a_stream_are_packed(spark, tmp_path):
     assert [r.criterion for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["all"]
 
 
+def test_line_items_are_joined_without_sorts(spark, tmp_path):
+    lines = fx.lines(spark, given(spark, tmp_path))
+    assert "SortMergeJoin" not in plan(lines) and "ShuffledHashJoin" in plan(lines)
+    found = sorted((r.l_linenumber, r.o_custkey, r.p_name) for r in lines.collect())
+    assert found == [(0, 7, "n"), (1, 8, "n"), (1, 9, "n"), (2, None, "n"), (3, None, "n"), (4, 7, None), (5, 7, None)]
+
+
 def test_a_record_is_parsed_once_for_all_paths(spark, tmp_path):
     found = exports.set_path(spark, given(spark, tmp_path))
     assert "get_json_object" not in plan(found)
