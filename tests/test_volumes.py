@@ -6,6 +6,7 @@ import glob
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from wardlake.operators import export
 from wardlake.plans import importing
 from wardlake.sources import bundles, runs, tables
 from wardlake.streaming import arrivals
@@ -84,3 +85,34 @@ def test_a_record_is_parsed_once_for_all_paths(spark, tmp_path):
     found = exports.set_path(spark, given(spark, tmp_path))
     assert "get_json_object" not in plan(found)
     assert sorted((r.subject_reference, r.code_coding0_code) for r in found.collect() if r.subject_reference)[0] == ("Patient/p7", "5")
+
+
+def test_an_export_deals_its_records_once_and_sorts_no_json(spark, tmp_path, monkeypatch):
+    """Whole bundles in a task need no second exchange to be numbered; large ones are still cut."""
+    rows = [("1", "e1", 2, "X", f"{i % 7}", None, f'{{"id":"{i % 7}","n":{i}}}') for i in range(20)] + [("2", "e2", 2, "X", "a", "l", "{}")]
+    columns = "patient_id string, stay_id string, ord int, type string, id string, location_id string, resource string"
+    records = spark.createDataFrame(rows, columns)
+    flat = exports._flat(export.bundle_by_patient(records))
+    text = plan(flat)
+    assert text.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning(bundle_id#" not in text.split("Exchange rangepartitioning")[0]
+    assert "_text" not in "".join(line for line in text.splitlines() if " Sort [" in line)
+    found = sorted((r.bundle_id, r.pos, r.url) for r in flat.collect())
+    assert found == [("patient-1", i, f"X/{i}") for i in range(7)] + [("patient-2", 0, "Location/l"), ("patient-2", 1, "X/a")]
+    lines = sorted((r.bundle_id, r.ord, r.id, r.kind, r.value) for r in export.bundle_by_patient(records).collect())
+    monkeypatch.setattr(export, "MANY_COPIES", 1)
+    assert lines == sorted((r.bundle_id, r.ord, r.id, r.kind, r.value) for r in export.bundle_by_patient(records).collect())
+
+
+def test_an_export_has_more_ranges_for_more_records(spark, monkeypatch):
+    monkeypatch.setattr(export, "SORTED_ROWS", 10)
+    rows = [(str(i), None, 2, "X", str(i), None, "{}") for i in range(200)]
+    columns = "patient_id string, stay_id string, ord int, type string, id string, location_id string, resource string"
+    assert export.bundle_by_patient(spark.createDataFrame(rows, columns)).rdd.getNumPartitions() == 20
+
+
+def test_line_items_of_an_export_are_joined_once(spark, tmp_path):
+    given(spark, tmp_path)
+    items = fx.stored_lines(spark, str(tmp_path))
+    assert "Join" not in plan(items)
+    assert sorted((r.l_linenumber, r.o_custkey, r.p_name) for r in items.collect()) == [
+        (0, 7, "n"), (1, 8, "n"), (1, 9, "n"), (2, None, "n"), (3, None, "n"), (4, 7, None), (5, 7, None)]
