@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from wardlake.functions import records
 from wardlake.operators import browse, extract, numbering, search
 
 
@@ -100,6 +101,29 @@ def test_everything(spark, store):
     assert ids(search.patient_everything(store)) == ["1", "2", "3", "o1", "o2"]
 
 
+def test_everything_with_what_the_same_parse_tells(spark):
+    texts = [
+        '{"resourceType":"Patient","id":"1"}', '{"resourceType":"Patient","id":2,"subject":"x"}',
+        '{"resourceType":"Patient","id":"3","subject":"x","subject":["y"]}', '{"id":"o1","subject":{"reference":"Patient/1"}}',
+        '{"id":"o2","patient":{"reference":"Patient/2"}', '{"id":"o3","subject":{"reference":"Patient/3"}} tail', "", None,
+    ]
+    store = spark.createDataFrame([("Patient" if t and "Patient\"," in t else "Other", t) for t in texts], "resource_type string, resource string")
+    plain = search.patient_everything(store).select(
+        "*", records.json_path(F.col("resource"), "id").alias("id"), records.is_readable(F.col("resource")).alias("readable")
+    )
+    found = search.patient_everything(store, with_id=True, with_readable=True)
+    assert found.columns == plain.columns and sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert [r.readable for r in found.collect()] == [True] * 5
+
+
+def test_everything_of_some_patients_leaves_the_texts_behind(spark, store):
+    wanted = spark.createDataFrame([("2",)], "x string").hint("merge")
+    found = search.patient_everything(store, wanted, with_id=True).select("patient_id", "id")
+    assert sorted(map(tuple, found.collect())) == [("2", "2"), ("2", "o2")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "resource#" not in plan[plan.index("Join"):plan.index("Generate")] and "get_json_object" not in plan
+
+
 def test_pages(spark):
     df = spark.range(95).select(F.format_string("k%03d", "id").alias("k"))
     found = search.search_pages(df, "k", 10).orderBy("k").collect()

@@ -31,6 +31,33 @@ def given(spark, folder):
     return str(folder)
 
 
+def clinic(spark, folder):
+    """``given``, orders, customers, nations and documents, with nulls and rows that come twice."""
+    given(spark, folder)
+    day = dt.datetime(1997, 1, 1)
+    orders = [(1, 7, "F", day, "1-URGENT"), (2, 8, "O", None, None), (2, 9, None, day, "5-LOW"), (None, None, "P", day, "x")]
+    spark.createDataFrame(
+        orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp, o_orderpriority string"
+    ).write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(
+        [(7, "a", "BUILDING"), (8, None, None), (8, None, None)], "c_custkey bigint, c_name string, c_mktsegment string"
+    ).write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(1, "n")], "n_nationkey bigint, n_name string").write.parquet(f"{folder}/nation.parquet")
+    spark.createDataFrame([(1, "r")], "r_regionkey bigint, r_name string").write.parquet(f"{folder}/region.parquet")
+    spark.createDataFrame([(3, "s\"")], "s_suppkey bigint, s_name string").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame(
+        [(1, "one", "en", "s"), (2, None, "fr", None), (9, "x", None, "s")], "doc_id bigint, text string, lang string, source string"
+    ).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_records_of_all_types_read_each_source_once(spark, tmp_path):
+    folder = clinic(spark, tmp_path)
+    together, apart = fx.all_resources(spark, folder), fx.resources(spark, folder)
+    assert together.columns == apart.columns and sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
+    assert plan(together).count("lineitem.parquet") == 1 and plan(apart).count("lineitem.parquet") == 2
+
+
 def test_last_runs_reads_no_errors_that_nobody_asks_for(spark, tmp_path):
     path, day = str(tmp_path / "runs"), dt.datetime(2024, 1, 1)
     rows = [("a", "import", None, day, None, "{}", ["x"]), ("b", "import", None, day, None, "{}", ["x", "y"]),

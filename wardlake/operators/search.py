@@ -77,12 +77,25 @@ def search_pages(df: DataFrame, key: str, size: int = PAGE_SIZE) -> DataFrame:
 OWNER_SCHEMA = "id string, subject struct<reference:string>, patient struct<reference:string>"
 
 
-def patient_everything(resources: DataFrame, wanted: Sequence[str] | DataFrame | None = None) -> DataFrame:
-    """Every record of the wanted patients (default: all), with patient_id: their own and those that refer to them."""
+def patient_everything(
+    resources: DataFrame, wanted: Sequence[str] | DataFrame | None = None, with_id: bool = False, with_readable: bool = False
+) -> DataFrame:
+    """Every record of the wanted patients (default: all), with patient_id: their own and those that refer to them.
+
+    ``with_id`` and ``with_readable`` add the record's id and whether it is JSON (``records.is_readable``), from the parse that
+    finds the owner: whoever needs no more than these reads a record once and does not shuffle its text.
+    """
     subject = ids.patient_of_reference(F.col("record.subject.reference"), F.col("record.patient.reference"))
     patient = F.when(F.col("resource_type") == "Patient", F.col("record.id")).otherwise(subject)
-    read = records.parsed(resources, OWNER_SCHEMA)
-    owned = read.select(*resources.columns, patient.alias("patient_id")).filter(F.col("patient_id").isNotNull())
+    more = [F.col("record.id").alias("id")] if with_id else []
+    if with_readable:
+        read = records.parsed(resources, f"{OWNER_SCHEMA}, {records.CORRUPT} string", options=records.KEEP_CORRUPT)
+        # A value of another type is kept as corrupt too, so the plain check decides on what was not read smoothly.
+        smooth = F.col(f"record.{records.CORRUPT}").isNull()
+        more.append(F.when(smooth, F.lit(True)).otherwise(records.is_readable(F.col("resource"))).alias("readable"))
+    else:
+        read = records.parsed(resources, OWNER_SCHEMA)
+    owned = read.select(*resources.columns, patient.alias("patient_id"), *more).filter(F.col("patient_id").isNotNull())
     if wanted is None:
         return owned
     if isinstance(wanted, DataFrame):
