@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from wardlake import model
-from wardlake.operators import browse, search
+from wardlake.operators import browse, extract, search
 from wardlake.operators.filters import Where
 from wardlake.plans import exporting, filtering, importing
 from wardlake.sources import bundles as docs
@@ -87,6 +87,23 @@ def test_a_failed_patient_has_its_error(spark):
     assert (got["2"].status, got["2"].error, got["2"].entries_total) == ("success", None, 0) and got["3"].status == "success"
 
 
+def test_requests_are_read_once_and_counted_together(spark):
+    good, typed = bundle({"resourceType": "A"}, {"resourceType": "A"}, {"id": "x"}), '{"entry":[{"resource":"text"},{"resource":null},null]}'
+    rows = [("1", good), ("1", typed), ("1", '{"entry":"x","entry":[]}'), ("2", '{"entry":[{"resource":{"resourceType":"B"}}]'), ("3", None), (None, good), (None, "x"), ("4", "")]
+    requests = spark.createDataFrame(rows, "patient_id string, value string")
+    status = browse.request_status(requests)
+    plan = status._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2
+    got = {r.patient_id: tuple(r)[1:] for r in status.collect()}
+    entries = extract.bundle_entries(requests, keep=("patient_id",)).filter("patient_id IS NOT NULL").groupBy("patient_id").count().collect()
+    assert {k: v[2] for k, v in got.items() if v[2]} == {r.patient_id: r["count"] for r in entries}
+    bad = requests.filter((docs.read_status(F.col("value")) == "malformed") & F.col("patient_id").isNotNull()).groupBy("patient_id").count()
+    assert {k: v[1] for k, v in got.items() if v[1]} == {r.patient_id: f"{r['count']} unreadable documents" for r in bad.collect()}
+    assert got["1"][3] == {"A": 2} and got["3"] == got[None] == ("success", None, 0, {})
+    judged = browse.judge_requests(requests)
+    assert "value" not in judged.columns and {r.patient_id: tuple(r)[1:] for r in browse.request_status(judged).collect()} == got
+
+
 def test_counts_take_one_pass(spark, tmp_path):
     folder = str(tmp_path)
     for t in ("patient", "mvt"):

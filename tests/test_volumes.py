@@ -10,7 +10,7 @@ from wardlake.operators import export
 from wardlake.plans import importing
 from wardlake.sources import bundles, runs, tables
 from wardlake.streaming import arrivals
-from wardlake.workload import exports
+from wardlake.workload import exports, reports
 from wardlake.workload import fixtures as fx
 
 
@@ -51,11 +51,23 @@ def clinic(spark, folder):
     return str(folder)
 
 
+def test_bundles_of_some_kinds_read_their_sources_alone(spark, tmp_path):
+    folder = clinic(spark, tmp_path)
+    every = fx.bundles(spark, folder).collect()
+    for kind in fx.BUNDLE_KINDS:
+        some = fx.bundles(spark, folder, kind)
+        named = [r for r in every if r.name is not None and r.name.startswith(f"{kind}-")]
+        assert ("FileScan parquet [l_" in plan(some)) == (kind == "line")
+        assert sorted(map(str, some.filter("name IS NOT NULL").collect())) == sorted(map(str, named))
+    asked = plan(reports.import_requests(spark, folder))
+    assert "FileScan parquet [l_" not in asked and asked.count("FileScan parquet [c_") == 1
+
+
 def test_records_of_all_types_read_each_source_once(spark, tmp_path):
     folder = clinic(spark, tmp_path)
     together, apart = fx.all_resources(spark, folder), fx.resources(spark, folder)
+    assert plan(together).count("FileScan parquet [l_") == 1 and plan(apart).count("FileScan parquet [l_") == 2
     assert together.columns == apart.columns and sorted(map(str, together.collect())) == sorted(map(str, apart.collect()))
-    assert plan(together).count("lineitem.parquet") == 1 and plan(apart).count("lineitem.parquet") == 2
 
 
 def test_last_runs_reads_no_errors_that_nobody_asks_for(spark, tmp_path):
