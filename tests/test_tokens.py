@@ -1,7 +1,9 @@
 """The inverted index and many criteria give what a scan or a filter per criterion gives."""
 
+import glob
 import json
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from wardlake.functions import records
@@ -93,3 +95,28 @@ def test_ten_thousand_criteria_at_once(spark, tmp_path):
                    if r["resourceType"] == t and (p is None or (token is not None and value(r, p) == token))})
     assert got == want
     assert arrivals.matches(table.selectExpr("'Task' AS resource_type", "'{}' AS resource"), table.limit(0)).count() == 0
+
+
+def test_index_is_made_once_and_sorted_in_its_ranges(spark, tmp_path):
+    """Rows that come twice, far apart and in one token that most records have; the rows are not made again for the ranges."""
+    tokens = tokenindex.token_rows(fx.resources(spark, SMALL, "Observation"), {"Observation": PATHS["Observation"]}, names=False)
+    assert "lambdafunction" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+    made, folder = spark.sparkContext.accumulator(0), str(tmp_path / "index")
+
+    def rows(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame[["resource_type", "path", "token", "id"]]
+
+    source = spark.range(0, 6000, 1, 6).select(
+        F.lit("T").alias("resource_type"), F.lit("p").alias("path"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("t"), F.col("id") % 7)).otherwise("hot").alias("token"),
+        (F.col("id") % 2000).cast("string").alias("id"),
+    )
+    tokenindex.write_index(source.mapInPandas(rows, tokenindex.SCHEMA), folder)
+    assert made.value == 6000
+    index = tokenindex.read_index(spark, folder)
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, source.distinct().collect()))
+    for file in glob.glob(f"{folder}/*.parquet"):
+        kept = [tuple(r.values()) for r in pq.read_table(file).to_pylist()]
+        assert kept == sorted(set(kept))

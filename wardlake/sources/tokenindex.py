@@ -11,10 +11,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardlake.functions import records
 from wardlake.operators.search import NAME_SCHEMA
+from wardlake.session import stored
+from wardlake.sources.tables import CODEC
 
 #: Path under which the parts of names stand, in lower case.
 NAME, FAMILY = "name", "name.family"
@@ -42,8 +45,8 @@ def token_rows(resources: DataFrame, paths: Mapping[str, Sequence[str]], names:
     for record_type, wanted in paths.items():
         own = resources.filter(F.col("resource_type") == record_type)
         read = records.parsed(own, records.pruned_schema([*wanted, "id"]), "_r")
-        values = [_entry(p, F.array(records.at_path(F.col("_r"), p))) for p in wanted]
-        parts.append(read.select("resource_type", F.col("_r.id").alias("id"), F.inline(F.concat(*values))))
+        values = [F.struct(F.lit(p).alias("path"), records.at_path(F.col("_r"), p).alias("token")) for p in wanted]
+        parts.append(read.select("resource_type", F.col("_r.id").alias("id"), F.inline(F.array(*values))))
     if names:
         patients = resources.filter("resource_type = 'Patient'")
         own = records.json_path(F.col("resource"), "id").alias("id")
@@ -54,8 +57,12 @@ def token_rows(resources: DataFrame, paths: Mapping[str, Sequence[str]], names:
 
 
 def write_index(rows: DataFrame, folder: str) -> None:
+    """Rows that come twice meet in their range and leave one. The ranges are drawn from stored rows, which are made once."""
     order = ["resource_type", "path", "token", "id"]
-    rows.distinct().repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(folder)
+    ranged = stored(rows.select(*order), "tokens", compression=CODEC).repartitionByRange(*order)
+    first = F.row_number().over(W.partitionBy(*order).orderBy("id")) == 1  # by the order of the index: one sort for both
+    once = ranged.withColumn("_first", first).filter("_first").select(*order)
+    once.sortWithinPartitions(*order).write.mode("overwrite").parquet(folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
