@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,15 @@ def test_exact_groups(edge, monkeypatch, bits, owned):
     assert set(kept.values()) == {1} and set(kept) == {r["text_sha256"] for r in got}
 
 
+def test_exact_groups_take_texts_in_slices(edge, monkeypatch):
+    """Groups do not depend on the slices, and no more texts than a slice holds are alive at a time."""
+    monkeypatch.setattr(exactdup, "SLICE", 2)
+    got = exactdup.mark(edge).collect()
+    assert sorted([(r["doc_id"], r["keep_id"], r["group_size"]) for r in got], key=str) == brute_exact(edge.collect())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a", None, "b"]})
+    assert [texts for _, texts in exactdup.sliced([batch], 2)] == [["a", None], ["b"]]
+
+
 def test_deduplicate(edge, empty):
     left = exactdup.deduplicate(edge)
     assert left.columns == edge.columns

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,6 +36,8 @@ from wardlake.session import durable
 BITS = 48
 #: Fingerprints that one owner decodes at a time.
 OWNED = 2_000_000
+#: Texts that a task holds as Python objects.
+SLICE = 512
 
 
 def normal(text: str | None) -> bytes:
@@ -71,21 +74,33 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(doc_id, text)
 
 
+def first_bits(digests: list, bits: int) -> pa.Array:
+    return pa.array([int.from_bytes(d.digest()[:8], "big") >> (64 - bits) for d in digests], pa.int64())
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of Arrow batches, with the texts of their last column; those of one slice only are alive as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            piece = batch.slice(at, rows)
+            yield piece, piece.column(piece.num_columns - 1).to_pylist()
+    pa.default_memory_pool().release_unused()  # workers live on and others need the memory
+
+
 def digests(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, row_key, n_points, sha, print, part: one row per document, stored."""
 
-    @F.pandas_udf("n_points bigint, sha string, print bigint")
-    def digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            found = [hashlib.sha256(normal(value)) for value in batch]
-            yield pd.DataFrame({
-                "n_points": [0 if value is None else len(value) for value in batch],
-                "sha": [h.hexdigest() for h in found],
-                "print": [int.from_bytes(h.digest()[:8], "big") >> (64 - BITS) for h in found],
-            })
-
-    rows = docs.select("doc_id", row_key("doc_id", text).alias("row_key"), digest(F.col(text)).alias("d"))
-    rows = rows.select("doc_id", "row_key", "d.*")
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in sliced(batches, SLICE):
+            found = [hashlib.sha256(normal(value)) for value in texts]
+            yield pa.RecordBatch.from_arrays([
+                piece.column(0), piece.column(1),
+                pa.array([0 if value is None else len(value) for value in texts], pa.int64()),
+                pa.array([h.hexdigest() for h in found], pa.string()), first_bits(found, BITS),
+            ], names=["doc_id", "row_key", "n_points", "sha", "print"])
+
+    rows = docs.select("doc_id", row_key("doc_id", text).alias("row_key"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(digest, "doc_id bigint, row_key bigint, n_points bigint, sha string, print bigint")
     return durable(rows.withColumn("part", F.spark_partition_id()))
 
 
@@ -148,18 +163,19 @@ def mark(docs: DataFrame, text: str = "text") -> DataFrame:
     found = suspects(stored, -(-n // OWNED) or 1)
     many = found.count()
 
-    @F.pandas_udf("body binary, sha string, print bigint")
-    def normalised(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            body = [normal(value) for value in batch]
+    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece, texts in sliced(batches, SLICE):
+            body = [normal(value) for value in texts]
             shas = [hashlib.sha256(b) for b in body]
-            yield pd.DataFrame({
-                "body": body, "sha": [h.hexdigest() for h in shas],
-                "print": [int.from_bytes(h.digest()[:8], "big") >> (64 - BITS) for h in shas],
-            })
+            yield pa.RecordBatch.from_arrays([
+                piece.column(0), piece.column(1), pa.array(body, pa.binary()),
+                pa.array([h.hexdigest() for h in shas], pa.string()), first_bits(shas, BITS),
+            ], names=["doc_id", "n_points", "body", "sha", "print"])
 
     points = F.coalesce(F.length("text"), F.lit(0)).cast("bigint")
-    bodies = rows.select("doc_id", points.alias("n_points"), normalised("text").alias("d")).select("doc_id", "n_points", "d.*")
+    bodies = rows.select("doc_id", points.alias("n_points"), "text").mapInArrow(
+        normalised, "doc_id bigint, n_points bigint, body binary, sha string, print bigint"
+    )
     # Most code points, then the smallest id, nulls last: the greatest of these structs.
     rank = F.struct("n_points", F.col("doc_id").isNotNull(), F.bitwise_not("doc_id").alias("back"))
     groups = keep_matching(bodies, found, "print", many).groupBy("body").agg(
