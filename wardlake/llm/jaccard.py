@@ -50,6 +50,8 @@ SENT, OWNED = 1 << 21, 1 << 22
 MEMBERS = 1024
 #: Rows of cells that a task looks at together; pairs looked at together, first coarsely and then in all ranges.
 ROWS, PAIRS, FINE = 100_000, 200_000, 1 << 14
+#: Shingles of the sets that a task of the exact test is meant to hold, and of those of a part of a large component.
+HELD = 1 << 18
 #: Words whose hashes a task remembers.
 KNOWN = 200_000
 #: Ranges of the exact bound, and how many of them a first look takes together.
@@ -246,10 +248,6 @@ def _groups(sigs: np.ndarray, names: np.ndarray, sizes: np.ndarray, percent: int
     return out
 
 
-def _linked(inter: Column, na: Column, nb: Column, percent: int) -> Column:
-    return inter * 100 >= (na + nb - inter) * percent
-
-
 def shared(a: pd.Series, b: pd.Series) -> pd.Series:
     """How many numbers two packed sets have in common."""
     return pd.Series([
@@ -304,15 +302,44 @@ def _with_shapes(pairs: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: Texts, percent: int) -> DataFrame:
     """The rows (a, b, na, nb) that link, as (a, b). Sketches first; whole sets only for what they leave open."""
-    na, nb = F.col("na"), F.col("nb")
     least = F.pandas_udf(apart, "bigint")("fa", "fb")
-    near = _with_shapes(pairs, texts.sketches).filter(least * (100 + percent) <= (100 - percent) * (na + nb))
+    near = _with_shapes(pairs, texts.sketches).filter(least * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
     near = durable(near.select("a", "b", "na", "nb"))
     if near.isEmpty():
         return near.select("a", "b")
     sets = texts.sets(near.select(F.col("a").alias("cls")).union(near.select("b")))
-    inter = _with_shapes(near, sets).withColumn("inter", F.pandas_udf(shared, "bigint")("fa", "fb"))
-    return inter.filter(_linked(F.col("inter"), na, nb, percent)).select("a", "b")
+    dealt = _dealt(near)
+    needed = dealt.select(F.col("task").alias("place"), F.col("a").alias("cls")).union(dealt.select("task", "b")).distinct()
+    held = needed.join(sets, "cls").groupBy("place")
+    return dealt.groupBy("task").cogroup(held).applyInPandas(_exact(percent), "a bigint, b bigint")
+
+
+def _dealt(near: DataFrame) -> DataFrame:
+    """a, b, na, nb, task: pairs of one component of the near ones meet in one task, which gets every set once.
+
+    Sets are much longer than pairs, and a class is in many of these; joined to each pair they would be shuffled as often. A
+    component whose sets are too many for a task is cut by the second class of its pairs.
+    """
+    named = components(near.select("a", "b")).withColumnRenamed("node", "a")
+    pairs = near.join(named, "a", "left").withColumn("label", F.coalesce("label", "a"))
+    ends = pairs.select("label", F.col("a").alias("cls"), F.col("na").alias("n")).union(pairs.select("label", "b", "nb")).distinct()
+    weights = durable(ends.groupBy("label").agg(F.sum("n").alias("weight")))
+    tasks = -(-(weights.agg(F.sum("weight")).first()[0] or 1) // HELD)
+    part = F.pmod(F.xxhash64("b"), F.ceil(F.col("weight") / HELD))
+    task = F.pmod(F.xxhash64("label", part), F.lit(tasks))
+    return durable(pairs.join(weights, "label").select("a", "b", "na", "nb", task.alias("task")))
+
+
+def _exact(percent: int):
+    """Pairs of a task, and the sets of their classes, to the pairs that link."""
+
+    def exact(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        shapes = sets.set_index("cls")["shape"]
+        inter = shared(shapes.reindex(pairs["a"]), shapes.reindex(pairs["b"])).to_numpy()
+        both = (pairs["na"] + pairs["nb"]).to_numpy()
+        return pairs.loc[inter * 100 >= (both - inter) * percent, ["a", "b"]]
+
+    return exact
 
 
 def _compare(percent: int):
